@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexweave.llm.bpe import op6_byte_bpe
 from lexweave.llm.media import op7_media_sniffing
+from lexweave.llm.mixing import OP2_SQL, op2_curriculum_mix
 from lexweave.llm.secrets import op9_secret_entropy
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_byte_bpe": op6_byte_bpe, "op7_media_sniffing": op7_media_sniffing, "op9_secret_entropy": op9_secret_entropy}
+    return {"op2_curriculum_mix": op2_curriculum_mix, "op6_byte_bpe": op6_byte_bpe, "op7_media_sniffing": op7_media_sniffing, "op9_secret_entropy": op9_secret_entropy}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_curriculum_mix": OP2_SQL}
