@@ -10,11 +10,12 @@ from lexweave.llm.bpe import op6_byte_bpe
 from lexweave.llm.media import op7_media_sniffing
 from lexweave.llm.mixing import OP2_SQL, op2_curriculum_mix
 from lexweave.llm.secrets import op9_secret_entropy
+from lexweave.llm.urls import OP3_SQL, op3_link_graph
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_curriculum_mix": op2_curriculum_mix, "op6_byte_bpe": op6_byte_bpe, "op7_media_sniffing": op7_media_sniffing, "op9_secret_entropy": op9_secret_entropy}
+    return {"op2_curriculum_mix": op2_curriculum_mix, "op3_link_graph": op3_link_graph, "op6_byte_bpe": op6_byte_bpe, "op7_media_sniffing": op7_media_sniffing, "op9_secret_entropy": op9_secret_entropy}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_curriculum_mix": OP2_SQL}
+    return {"op2_curriculum_mix": OP2_SQL, "op3_link_graph": OP3_SQL}
