@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexweave.llm.bpe import op6_byte_bpe
+from lexweave.llm.embeddings import OP1_SQL, op1_collision_projections
 from lexweave.llm.media import op7_media_sniffing
 from lexweave.llm.mixing import OP2_SQL, op2_curriculum_mix
 from lexweave.llm.secrets import op9_secret_entropy
@@ -14,8 +15,8 @@ from lexweave.llm.urls import OP3_SQL, op3_link_graph
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_curriculum_mix": op2_curriculum_mix, "op3_link_graph": op3_link_graph, "op6_byte_bpe": op6_byte_bpe, "op7_media_sniffing": op7_media_sniffing, "op9_secret_entropy": op9_secret_entropy}
+    return {"op1_collision_projections": op1_collision_projections, "op2_curriculum_mix": op2_curriculum_mix, "op3_link_graph": op3_link_graph, "op6_byte_bpe": op6_byte_bpe, "op7_media_sniffing": op7_media_sniffing, "op9_secret_entropy": op9_secret_entropy}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_curriculum_mix": OP2_SQL, "op3_link_graph": OP3_SQL}
+    return {"op1_collision_projections": OP1_SQL, "op2_curriculum_mix": OP2_SQL, "op3_link_graph": OP3_SQL}
