@@ -10,12 +10,23 @@ from lexweave.llm.bpe import op6_byte_bpe
 from lexweave.llm.embeddings import OP1_SQL, op1_collision_projections
 from lexweave.llm.media import op7_media_sniffing
 from lexweave.llm.mixing import OP2_SQL, op2_curriculum_mix
+from lexweave.llm.quality import op8_compression_quality
 from lexweave.llm.secrets import op9_secret_entropy
+from lexweave.llm.toxicity import op5_noisy_or_toxicity
 from lexweave.llm.urls import OP3_SQL, op3_link_graph
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_collision_projections": op1_collision_projections, "op2_curriculum_mix": op2_curriculum_mix, "op3_link_graph": op3_link_graph, "op6_byte_bpe": op6_byte_bpe, "op7_media_sniffing": op7_media_sniffing, "op9_secret_entropy": op9_secret_entropy}
+    return {
+        "op1_collision_projections": op1_collision_projections,
+        "op2_curriculum_mix": op2_curriculum_mix,
+        "op3_link_graph": op3_link_graph,
+        "op5_noisy_or_toxicity": op5_noisy_or_toxicity,
+        "op6_byte_bpe": op6_byte_bpe,
+        "op7_media_sniffing": op7_media_sniffing,
+        "op8_compression_quality": op8_compression_quality,
+        "op9_secret_entropy": op9_secret_entropy,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
