@@ -10,6 +10,7 @@ from lexweave.llm.bpe import op6_byte_bpe
 from lexweave.llm.embeddings import OP1_SQL, op1_collision_projections
 from lexweave.llm.media import op7_media_sniffing
 from lexweave.llm.mixing import OP2_SQL, op2_curriculum_mix
+from lexweave.llm.ngrams import OP10_SQL, op10_divide_skip
 from lexweave.llm.quality import op8_compression_quality
 from lexweave.llm.secrets import op9_secret_entropy
 from lexweave.llm.toxicity import op5_noisy_or_toxicity
@@ -26,8 +27,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_media_sniffing": op7_media_sniffing,
         "op8_compression_quality": op8_compression_quality,
         "op9_secret_entropy": op9_secret_entropy,
+        "op10_divide_skip": op10_divide_skip,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_collision_projections": OP1_SQL, "op2_curriculum_mix": OP2_SQL, "op3_link_graph": OP3_SQL}
+    return {"op1_collision_projections": OP1_SQL, "op2_curriculum_mix": OP2_SQL, "op3_link_graph": OP3_SQL, "op10_divide_skip": OP10_SQL}
