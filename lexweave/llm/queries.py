@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexweave.llm.bpe import op6_byte_bpe
 from lexweave.llm.embeddings import OP1_SQL, op1_collision_projections
+from lexweave.llm.lm import op4_context_mixing
 from lexweave.llm.media import op7_media_sniffing
 from lexweave.llm.mixing import OP2_SQL, op2_curriculum_mix
 from lexweave.llm.ngrams import OP10_SQL, op10_divide_skip
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_collision_projections": op1_collision_projections,
         "op2_curriculum_mix": op2_curriculum_mix,
         "op3_link_graph": op3_link_graph,
+        "op4_context_mixing": op4_context_mixing,
         "op5_noisy_or_toxicity": op5_noisy_or_toxicity,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_media_sniffing": op7_media_sniffing,
