@@ -96,17 +96,15 @@ def _assigned(sizes: DataFrame, weights: tuple[int, ...], schedules: tuple, repe
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules: tuple = SCHEDULES, repeats: int = REPEATS, buckets: int = BUCKETS) -> DataFrame:
     """The documents of the mix with the columns of docs, each as often as it is taken, in the order of training. A document of
-    which only a part is due is given whole where that part is half of it or more."""
-    names, own = docs.columns, "_copies"
-    placed = _assigned(cut(sized(docs)), weights, schedules, repeats, buckets)
+    which only a part is due is given whole where that part is half of it or more; one without words or id is not in the mix."""
+    placed = _assigned(cut(sized(docs)), weights, schedules, repeats, buckets).where("size > 0")
     copies = F.floor(placed["taken"] / placed["size"] + 0.5).cast("int")
-    copies = placed.where("size > 0").select("doc_id", copies.alias(own), "target", "segments", "source_size", (F.col("offset") + F.col("inside")).alias("_before"))
-    copies = copies.where(F.col(own) > 0).groupBy("doc_id").agg(F.max(own).alias(own), F.min_by(F.struct("target", "segments", "source_size", "_before"), "_before").alias("_at"))
-    rows = docs.join(copies, "doc_id")
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col(own) - 1)))
-    share = F.least(F.lit(1.0), (F.col("_copy") * F.col("_at.source_size") + F.col("_at._before")) / F.col("_at.target"))
-    rows = rows.withColumn("_position", time_of(share, F.col("_at.segments")))
-    return rows.orderBy("_position", F.xxhash64("doc_id"), "_copy").select(names)
+    copies = placed.select("doc_id", copies.alias("copies"), F.struct("target", "segments", "source_size", (F.col("offset") + F.col("inside")).alias("before")).alias("at"))
+    copies = copies.where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"), F.min_by("at", "at.before").alias("at"))
+    rows = docs.select(docs["doc_id"], F.struct("*").alias("row")).join(copies, "doc_id")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    share = F.least(F.lit(1.0), (F.col("copy") * F.col("at.source_size") + F.col("at.before")) / F.col("at.target"))
+    return rows.orderBy(time_of(share, F.col("at.segments")), F.xxhash64("doc_id"), "copy").select("row.*")
 
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

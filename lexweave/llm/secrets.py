@@ -115,20 +115,21 @@ def _random(c: CharacterClass) -> Callable[[Column], Column]:
 
 
 def find_secrets(docs: DataFrame, text: str = "text", classes: tuple[CharacterClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
-    """The rows of docs with `secrets`: array<struct<start,kind,end,string>> by start, kind; kind is a place in KINDS."""
+    """The rows of docs with `secrets`: array<struct<start,kind,end,string>> by start, kind; kind is a place in KINDS. A column of that
+    name is replaced; others may have any name."""
     entropy, added = len(PATTERNS), []
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns if c != "secrets")).alias("row"), docs[text].alias("text"))
     for order, ((kind, pattern, group, least), present) in enumerate(zip(PATTERNS, PRESENT, strict=True)):
-        docs = with_matches(docs, text, f"_{kind}", pattern, group, least, order, present)
-    docs = docs.withColumn("_base", F.concat(*(f"_{kind}" for kind, *_ in PATTERNS))).drop(*(f"_{kind}" for kind, *_ in PATTERNS))
+        own = with_matches(own, "text", kind, pattern, group, least, order, present)
+    own = own.withColumn("base", F.concat(*(kind for kind, *_ in PATTERNS))).drop(*(kind for kind, *_ in PATTERNS))
     for c in classes:
-        docs = with_matches(docs, text, f"_{c.name}", c.run, 0, c.window, entropy, c.run)
-
-        docs = docs.withColumn(f"_{c.name}", F.filter(f"_{c.name}", _likely(c, allowed)))
-        docs = docs.withColumn(f"_{c.name}", F.filter(f"_{c.name}", _random(c)))
-        added.append(f"_{c.name}")
-    docs = docs.withColumn("_added", F.array_distinct(F.concat(*added))).drop(*added)
-    docs = docs.withColumn("_added", F.filter("_added", lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))
-    return docs.withColumn("secrets", F.array_sort(F.concat("_base", "_added"))).drop("_base", "_added")
+        own = with_matches(own, "text", c.name, c.run, 0, c.window, entropy, c.run)
+        own = own.withColumn(c.name, F.filter(c.name, _likely(c, allowed)))
+        own = own.withColumn(c.name, F.filter(c.name, _random(c)))
+        added.append(c.name)
+    own = own.withColumn("added", F.array_distinct(F.concat(*added))).drop(*added)
+    own = own.withColumn("added", F.filter("added", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))
+    return own.select("row.*", F.array_sort(F.concat("base", "added")).alias("secrets"))
 
 
 def as_text(spans: Column) -> Column:
@@ -139,18 +140,19 @@ def as_text(spans: Column) -> Column:
 
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each secret in its text replaced by [SECRET]; overlapping secrets become one. Other texts stay as they are."""
-    columns = docs.columns
-    found = find_secrets(docs, text)
+    own = docs.select(F.struct("*").alias("row"), docs[text].alias("text"))
+    found = find_secrets(own)
 
     def step(state: Column, x: Column) -> Column:
         at = F.greatest(state["at"], x["start"])
-        piece = F.substring(F.col(text), state["at"] + 1, at - state["at"])
+        piece = F.substring(F.col("text"), state["at"] + 1, at - state["at"])
         mask = F.when(x["start"] >= state["at"], F.concat(piece, F.lit("[SECRET]"))).otherwise("")
         return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.concat(state["out"], mask).alias("out"))
 
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("secrets", first, step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.length(F.col(text)))))
-    return found.withColumn(text, F.when(F.size("secrets") > 0, clean).otherwise(F.col(text))).select(columns)
+    clean = F.aggregate("secrets", first, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length(F.col("text")))))
+    new = F.when(F.size("secrets") > 0, clean).otherwise(F.col("text"))
+    return found.select(*((new if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op9_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
