@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: a document is toxic where some sentence is.
 
 A sentence's score is the logistic of a bias and the weights of its distinct words and word beginnings; a document's is the noisy-or of its sentences,
-1 - prod(1 - p). The weights are fitted from document labels alone, by proximal gradient steps on the noisy-or likelihood, over a
+1 - prod(1 - p), in which all sentences without a known word count once, so that a long clean text does not add up to a toxic one.
+The weights are fitted from document labels alone, by proximal gradient steps on the noisy-or likelihood, over a
 bounded sample of labelled documents (`SAMPLE` a class, weighted back to the classes' sizes); scores are then made for every whole
 text, and `offending` locates the sentences that carry them.
 
@@ -77,12 +78,15 @@ def fit(examples: list[tuple[float, int, list[np.ndarray]]], steps: int = 400, r
     hashes = hashes[keep]
     column, row, doc = [], [], []
     for d, (_, _, parts) in enumerate(examples):
-        for part in parts:
+        doc.append(d)  # the sentences without a known word
+        for part in parts if len(hashes) else ():
             at = np.searchsorted(hashes, part)
-            at = at[(at < len(hashes)) & (hashes[np.minimum(at, len(hashes) - 1)] == part)] if len(hashes) else at[:0]
-            column.append(at)
-            row.append(np.full(len(at), len(doc)))
-            doc.append(d)
+            at = at[(at < len(hashes)) & (hashes[np.minimum(at, len(hashes) - 1)] == part)]
+            if len(at):
+                column.append(at)
+                row.append(np.full(len(at), len(doc)))
+                doc.append(d)
+    column, row = column or [np.empty(0, np.int64)], row or [np.empty(0, np.int64)]
     column, row, doc = np.concatenate(column), np.concatenate(row), np.array(doc)
     weight = np.array([w for w, _, _ in examples]) / whole
     y = np.array([y for _, y, _ in examples], bool)
@@ -144,18 +148,19 @@ class Scorer:
         return found
 
     def logits(self, text: str | None) -> list[tuple[int, int, float]]:
-        """Start, end and logit of each sentence."""
+        """Start, end and logit of each sentence with a known word."""
         out, bias = [], self.model.bias
         for a, b in sentences(text):
             found: dict[int, float] = {}
             for word in (text or "")[a:b].split():
                 if parts := self.parts(word):
                     found.update(parts)
-            out.append((a, b, bias + sum(found.values())))
+            if found:
+                out.append((a, b, bias + sum(found.values())))
         return out
 
     def score(self, text: str | None) -> float:
-        z = np.array([z for _, _, z in self.logits(text)])
+        z = np.array([self.model.bias, *(z for _, _, z in self.logits(text))])
         return float(-np.expm1(-np.logaddexp(0, z).sum()))
 
 
