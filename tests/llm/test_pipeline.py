@@ -1,0 +1,32 @@
+"""The pipeline, stage by stage, against plain Python."""
+
+import hashlib
+
+import corpus_pipeline
+from lexweave.llm import bpe, toxicity
+from tests.llm.test_corpus_operators import jaccard_truth
+from tests.llm.test_text_operators import labelled
+
+
+def test_stages(spark, tmp_path):
+    folder = labelled(spark, tmp_path)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    seen = {"start": docs}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+        path = str(tmp_path / name)
+        docs.write.parquet(path)
+        docs = seen[name] = spark.read.parquet(path)
+    rows = {k: df.collect() for k, df in seen.items()}
+    for name in list(seen)[:-1]:
+        assert seen[name].columns == seen["start"].columns
+    assert {r.doc_id for r in rows["toxicity"]} == {r.doc_id for r in rows["start"] if r.doc_id >= 1000 or r.doc_id % 6}
+    _, root = jaccard_truth([(r.doc_id, r.text) for r in rows["toxicity"]])
+    assert sorted(r.doc_id for r in rows["near_duplicates"]) == sorted(set(root.values()))
+    texts = {r.doc_id: r.text for r in rows["near_duplicates"]}
+    assert {r.doc_id: r.text for r in rows["secrets"]} == texts  # no secrets here
+    assert {r.doc_id for r in rows["mixing"]} <= set(texts)
+    for r in rows["encoding"]:
+        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+        assert r.n_tokens == len(bpe.coder().encode(texts[r.doc_id] or ""))
+    assert toxicity.CUTOFF == 0.7
