@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexweave.plans import evaluation, memory, procedures, retrieval, texts
 from lexweave.plans.registry import ORACLES, QUERIES, Query
 
+MODULES = (retrieval, evaluation, texts, memory, procedures)
+
 
 def all_queries() -> dict[str, Query]:
     return dict(QUERIES)
@@ -16,5 +19,5 @@ def all_oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents per language: a placeholder until ranking is in."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """The vector ranker: the twenty best documents of each topic with their scores."""
+    return QUERIES["q_vector_rank"](spark, sf_dir)
