@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.operators import significance, text
+from lexweave.operators import pages, significance, text
 from lexweave.plans.registry import QUERIES, register
 from lexweave.streaming import events
 
@@ -37,9 +37,9 @@ def _mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _read(spark, sf_dir, "benchmark").withColumn("lead", F.substring_index("text", ".", 1))
+    items = _read(spark, sf_dir, "benchmark").withColumn("lead", F.substring_index("text", ".", 1))
     share = lambda t, lead: text.lcs(text.tokens(t or ""), text.tokens(lead or "")) / max(1, len(text.tokens(t or "")))
-    return text.per_row(pages, ["text", "lead"], share, "double", "item_id").withColumnRenamed("out", "rouge_l")
+    return text.per_row(items, ["text", "lead"], share, "double", "item_id").withColumnRenamed("out", "rouge_l")
 
 
 def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,3 +121,31 @@ register("q_lsa", _lsa)
 register("q_mlp_lang", _language_model)
 register("q_stream_progress", events.progress)
 register("q_circuit_breaker", events.circuit_breaker)
+
+
+#: Rules that stand for the robots files of the pages' hosts.
+ROBOTS = "User-agent: *\nDisallow: /de/\nAllow: /\nCrawl-delay: 2"
+
+
+def _over(table: str, columns: list[str], function, schema: str, keep: str, name: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return text.per_row(_read(spark, sf_dir, table), columns, function, schema, keep).withColumnRenamed("out", name)
+
+    return query
+
+
+def _echo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    turns = _read(spark, sf_dir, "conversations").withColumn("played", before)
+    return text.per_row(turns, ["text", "played"], pages.without_echo, "string", "conv_id").withColumnRenamed("out", "heard")
+
+
+register("q_html_paragraphs", _over("pages", ["html"], pages.paragraphs, "array<string>", "page_id", "paragraphs"))
+register("q_extract_main", _over("pages", ["html"], pages.main_text, "string", "page_id", "text"))
+register("q_robots", _over("pages", ["url"], lambda url: pages.allowed(ROBOTS, url), "boolean", "page_id", "allowed"))
+register("q_text_blocks", _over("documents", ["text"], pages.blocks, "array<struct<kind:string,text:string,level:int>>", "doc_id", "blocks"))
+register("q_units", _over("benchmark", ["text"], pages.units, "array<string>", "item_id", "units"))
+register("q_hash_features", _over("benchmark", ["text"], pages.hashed_grams, "array<struct<slot:int,value:double>>", "item_id", "features"))
+register("q_echo", _echo)

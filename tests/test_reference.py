@@ -82,3 +82,18 @@ def test_streams(spark, tmp_path):
     assert sum(r.n for r in batch.collect()) == 12
     refused = events.circuit_breaker(spark, str(tmp_path), pause=1500)
     assert refused.where("refused").count() > 0 and refused.count() == 12
+
+
+def test_page_procedures():
+    from lexweave.operators import pages
+
+    html = "<head><title>t</title></head><nav>menu</nav><p>One <b>bold</b> &amp; two</p><script>x</script><p>Three"
+    assert pages.paragraphs(html) == ["One bold & two", "Three"] and pages.paragraphs(None) == []
+    assert pages.main_text(html) is None
+    rules = "User-agent: *\nDisallow: /private/"
+    assert not pages.allowed(rules, "http://h/private/x") and pages.allowed(rules, "http://h/")
+    assert not pages.allowed("", "http://h/", 403) and pages.allowed(rules, "http://h/private/x", 500)
+    assert [b["kind"] for b in pages.blocks("# Head\n- item\n```\ncode\n```\ntext")] == ["heading", "item", "paragraph"]
+    assert pages.units("a b, c d", 2) == ["a b,", "c d"] and pages.units(None) == []
+    assert pages.without_echo("stop the quick fox now", "the quick fox") == "stop now"
+    assert abs(sum(f["value"] for f in pages.hashed_grams("abc")) - 50) < 1e-9 and pages.hashed_grams("") == []
