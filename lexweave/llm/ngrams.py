@@ -9,9 +9,10 @@ T = ceil(percent * n / 100) of its shingles. Texts with equal sets are one.
 2. Inverted lists. Among the survivors, shingles are ordered by how many sets hold them; one that another set lacks is first.
    Linked sets share one of the first n - T + 1, so these alone are listed: rare ones, the long lists of common passages left out.
 3. T-occurrence search. A set is a query against candidates from its lists: DivideSkip heap-merges the short lists, probes the
-   long ones by binary search, and keeps the candidates that reach the overlap. Two rounds ask the first set of a list about
-   the others, which joins groups of near copies in linear work; a last one asks about every pair of a list that is in different
-   components by then. Queries go out in blocks of `BLOCK` candidates.
+   long ones by binary search, and keeps the candidates that reach the overlap. In the first rounds a set is asked about few
+   others of its lists, which joins groups of near copies in linear work; the last asks about every pair of a list that is in
+   different components by then. Pairs that sizes, places in the order or bitmaps rule out for certain are never asked about.
+   Queries go out in blocks of `BLOCK` candidates.
 
 Null and empty texts have no shingles and link with nothing; shorter ones are one shingle. Ties in length or frequency fall by hash.
 Rows with the same text are one class; a null doc_id is its own null component. Columns but doc_id and text are left aside.
@@ -25,6 +26,7 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ PERCENT = 75
 DEPTH = 25
 #: Postings of a task of step 1; candidates of a query block.
 POSTINGS, BLOCK = 1_500_000, 256
+#: Partners that a set is asked about in each round before the last.
+ROUNDS = (1, 4, 16)
 
 
 def least_overlap(n: int, percent: int = PERCENT) -> int:
@@ -89,9 +93,62 @@ def set_sizes(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n long, high long, low long")
 
 
+def _postings(sets: dict[int, np.ndarray], parts: int) -> dict[str, list]:
+    """Rows of kind 0, the shingles of a hash range with the set that holds each (a place in `table` from 1, or 0 for several), and
+    of kind 1, how many shingles of each set several sets of this batch hold."""
+    keys = np.fromiter(sets, np.int64, len(sets))
+    sizes = np.fromiter(map(len, sets.values()), np.int64, len(sets))
+    hashes, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(keys)), sizes)
+    order = np.argsort(hashes)
+    hashes, owner = hashes[order], owner[order]
+    first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+    times = np.diff(np.r_[first, len(hashes)])
+    here = np.bincount(owner, np.repeat(times > 1, times), len(keys)).astype(np.uint32)
+    sent, whose = hashes[first], np.where(times > 1, 0, owner[first] + 1).astype(np.uint16)
+    part = (sent >> np.uint64(32)).astype(np.int64) % parts
+    order = np.argsort(part, kind="stable")
+    bounds = np.searchsorted(part[order], np.arange(parts + 1))
+    low = (sent & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    rows = []
+    for p in range(parts):
+        at = order[bounds[p] : bounds[p + 1]]
+        if len(at):
+            rows.append((p, 0, low[at].tobytes(), whose[at].tobytes(), keys.tobytes()))
+        mine = np.flatnonzero((here > 0) & (keys % parts == p))
+        if len(mine):
+            rows.append((p, 1, here[mine].tobytes(), None, keys[mine].tobytes()))
+    return dict(zip(("part", "kind", "shingles", "whose", "table"), map(list, zip(*rows, strict=True)), strict=True))
+
+
+def _shared(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """The counts by set of one hash range, packed by what the set's key leaves modulo `parts`."""
+    own, posted = pdf[pdf["kind"] == 1], pdf[pdf["kind"] == 0]
+    keys = [np.frombuffer(b, np.int64) for b in own["table"]]
+    counts = [np.frombuffer(b, np.uint32).astype(np.int64) for b in own["shingles"]]
+    if len(posted):
+        shingle = np.frombuffer(b"".join(posted["shingles"]), np.uint32)
+        key = np.concatenate([np.r_[0, np.frombuffer(t, np.int64)][np.frombuffer(w, np.uint16)] for w, t in zip(posted["whose"], posted["table"], strict=True)])
+        order = np.argsort(shingle, kind="stable")
+        shingle, key = shingle[order], key[order]
+        first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+        several = (np.minimum.reduceat(key, first) != np.maximum.reduceat(key, first)) | np.logical_or.reduceat(key == 0, first)
+        shared = key[np.repeat(several, np.diff(np.r_[first, len(key)]))]
+        found, times = np.unique(shared[shared != 0], return_counts=True)
+        keys.append(found)
+        counts.append(times)
+    return _packed(np.concatenate(keys), np.concatenate(counts), parts)
+
+
+def _packed(keys: np.ndarray, counts: np.ndarray, parts: int) -> pd.DataFrame:
+    found, at = np.unique(keys, return_inverse=True)
+    sums, to = np.bincount(at, counts).astype(np.int64), found % parts
+    rows = [(int(p), found[to == p].tobytes(), sums[to == p].tobytes()) for p in np.unique(to)]
+    return pd.DataFrame(rows, columns=["part", "keys", "counts"])
+
+
 def shared_in_beginnings(docs: DataFrame, parts: int, percent: int) -> DataFrame:
-    """high, shared: how many shingles of a set's beginning occur in other sets' beginnings, never too few. A posting is 32 bits of
-    the hash within its range, and the set; a set of 0 says that the batch had several."""
+    """high, shared: how many shingles of a set's beginning occur in other sets' beginnings, never too few. Postings and counts go
+    packed, by hash range there and by set back."""
 
     def make():
         def run(batch):
@@ -100,96 +157,90 @@ def shared_in_beginnings(docs: DataFrame, parts: int, percent: int) -> DataFrame
                 found = shingle_set(text)
                 if len(found):
                     sets.setdefault(set_key(found)[0], found[: len(found) - least_overlap(len(found), percent) + depth(len(found))])
-            if not sets:
-                return {"part": [], "kind": [], "shingles": [], "keys": []}
-            keys = np.fromiter(sets, np.int64, len(sets))
-            sizes = np.fromiter(map(len, sets.values()), np.int64, len(sets))
-            hashes, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(keys)), sizes)
-            order = np.argsort(hashes)
-            hashes, owner = hashes[order], owner[order]
-            first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-            times = np.diff(np.r_[first, len(hashes)])
-            here = np.bincount(owner, np.repeat(times > 1, times), len(keys)).astype(np.int64)
-            sent, whose = hashes[first], np.where(times > 1, 0, keys[owner[first]])
-            part = (sent >> np.uint64(32)).astype(np.int64) % parts
-            order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            low = (sent & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            out = {"part": [], "kind": [], "shingles": [], "keys": []}
-            for p in range(parts):
-                at = order[bounds[p] : bounds[p + 1]]
-                if len(at):
-                    for k, v in zip(out, (p, 0, low[at].tobytes(), whose[at].tobytes()), strict=True):
-                        out[k].append(v)
-            for p in range(parts):
-                mine = np.flatnonzero((here > 0) & (np.arange(len(keys)) % parts == p))
-                if len(mine):
-                    for k, v in zip(out, (p, 1, here[mine].astype(np.uint32).tobytes(), keys[mine].tobytes()), strict=True):
-                        out[k].append(v)
+            out = {"part": [], "kind": [], "shingles": [], "whose": [], "table": []}
+            items = list(sets.items())
+            for start in range(0, len(items), 60_000):
+                for k, v in _postings(dict(items[start : start + 60_000]), parts).items():
+                    out[k] += v
             return out
 
         return run
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        join = lambda rows, column, kind: np.frombuffer(b"".join(rows[column]), kind)
-        own, posted = pdf[pdf["kind"] == 1], pdf[pdf["kind"] == 0]
-        keys, counts = [join(own, "keys", np.int64)], [join(own, "shingles", np.uint32).astype(np.int64)]
-        shingle, key = join(posted, "shingles", np.uint32), join(posted, "keys", np.int64)
-        order = np.argsort(shingle, kind="stable")
-        shingle, key = shingle[order], key[order]
-        if len(key):
-            first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
-            several = (np.minimum.reduceat(key, first) != np.maximum.reduceat(key, first)) | np.logical_or.reduceat(key == 0, first)
-            shared = key[np.repeat(several, np.diff(np.r_[first, len(key)]))]
-            found, times = np.unique(shared[shared != 0], return_counts=True)
-            keys.append(found)
-            counts.append(times)
-        return pd.DataFrame({"high": np.concatenate(keys), "shared": np.concatenate(counts).astype(np.int64)})
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = np.concatenate([np.frombuffer(b, np.int64) for b in pdf["keys"]])
+        found, at = np.unique(keys, return_inverse=True)
+        return pd.DataFrame({"high": found, "shared": np.bincount(at, np.concatenate([np.frombuffer(b, np.int64) for b in pdf["counts"]])).astype(np.int64)})
 
-    postings = map_batches(docs.select("text"), make, "part int, kind int, shingles binary, keys binary")
-    return postings.groupBy("part").applyInPandas(count, "high long, shared long").groupBy("high").agg(F.sum("shared").alias("shared"))
+    postings = map_batches(docs.select("text"), make, "part int, kind int, shingles binary, whose binary, table binary")
+    counts = postings.groupBy("part").applyInPandas(lambda pdf: _shared(pdf, parts), "part int, keys binary, counts binary")
+    return counts.groupBy("part").applyInPandas(total, "high long, shared long")
 
 
 def survivor_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
     """doc, n, shingles of the survivors (doc_id, high, low): a row of another text under the same id is not one."""
 
-    def make():
-        def run(batch):
-            sets = [(i, shingle_set(t), (h, lo)) for i, t, h, lo in zip(batch["doc_id"], batch["text"], batch["high"], batch["low"], strict=True)]
-            sets = [(i, s) for i, s, key in sets if set_key(s) == key]
-            return {"doc": [i for i, _ in sets], "n": [len(s) for _, s in sets], "shingles": [s.view(np.int64).tolist() for _, s in sets]}
+    schema = "doc long, n long, shingles array<long>"
 
-        return run
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500).to_pydict()
+                sets = [(i, shingle_set(t), (h, lo)) for i, t, h, lo in zip(part["doc_id"], part["text"], part["high"], part["low"], strict=True)]
+                sets = [(i, s) for i, s, key in sets if set_key(s) == key]
+                if sets:
+                    ends = np.cumsum([0, *(len(s) for _, s in sets)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(ends, np.concatenate([s for _, s in sets]).view(np.int64))
+                    yield pa.RecordBatch.from_pydict({"doc": np.array([i for i, _ in sets], np.int64), "n": np.diff(ends).astype(np.int64), "shingles": lists})
 
     rows = docs.select("doc_id", "text").join(survivors, "doc_id")
-    return map_batches(rows, make, "doc long, n long, shingles array<long>").dropDuplicates(["doc"])
+    return rows.select("doc_id", "text", "high", "low").mapInArrow(run, schema).dropDuplicates(["doc"])
 
 
 def searched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b of the pairs (a, b) that link: a is a query, the b of a block are its records."""
 
-    def make():
-        def run(batch):
+    def run(batches):
+        for batch in batches:
             out = {"a": [], "b": []}
-            for a, n, query, records in zip(batch["a"], batch["n"], batch["query"], batch["records"], strict=True):
-                found = divide_skip(np.array(query, np.int64), [np.array(r["shingles"], np.int64) for r in records], [pair_overlap(n, r["m"], percent) for r in records])
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("a", "n", "query", "records")]
+            for i in range(batch.num_rows):
+                a, n, query, records = (c[i] for c in columns)
+                a, n, records = a.as_py(), n.as_py(), records.values
+                sets = records.field("shingles")
+                found = divide_skip(query.values.to_numpy(), [x.values.to_numpy() for x in sets], [pair_overlap(n, m, percent) for m in records.field("m").to_pylist()])
+                ids = records.field("b").to_pylist()
                 out["a"] += [a] * len(found)
-                out["b"] += [records[i]["b"] for i in found]
-            return out
-
-        return run
+                out["b"] += [ids[j] for j in found]
+            yield pa.RecordBatch.from_pydict({k: np.array(v, np.int64) for k, v in out.items()})
 
     blocks = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     records = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     records = records.join(sets.select(F.col("doc").alias("b"), F.col("n").alias("m"), "shingles"), "b")
     grouped = records.groupBy("a", "block").agg(F.collect_list(F.struct("b", "m", "shingles")).alias("records"))
     queries = grouped.join(sets.select(F.col("doc").alias("a"), "n", F.col("shingles").alias("query")), "a")
-    return map_batches(queries.select("a", "n", "query", "records"), make, "a long, b long")
+    return queries.select("a", "n", "query", "records").mapInArrow(run, "a long, b long")
+
+
+#: 64-bit words of a set's parity bitmap.
+BITMAP = 4
+
+
+def _bitmap(shingles: str) -> Column:
+    """A bit for each hash class, set where an odd number of the shingles fall into it."""
+    word = lambda k: F.aggregate(shingles, F.lit(0).cast("long"), lambda bits, x: F.when(F.pmod(F.shiftrightunsigned(x, 6), F.lit(BITMAP)) == k, bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))).otherwise(bits))
+    return F.array(*(word(k) for k in range(BITMAP)))
 
 
-def _fits(n: Column, m: Column, percent: int) -> Column:
-    """Sizes at which sets can link at all."""
-    return (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
+def _may_link(a: Column, b: Column, percent: int) -> Column:
+    """False only for pairs that can't link: sizes n too far apart, too few shingles left after the common one (`rest`, in order of
+    frequency), or too many that differ: those that no other set holds (`alone`), and a bit of the bitmaps for each odd difference."""
+    n = a["n"] + b["n"]
+    near = (100 * F.least(a["n"], b["n"])) >= (percent * F.greatest(a["n"], b["n"]))
+    left = (100 + percent) * F.least(a["rest"], b["rest"]) >= percent * n
+    differ = a["alone"] + b["alone"]
+    for k in range(BITMAP):
+        differ = differ + F.bit_count(a["bits"][k].bitwiseXOR(b["bits"][k]))
+    return near & left & ((100 + percent) * (n - differ) >= 2 * percent * n)
 
 
 def linked_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -209,22 +260,25 @@ def linked_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ordered = postings.join(common, "shingle").groupBy("doc").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("shared"))
     least = F.ceil(percent * F.col("n") / 100)
     ordered = ordered.where(F.size("shared") >= least).select("doc", "n", F.col("shared.shingle").alias("shingles"))
-    sets = written(ordered, "sets")
-    listed = sets.select("doc", "n", F.explode(F.slice("shingles", F.lit(1), F.size("shingles") - least + 1)).alias("shingle"))
-    lists = cut(listed.select("shingle", "doc", F.col("n").cast("int").alias("n")))
+    sets = written(ordered.withColumn("bits", _bitmap("shingles")), "sets")  # once a set: after explode() it would be made once a shingle
+    alone = (F.col("n") - F.size("shingles")).cast("int")
+    listed = sets.select("doc", "n", alone.alias("alone"), "bits", F.posexplode(F.slice("shingles", F.lit(1), F.size("shingles") - least + 1)).alias("i", "shingle"))
+    about = F.struct("doc", F.col("n").cast("int").alias("n"), "alone", (F.col("n") - F.col("alone") - F.col("i")).cast("int").alias("rest"), "bits")
+    lists = cut(listed.select("shingle", "doc", about.alias("own")))
     links, where = None, None
-    for turn in range(3):
-        now = lists if where is None else lists.join(where.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        now = now.withColumn("component", F.col("doc")) if where is None else now
-        spread = now.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min_by(F.struct(F.col("doc").alias("a"), F.col("n").alias("m"), F.col("component").alias("of")), F.xxhash64("doc", F.lit(turn))).alias("first")).where("least < most")
-        if turn < 2:
-            pairs = now.join(spread, "shingle").where((F.col("component") != F.col("first.of")) & _fits(F.col("n"), F.col("first.m"), percent))
-            pairs = pairs.groupBy(F.col("doc").alias("b")).agg(F.min_by("first.a", F.xxhash64("first.a")).alias("a")).select("a", "b")
+    for turn, partners in enumerate((*ROUNDS, None)):
+        now = lists if where is None else lists.join(where.withColumnRenamed("node", "doc"), "doc", "left")
+        now = now.withColumn("component", F.col("doc") if where is None else F.coalesce("component", "doc"))
+        spread = now.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min_by(F.struct("own", "component"), F.xxhash64("doc", "shingle", F.lit(turn))).alias("first")).where("least < most")
+        if partners:
+            pairs = now.join(spread, "shingle").where((F.col("component") != F.col("first.component")) & _may_link(F.col("own"), F.col("first.own"), percent))
+            few = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("first.own.doc", F.lit(turn)).alias("by"), F.col("first.own.doc").alias("a")))), 1, partners)
+            pairs = pairs.groupBy(F.col("doc").alias("b")).agg(few.alias("few")).select(F.explode("few.a").alias("a"), "b")
         else:
             mixed = now.join(spread.select("shingle"), "shingle")
-            other = mixed.select("shingle", F.col("doc").alias("a"), F.col("n").alias("m"), F.col("component").alias("of"))
-            pairs = mixed.join(other, "shingle").where((F.col("of") < F.col("component")) & _fits(F.col("n"), F.col("m"), percent))
-            pairs = pairs.select("a", F.col("doc").alias("b")).distinct()
+            other = mixed.select("shingle", F.col("own").alias("other"), F.col("component").alias("of"))
+            pairs = mixed.join(other, "shingle").where((F.col("of") < F.col("component")) & _may_link(F.col("own"), F.col("other"), percent))
+            pairs = pairs.select(F.col("other.doc").alias("a"), F.col("doc").alias("b")).distinct()
         found = searched(cut(pairs), sets, percent)
         links = cut(found if links is None else links.union(found))
         where = components(links)
