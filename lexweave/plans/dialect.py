@@ -71,9 +71,10 @@ def views(spark: SparkSession, sf_dir: str, sql: str) -> None:
             spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
 
 
-def add(name: str, template: str) -> None:
-    """Registers a template as a query with its SQL."""
-    spark_sql = render(template, 0)
+def add(name: str, template: str, part: str = "") -> None:
+    """Registers a template as a query with its SQL. part: a filter that only the SQL has; the query is over all rows."""
+    assert part in template
+    spark_sql = render(template.replace(part, ""), 0)
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir, spark_sql)

@@ -14,7 +14,7 @@ add("q_dict_nested", f"WITH {DICT} SELECT e.hw, e.pos, s.idx, s.lang, s.n FROM e
 add("q_pos_topn", f"WITH {DICT} SELECT pos, count(*) AS n FROM entry GROUP BY pos ORDER BY n DESC, pos LIMIT 12")
 add("q_dictionary_stats", f"WITH {DICT} SELECT (SELECT count(*) FROM entry) AS entries, (SELECT count(*) FROM sense) AS senses, (SELECT count(DISTINCT lang) FROM sense) AS langs")
 add("q_pos_preference", f"WITH {DICT} SELECT hw, pos, row_number() OVER (PARTITION BY length(hw) ORDER BY CASE pos WHEN 'noun' THEN 0 WHEN 'verb' THEN 1 WHEN 'adv' THEN 2 ELSE 3 END, hw) AS place FROM entry")
-add("q_wsd", f"WITH {DICT}, score AS (SELECT d.doc_id, s.hw, s.lang, (CASE WHEN s.lang = d.lang THEN 3e0 ELSE -2e0 END) + 0.8e0 / (1 + s.idx) AS score FROM documents d JOIN tf ON tf.doc_id = d.doc_id JOIN sense s ON s.hw = tf.term WHERE d.doc_id < 50), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, hw ORDER BY score DESC, lang) AS i, lead(score) OVER (PARTITION BY doc_id, hw ORDER BY score DESC, lang) AS next FROM score) SELECT doc_id, hw, lang, round(score, 6) AS score, coalesce(score - next < 1.0, false) AS ambiguous FROM o WHERE i = 1")
+add("q_wsd", f"WITH {DICT}, score AS (SELECT d.doc_id, s.hw, s.lang, (CASE WHEN s.lang = d.lang THEN 3e0 ELSE -2e0 END) + 0.8e0 / (1 + s.idx) AS score FROM documents d JOIN tf ON tf.doc_id = d.doc_id JOIN sense s ON s.hw = tf.term WHERE d.doc_id < 50), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, hw ORDER BY score DESC, lang) AS i, lead(score) OVER (PARTITION BY doc_id, hw ORDER BY score DESC, lang) AS next FROM score) SELECT doc_id, hw, lang, round(score, 6) AS score, coalesce(score - next < 1.0, false) AS ambiguous FROM o WHERE i = 1", part=" WHERE d.doc_id < 50")
 add("q_domain_affinity", f"WITH {DICT}, t AS (SELECT hw, sum(n) AS n FROM sense GROUP BY hw) SELECT s.hw, s.lang, round(0.7e0 * s.n / t.n + 0.3e0 / (1 + s.idx), 6) AS affinity FROM sense s JOIN t ON t.hw = s.hw")
 add("q_direct_translation", f"WITH {DICT}, first AS (SELECT hw, concat(lang, ':', hw) AS target FROM sense WHERE idx = 0) SELECT t.doc_id, @join(coalesce(f.target, t.term) | ' ' | t.pos) AS target FROM @tokens t LEFT JOIN first f ON f.hw = t.term WHERE t.pos < 30 GROUP BY t.doc_id")
 add("q_gloss_labels", "SELECT item_id, regexp_extract(text, '^([^ ]+)', 1) AS label, @size(@distinct(@words(text))) AS content FROM benchmark")
@@ -34,8 +34,8 @@ add("q_tree_depth", "WITH RECURSIVE tree AS (SELECT item_id AS node, CASE WHEN i
 # --- translation memory ----------------------------------------------------------------------------------------------------
 SEG = "seg AS (SELECT conv_id, turn, role, trim(@rr(lower(text) | '[^\\p{L}\\p{N}]+' | ' ')) AS norm FROM conversations), tri AS (SELECT DISTINCT conv_id, turn, substring(p, i, 3) AS g FROM (SELECT conv_id, turn, concat('  ', w, ' ') AS p FROM (SELECT conv_id, turn, @each(@distinct(@all(norm | '[^ ]+' | 0))) AS w FROM seg) ws) q JOIN (SELECT @each(@range(1 | 40)) AS i) n ON n.i <= length(p) - 2), z AS (SELECT conv_id, turn, count(*) AS n FROM tri GROUP BY conv_id, turn)"
 TM = f"{SEG}, pair AS (SELECT a.conv_id AS qc, a.turn AS qt, b.conv_id, b.turn, count(*) AS i FROM (SELECT * FROM tri WHERE conv_id % 10 = 0) a JOIN tri b ON a.g = b.g AND (a.conv_id <> b.conv_id OR a.turn <> b.turn) GROUP BY a.conv_id, a.turn, b.conv_id, b.turn), tm AS (SELECT p.qc, p.qt, p.conv_id, p.turn, p.i / CAST(x.n + y.n - p.i AS DOUBLE) AS s FROM pair p JOIN z x ON x.conv_id = p.qc AND x.turn = p.qt JOIN z y ON y.conv_id = p.conv_id AND y.turn = p.turn)"
-add("q_tm_search", f"WITH {TM} SELECT qc, qt, conv_id, turn, round(s, 6) AS s, s >= 0.98 AS exact FROM tm WHERE s >= 0.70")
-add("q_tm_best", f"WITH {TM} SELECT qc, qt, conv_id, turn, round(s, 6) AS s FROM (SELECT *, row_number() OVER (PARTITION BY qc, qt ORDER BY round(s, 9) DESC, conv_id, turn) AS i FROM tm) WHERE i = 1")
+add("q_tm_search", f"WITH {TM} SELECT qc, qt, conv_id, turn, round(s, 6) AS s, s >= 0.98 AS exact FROM tm WHERE s >= 0.70", part=" WHERE conv_id % 10 = 0")
+add("q_tm_best", f"WITH {TM} SELECT qc, qt, conv_id, turn, round(s, 6) AS s FROM (SELECT *, row_number() OVER (PARTITION BY qc, qt ORDER BY round(s, 9) DESC, conv_id, turn) AS i FROM tm) WHERE i = 1", part=" WHERE conv_id % 10 = 0")
 add("q_tm_upsert", "WITH s AS (SELECT trim(@rr(lower(text) | '[^\\p{L}\\p{N}]+' | ' ')) AS norm, role, conv_id FROM conversations) SELECT norm, role, max(conv_id) AS latest, count(*) AS hits FROM s GROUP BY norm, role")
 add("q_tm_stats", "WITH s AS (SELECT trim(@rr(lower(text) | '[^\\p{L}\\p{N}]+' | ' ')) AS norm, role FROM conversations) SELECT role, count(*) AS segments, count(DISTINCT norm) AS unique_segments FROM s GROUP BY role")
 add("q_tm_apply", "WITH s AS (SELECT conv_id, turn, trim(@rr(lower(text) | '[^\\p{L}\\p{N}]+' | ' ')) AS norm FROM conversations), m AS (SELECT norm, min(conv_id) AS target FROM s GROUP BY norm HAVING count(*) > 1) SELECT s.conv_id, s.turn, coalesce(m.target, s.conv_id) AS target, m.norm IS NOT NULL AS from_memory FROM s LEFT JOIN m ON m.norm = s.norm")

@@ -41,7 +41,7 @@ add("q_strip_markdown", "SELECT conv_id, turn, @rr(@rr(text | '[*_`#>]+' | '') |
 add("q_utterance_normalize", "SELECT conv_id, turn, trim(@rr(@rr(@rr(lower(text) | '[!?;:,]+' | ' ') | '(^| )(please|uh|um|well|so)( |$)' | ' ') | ' +' | ' ')) AS utterance FROM conversations")
 add("q_detokenise", "WITH t AS (SELECT conv_id, turn, @each(@all(text | '\\p{L}+|[.,!?]' | 0)) AS w FROM conversations) SELECT conv_id, turn, count(*) AS pieces, count(CASE WHEN @like(w | '^[.,!?]$') THEN 1 END) AS marks FROM t GROUP BY conv_id, turn")
 add("q_parse_grade", "SELECT event_id, CASE WHEN @json(props | '$.k') IS NULL THEN NULL ELSE @long(@json(props | '$.k')) % 4 END AS grade FROM events")
-add("q_parse_date", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS DATE) AS d, extract(year FROM o_orderdate) AS y FROM orders WHERE o_orderkey % 7 = 0")
+add("q_parse_date", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS DATE) AS d, extract(year FROM o_orderdate) AS y FROM orders WHERE o_orderkey % 7 = 0", part=" WHERE o_orderkey % 7 = 0")
 add("q_spoken_numbers", "SELECT doc_id, @size(@all(text | '[0-9]+' | 0)) AS numbers, @size(@all(text | '[0-9]+%' | 0)) AS percents FROM documents")
 add("q_acronyms", "WITH a AS (SELECT doc_id, @each(@all(text | '\\p{Lu}{2,6}' | 0)) AS a FROM documents) SELECT a, count(*) AS n, @like(a | '[AEIOUY]') AS pronounceable FROM a GROUP BY a")
 add("q_scs_identifier", "SELECT source, lang, @rr(lower(concat(source, ' ', lang)) | '[^a-z0-9]+' | '_') AS identifier, count(*) AS n FROM documents GROUP BY source, lang")
@@ -94,7 +94,7 @@ add("q_summaries", f"WITH {SCORED}, {SELECTED} SELECT doc_id, count(*) AS senten
 add("q_lead", f"WITH {LINES} SELECT doc_id, i, s FROM ln0 WHERE i < 3")
 add("q_sentence_contributions", f"WITH {TF}, {DF}, {N}, {IDF}, {MAX}, {AUG}, {LINES} SELECT doc_id, i, term, round(w, 6) AS w FROM (SELECT st.doc_id, st.i, st.term, aug.w, row_number() OVER (PARTITION BY st.doc_id, st.i ORDER BY round(aug.w, 9) DESC, st.term) AS k FROM st JOIN aug ON aug.doc_id = st.doc_id AND aug.term = st.term) WHERE k <= 6")
 add("q_sentence_edges", f"WITH {LINES}, z AS (SELECT doc_id, i, count(*) AS n FROM st GROUP BY doc_id, i) SELECT a.doc_id, a.i AS a, b.i AS b, round(count(*) / (ln(max(x.n) + 1e0) + ln(max(y.n) + 1e0)), 6) AS sim FROM st a JOIN st b ON a.doc_id = b.doc_id AND a.term = b.term AND a.i < b.i JOIN z x ON x.doc_id = a.doc_id AND x.i = a.i JOIN z y ON y.doc_id = b.doc_id AND y.i = b.i WHERE a.i < 12 AND b.i < 12 GROUP BY a.doc_id, a.i, b.i")
-add("q_rouge_n", f"WITH {TF}, b AS (SELECT item_id, term, count(*) AS n FROM (SELECT item_id, @each(@words(text)) AS term FROM benchmark) q GROUP BY item_id, term), z AS (SELECT item_id, sum(n) AS n FROM b GROUP BY item_id) SELECT b.item_id, tf.doc_id, round(sum(least(b.n, tf.tf)) / CAST(max(z.n) AS DOUBLE), 6) AS recall FROM b JOIN tf ON tf.term = b.term JOIN z ON z.item_id = b.item_id WHERE tf.doc_id < 100 GROUP BY b.item_id, tf.doc_id")
+add("q_rouge_n", f"WITH {TF}, b AS (SELECT item_id, term, count(*) AS n FROM (SELECT item_id, @each(@words(text)) AS term FROM benchmark) q GROUP BY item_id, term), z AS (SELECT item_id, sum(n) AS n FROM b GROUP BY item_id) SELECT b.item_id, tf.doc_id, round(sum(least(b.n, tf.tf)) / CAST(max(z.n) AS DOUBLE), 6) AS recall FROM b JOIN tf ON tf.term = b.term JOIN z ON z.item_id = b.item_id WHERE tf.doc_id < 100 GROUP BY b.item_id, tf.doc_id", part=" WHERE tf.doc_id < 100")
 add("q_summary_quality", f"WITH {SCORED}, {SELECTED} SELECT s.doc_id, round(sum(length(s.s)) / CAST(max(d.n_chars) AS DOUBLE), 6) AS compression, round(avg(CASE WHEN s.i = 0 THEN 1e0 ELSE 0e0 END), 6) AS lead_share FROM sel s JOIN documents d ON d.doc_id = s.doc_id WHERE d.n_chars > 0 GROUP BY s.doc_id")
 add("q_batch_report", f"WITH {SCORED}, {SELECTED} SELECT d.lang, count(DISTINCT s.doc_id) AS documents, count(*) AS sentences FROM sel s JOIN documents d ON d.doc_id = s.doc_id GROUP BY d.lang")
 add("q_sentence_csv", f"WITH {SCORED} SELECT concat_ws(';', @text(doc_id), @text(i), @text(@long(round(w, 0)))) AS line FROM sw")
