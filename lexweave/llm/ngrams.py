@@ -288,10 +288,17 @@ def linked_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that are the first of their component, once each; rows that link with nothing stay."""
-    found = linked_components(docs, percent)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The rows of docs that are the first of their component, once each; rows that link with nothing stay. Rows with a null id, or an
+    id that different texts have, go by a key of id and text that comes after all other ids."""
+    rows = docs.select(F.struct("*").alias("row"))
+    text = F.xxhash64("row.text")
+    shared = rows.groupBy(F.col("row.doc_id").alias("id")).agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a < b").select("id")
+    rows = rows.join(shared, F.col("row.doc_id") == F.col("id"), "left")
+    own = F.lit(1 << 62) + F.xxhash64("row.doc_id", "row.text").bitwiseAND(F.lit((1 << 61) - 1))
+    rows = rows.select("row", F.when(F.col("row.doc_id").isNull() | F.col("id").isNotNull(), own).otherwise(F.col("row.doc_id")).alias("key"))
+    found = linked_components(rows.select(F.col("key").alias("doc_id"), "row.text"), percent)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("key")).distinct()
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def op10_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
