@@ -71,10 +71,14 @@ def views(spark: SparkSession, sf_dir: str, sql: str) -> None:
             spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
 
 
-def add(name: str, template: str, part: str = "") -> None:
-    """Registers a template as a query with its SQL. part: a filter that only the SQL has; the query is over all rows."""
-    assert part in template
-    spark_sql = render(template.replace(part, ""), 0)
+def add(name: str, template: str, part: str = "", wholes: dict[str, str] | None = None) -> None:
+    """Registers a template as a query with its SQL. part: a filter that only the SQL has; the query is over all rows. wholes: what
+    the query has in place of other parts that are limited in the SQL."""
+    whole = template
+    for limited, full in (({part: ""} if part else {}) | (wholes or {})).items():
+        assert limited in whole
+        whole = whole.replace(limited, full)
+    spark_sql = render(whole, 0)
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir, spark_sql)

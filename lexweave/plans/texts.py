@@ -85,19 +85,20 @@ add("q_df_histogram", f"WITH {TF}, {DF}, h AS (SELECT df, count(*) AS terms FROM
 add("q_zipf", f"WITH {TF}, {DF}, r AS (SELECT cf, row_number() OVER (ORDER BY cf DESC, term) AS r FROM df) SELECT round(-regr_slope(ln(cf), ln(r)), 6) AS slope, count(*) AS points, (SELECT count(*) FROM df WHERE cf = 1) AS hapax FROM r WHERE cf >= 2")
 add("q_collection_statistics", f"WITH {TF}, s AS (SELECT doc_id, @long(sum(tf)) AS words, count(*) AS terms FROM tf GROUP BY doc_id) SELECT count(*) AS documents, @long(sum(words)) AS words, round(avg(terms), 6) AS terms FROM s")
 LINES = "ln0 AS (SELECT doc_id, i, @at(ls | i + 1) AS s FROM (SELECT doc_id, @all(text | '[^.!?\\n]*\\p{L}[^.!?\\n]*[.!?]?' | 0) AS ls FROM documents) q CROSS JOIN (SELECT @each(@range(0 | 199)) AS i) n WHERE i < @size(ls)), ls1 AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(length(s)) OVER (PARTITION BY doc_id) AS whole FROM ln0), st AS (SELECT DISTINCT doc_id, i, term FROM (SELECT doc_id, i, @each(@words(s)) AS term FROM ln0) x WHERE length(term) >= 2)"
+ALL_LINES = {"CROSS JOIN (SELECT @each(@range(0 | 199)) AS i) n WHERE i < @size(ls)": "LATERAL VIEW posexplode(ls) n AS i, e"}
 SCORED = f"{TF}, {DF}, {N}, {IDF}, {MAX}, {AUG}, {LINES}, sc AS (SELECT st.doc_id, st.i, sum(aug.w) AS score, count(*) AS terms FROM st JOIN aug ON aug.doc_id = st.doc_id AND aug.term = st.term GROUP BY st.doc_id, st.i), sw AS (SELECT l.doc_id, l.i, l.s, (1 - l.start / CAST(l.whole AS DOUBLE)) * coalesce(sc.score, 0) AS w FROM ls1 l LEFT JOIN sc ON sc.doc_id = l.doc_id AND sc.i = l.i)"
-add("q_sentence_scores", f"WITH {SCORED} SELECT doc_id, i, round(w, 6) AS w FROM sw")
+add("q_sentence_scores", f"WITH {SCORED} SELECT doc_id, i, round(w, 6) AS w FROM sw", wholes=ALL_LINES)
 SELECTED = "sel AS (SELECT doc_id, i, s, w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, i) AS k FROM sw) WHERE k <= 5)"
-add("q_summary_select", f"WITH {SCORED}, {SELECTED} SELECT doc_id, i FROM sel")
-add("q_summary_text", f"WITH {SCORED}, {SELECTED} SELECT doc_id, @join(trim(s) | ' ' | i) AS summary FROM sel GROUP BY doc_id")
-add("q_summaries", f"WITH {SCORED}, {SELECTED} SELECT doc_id, count(*) AS sentences, @long(sum(length(s))) AS chars FROM sel GROUP BY doc_id")
-add("q_lead", f"WITH {LINES} SELECT doc_id, i, s FROM ln0 WHERE i < 3")
-add("q_sentence_contributions", f"WITH {TF}, {DF}, {N}, {IDF}, {MAX}, {AUG}, {LINES} SELECT doc_id, i, term, round(w, 6) AS w FROM (SELECT st.doc_id, st.i, st.term, aug.w, row_number() OVER (PARTITION BY st.doc_id, st.i ORDER BY round(aug.w, 9) DESC, st.term) AS k FROM st JOIN aug ON aug.doc_id = st.doc_id AND aug.term = st.term) WHERE k <= 6")
-add("q_sentence_edges", f"WITH {LINES}, z AS (SELECT doc_id, i, count(*) AS n FROM st GROUP BY doc_id, i) SELECT a.doc_id, a.i AS a, b.i AS b, round(count(*) / (ln(max(x.n) + 1e0) + ln(max(y.n) + 1e0)), 6) AS sim FROM st a JOIN st b ON a.doc_id = b.doc_id AND a.term = b.term AND a.i < b.i JOIN z x ON x.doc_id = a.doc_id AND x.i = a.i JOIN z y ON y.doc_id = b.doc_id AND y.i = b.i WHERE a.i < 12 AND b.i < 12 GROUP BY a.doc_id, a.i, b.i")
+add("q_summary_select", f"WITH {SCORED}, {SELECTED} SELECT doc_id, i FROM sel", wholes=ALL_LINES)
+add("q_summary_text", f"WITH {SCORED}, {SELECTED} SELECT doc_id, @join(trim(s) | ' ' | i) AS summary FROM sel GROUP BY doc_id", wholes=ALL_LINES)
+add("q_summaries", f"WITH {SCORED}, {SELECTED} SELECT doc_id, count(*) AS sentences, @long(sum(length(s))) AS chars FROM sel GROUP BY doc_id", wholes=ALL_LINES)
+add("q_lead", f"WITH {LINES} SELECT doc_id, i, s FROM ln0 WHERE i < 3", wholes=ALL_LINES)
+add("q_sentence_contributions", f"WITH {TF}, {DF}, {N}, {IDF}, {MAX}, {AUG}, {LINES} SELECT doc_id, i, term, round(w, 6) AS w FROM (SELECT st.doc_id, st.i, st.term, aug.w, row_number() OVER (PARTITION BY st.doc_id, st.i ORDER BY round(aug.w, 9) DESC, st.term) AS k FROM st JOIN aug ON aug.doc_id = st.doc_id AND aug.term = st.term) WHERE k <= 6", wholes=ALL_LINES)
+add("q_sentence_edges", f"WITH {LINES}, z AS (SELECT doc_id, i, count(*) AS n FROM st GROUP BY doc_id, i) SELECT a.doc_id, a.i AS a, b.i AS b, round(count(*) / (ln(max(x.n) + 1e0) + ln(max(y.n) + 1e0)), 6) AS sim FROM st a JOIN st b ON a.doc_id = b.doc_id AND a.term = b.term AND a.i < b.i JOIN z x ON x.doc_id = a.doc_id AND x.i = a.i JOIN z y ON y.doc_id = b.doc_id AND y.i = b.i WHERE a.i < 12 AND b.i < 12 GROUP BY a.doc_id, a.i, b.i", part=" WHERE a.i < 12 AND b.i < 12", wholes=ALL_LINES)
 add("q_rouge_n", f"WITH {TF}, b AS (SELECT item_id, term, count(*) AS n FROM (SELECT item_id, @each(@words(text)) AS term FROM benchmark) q GROUP BY item_id, term), z AS (SELECT item_id, sum(n) AS n FROM b GROUP BY item_id) SELECT b.item_id, tf.doc_id, round(sum(least(b.n, tf.tf)) / CAST(max(z.n) AS DOUBLE), 6) AS recall FROM b JOIN tf ON tf.term = b.term JOIN z ON z.item_id = b.item_id WHERE tf.doc_id < 100 GROUP BY b.item_id, tf.doc_id", part=" WHERE tf.doc_id < 100")
-add("q_summary_quality", f"WITH {SCORED}, {SELECTED} SELECT s.doc_id, round(sum(length(s.s)) / CAST(max(d.n_chars) AS DOUBLE), 6) AS compression, round(avg(CASE WHEN s.i = 0 THEN 1e0 ELSE 0e0 END), 6) AS lead_share FROM sel s JOIN documents d ON d.doc_id = s.doc_id WHERE d.n_chars > 0 GROUP BY s.doc_id")
-add("q_batch_report", f"WITH {SCORED}, {SELECTED} SELECT d.lang, count(DISTINCT s.doc_id) AS documents, count(*) AS sentences FROM sel s JOIN documents d ON d.doc_id = s.doc_id GROUP BY d.lang")
-add("q_sentence_csv", f"WITH {SCORED} SELECT concat_ws(';', @text(doc_id), @text(i), @text(@long(round(w, 0)))) AS line FROM sw")
+add("q_summary_quality", f"WITH {SCORED}, {SELECTED} SELECT s.doc_id, round(sum(length(s.s)) / CAST(max(d.n_chars) AS DOUBLE), 6) AS compression, round(avg(CASE WHEN s.i = 0 THEN 1e0 ELSE 0e0 END), 6) AS lead_share FROM sel s JOIN documents d ON d.doc_id = s.doc_id WHERE d.n_chars > 0 GROUP BY s.doc_id", wholes=ALL_LINES)
+add("q_batch_report", f"WITH {SCORED}, {SELECTED} SELECT d.lang, count(DISTINCT s.doc_id) AS documents, count(*) AS sentences FROM sel s JOIN documents d ON d.doc_id = s.doc_id GROUP BY d.lang", wholes=ALL_LINES)
+add("q_sentence_csv", f"WITH {SCORED} SELECT concat_ws(';', @text(doc_id), @text(i), @text(@long(round(w, 0)))) AS line FROM sw", wholes=ALL_LINES)
 KEY = "kw AS (SELECT doc_id, term, w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term) AS k FROM aug) WHERE k <= 30), kn AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM kw GROUP BY doc_id)"
 add("q_doc_similarity", f"WITH {TF}, {DF}, {N}, {IDF}, {MAX}, {AUG}, {KEY}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) / (max(x.norm) * max(y.norm)) AS sim FROM kw a JOIN kw b ON a.term = b.term AND a.doc_id < b.doc_id JOIN kn x ON x.doc_id = a.doc_id JOIN kn y ON y.doc_id = b.doc_id WHERE x.norm > 0 AND y.norm > 0 GROUP BY a.doc_id, b.doc_id) SELECT a, b, round(sim, 6) AS sim FROM p WHERE sim >= 0.08")
 add("q_graph_edges", f"WITH {TF}, {DF}, {N}, {IDF}, {MAX}, {AUG}, {KEY} SELECT concat('doc_', @text(doc_id)) AS source, concat('term_', term) AS target, round(w, 6) AS weight FROM kw")
