@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,29 +41,57 @@ def bucket_of(doc_id: Column, modulus: int) -> Column:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of the session; one is made only where the cluster names none."""
+    """The shared folder of the session. One is made only where the session names none and runs on this machine alone."""
     context = spark.sparkContext
     folder = context.getCheckpointDir()
     if folder is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
         folder = context.getCheckpointDir()
     return folder
 
 
+#: Removes the shuffle files of a query when it ends; without it they stay until the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query that ends leaves no shuffle files."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before or "false")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df from a reliable checkpoint: for narrow tables that several jobs read."""
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_removed(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df from a Parquet table in the shared folder: for wide tables of which jobs read some columns."""
     path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once nothing is left to read them."""
+    for df in tables:
+        hadoop = df.sparkSession._jvm.org.apache.hadoop.fs
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = hadoop.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """Rows from Arrow batches. make() is called once a task and gives the function from columns to columns."""
     target: StructType = _parse_datatype_string(schema)

@@ -199,21 +199,3 @@ def test_lm_is_near_the_best_on_independent_words(spark):
     out = [x for x in lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect() if x.held_out]
     assert sum(x.score for x in out) > 1.02 * sum(x.base_score for x in out)  # words drawn one by one: the base is the best there is
     assert 1 < sum(x.bits_per_byte for x in out) / len(out) < 3
-
-
-def test_lm_spelling_is_a_distribution():
-    zeros, ones = np.zeros(1 << lm.SLOTS), np.zeros(1 << lm.SLOTS)
-    words, counts = [b"ab", b"abc", b"b", lm.END], np.array([5, 2, 1, 3])
-    lm.counted(words, counts, zeros, ones)
-    model = lm.fit(zeros.astype(np.float32), ones.astype(np.float32), words, counts, np.ones(4))
-    # the 256 continuations of a prefix share its probability
-    data = [bytes([i]) for i in range(256)]
-    for prefix in (b"", b"a", b"zz"):
-        place = np.full(256, len(prefix))
-        before = np.full(256, int.from_bytes(prefix, "big"), np.uint64)
-        keys, log = lm.contexts(place, before), np.zeros(256)
-        for node, bit in lm.decisions(np.arange(256, dtype=np.uint8)):
-            x, gate = lm.inputs(model.zeros, model.ones, keys, node)
-            p = lm.refine(model, node, np.clip(lm.squash(np.einsum("ij,ij->i", x, model.weights[gate])), 1e-6, 1 - 1e-6))
-            log += np.log(np.where(bit, p, 1 - p))
-        assert abs(np.exp(log).sum() - 1) < 1e-9 and len(data) == 256
