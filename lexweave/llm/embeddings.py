@@ -1,14 +1,17 @@
 """Embedding near-dedup by collision-counting projections.
 
 Vectors of a label are dealt to cells by the signs of a few random projections, in several tables, so that a pair at the threshold
-shares a cell in one of them with probability `recall`. Within a cell the vectors are sorted along `LINES` further projections; a
-pair collides on a line where one lies in the window around the other, and pairs with at least the recall-calibrated number of
-collisions are verified by their cosine in double precision. A pair counts in the first table in which its codes agree, so that no
+shares a cell in one of them with probability `recall`. Within a cell the vectors are sorted along `LINES` further projections. Each
+vector walks its window on each line and meets those that lie in it; pairs that met the recall-calibrated number of times are
+verified by their cosine in double precision. A pair counts in the first table in which its codes agree, so that no
 pairs are shuffled: tasks give sums of links and a spanning forest. Cells beyond `TILE` vectors are split into pairs of chunks, so
-that no task grows with a cell and no vector is left out. Equal vectors of a label are one vector with a multiplicity.
+that no task grows with a cell and no vector is left out. Equal vectors of a label are one vector with a multiplicity, told by 64
+bits of a hash; single-precision vectors travel as such.
 
 Labels or vectors that are null, zero vectors and those with null or non-finite components link with nothing: n_links 0, their own
-component, kept. Ties don't arise; repeated rows are equal vectors. An empty table gives an empty result; other columns are ignored.
+component, kept. Vectors of different lengths don't link; long ones need no more than a row. Ties don't arise; repeated rows are
+equal vectors, and different vectors under one id are each compared: each row has the links of its own vector. A row with a null id
+links, but names no component. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,52 +53,57 @@ def least_collisions(lines: int = LINES, reach: float = REACH, recall: float = 0
 
 
 def coded(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
-    """vec_id, label, key, vec, codes: key identifies label and direction-free components; all but vec_id null where nothing links."""
+    """vec_id, label, node, narrow, vec, codes: node identifies label and components; all but vec_id null where nothing links."""
 
     def make():
         def run(batch):
-            out = {k: [] for k in ("label", "key", "vec", "codes")}
+            out = {k: [] for k in ("label", "node", "narrow", "vec", "codes")}
             for label, values in zip(batch["label"], batch["embedding"], strict=True):
-                row = (None,) * 4
+                row = (None,) * 5
                 if label is not None and values and None not in values:
                     v = np.array(values, np.float64) + 0.0
                     top = np.abs(v).max()
                     if np.isfinite(top) and top > 0:
-                        data = v.tobytes()
-                        key = hashlib.blake2b(f"{label}:".encode() + data, digest_size=16).digest()
+                        node = int.from_bytes(hashlib.blake2b(f"{label}:".encode() + v.tobytes(), digest_size=8).digest(), "big", signed=True)
                         planes = np.random.default_rng([SEED, len(v)]).standard_normal((tables * bits, len(v)))
                         signs = (planes @ (v / top) > 0).reshape(tables, bits)
-                        row = (str(label), key, data, (signs @ (1 << np.arange(bits))).tolist())
+                        with np.errstate(over="ignore"):
+                            single = v.astype(np.float32)
+                        narrow = bool((single == v).all())
+                        row = (str(label), node, narrow, (single if narrow else v).tobytes(), (signs @ (1 << np.arange(bits))).tolist())
                 for k, x in zip(out, row, strict=True):
                     out[k].append(x)
             return {"vec_id": batch["vec_id"]} | out
 
         return run
 
-    return map_batches(vectors.select("vec_id", "label", "embedding"), make, "vec_id long, label string, key binary, vec binary, codes array<int>")
+    return map_batches(vectors.select("vec_id", "label", "embedding"), make, "vec_id long, label string, node long, narrow boolean, vec binary, codes array<int>")
 
 
 def collision_pairs(left: np.ndarray, right: np.ndarray, threshold: float, lines: int = LINES) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of unit vectors that collide on enough lines, before verification."""
+    """Places of the pairs of unit vectors that meet on enough lines, before verification. On each line the vectors of `right` are sorted
+    and each of `left` walks its window; what it meets there is counted by pair."""
     directions = np.random.default_rng([SEED, 1, left.shape[1]]).standard_normal((left.shape[1], lines))
     reach = REACH * math.sqrt(2 - 2 * threshold)
     a, b = left @ directions, right @ directions
-    counts = np.zeros((len(left), len(right)), np.uint8)
-    place = np.empty(len(right), np.int32)
+    met = np.zeros(len(left) * len(right), np.uint8)
     for i in range(lines):
         order = np.argsort(b[:, i])
-        place[order] = np.arange(len(right))
         line = b[order, i]
-        low = np.searchsorted(line, a[:, i] - reach, "left").astype(np.int32)
-        high = np.searchsorted(line, a[:, i] + reach, "right").astype(np.int32)
-        counts += (place[None, :] >= low[:, None]) & (place[None, :] < high[:, None])
-    return np.nonzero(counts >= least_collisions(lines))
+        low, high = np.searchsorted(line, a[:, i] - reach, "left"), np.searchsorted(line, a[:, i] + reach, "right")
+        sizes = high - low
+        starts = np.cumsum(sizes) - sizes
+        walked = np.repeat(low - starts, sizes) + np.arange(sizes.sum())
+        pair = np.repeat(np.arange(len(left)) * len(right), sizes) + order[walked]
+        met[pair] += 1  # a pair meets once a line
+    return np.divmod(np.flatnonzero(met >= least_collisions(lines)), len(right))
 
 
 def tile_links(tile: pd.DataFrame, table: int, one: int, two: int, threshold: float) -> pd.DataFrame:
     """Links between the chunks `one` and `two` of a cell: rows (a, n) with sums of links and rows (a, b) of a spanning forest."""
-    ids, copies = tile["rep"].to_numpy(), tile["copies"].to_numpy()
-    dims = tile["vec"].map(len).to_numpy()
+    ids, copies = tile["node"].to_numpy(), tile["copies"].to_numpy()
+    vectors = [np.frombuffer(v, np.float32 if narrow else np.float64) for v, narrow in zip(tile["vec"], tile["narrow"], strict=True)]
+    dims = np.fromiter(map(len, vectors), np.int64, len(vectors))
     found_a, found_n, edges = [], [], []
     for dim in np.unique(dims):  # vectors of different lengths don't link
         same = np.flatnonzero(dims == dim)
@@ -103,7 +111,7 @@ def tile_links(tile: pd.DataFrame, table: int, one: int, two: int, threshold: fl
         others = rows if one == two else same[tile["chunk"].to_numpy()[same] == two]
         if not len(rows) or not len(others):
             continue
-        raw = np.frombuffer(b"".join(tile["vec"].iloc[np.r_[rows, others]]), np.float64).reshape(-1, dim // 8)
+        raw = np.stack([vectors[i] for i in np.r_[rows, others]]).astype(np.float64)
         raw = raw / np.abs(raw).max(axis=1, keepdims=True)
         unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
         a, b = unit[: len(rows)], unit[len(rows) :]
@@ -132,26 +140,28 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     largest = vectors.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = tables_for(largest, threshold, recall, cell)
     rows = written(coded(vectors, bits, tables), "vectors")
-    reps = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec"), F.first("codes").alias("codes"))
+    first = [F.first(c).alias(c) for c in ("label", "narrow", "vec", "codes")]
+    reps = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), *first)
     reps = written(reps, "representatives")
     where = ["label", "table", "code"]
     dealt = reps.select("*", F.posexplode("codes").alias("table", "code"))
     sizes = reps.select("label", F.posexplode("codes").alias("table", "code")).groupBy(where).count().where("count > 1")
     dealt = dealt.join(sizes.select(*where, F.ceil(F.col("count") / tile).cast("int").alias("chunks")), where)
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.withColumns({"one": F.least("chunk", "other"), "two": F.greatest("chunk", "other")})
 
     def links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return tile_links(pdf, key[1], key[3], key[4], threshold)
 
-    found = dealt.select(*where, "one", "two", "chunk", "rep", "copies", "vec", "codes").groupBy(*where, "one", "two").applyInPandas(links, "a long, b long, n long")
+    found = dealt.select(*where, "one", "two", "chunk", "node", "copies", "narrow", "vec", "codes").groupBy(*where, "one", "two").applyInPandas(links, "a long, b long, n long")
     found = written(found, "links")
-    sums = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    classes = components(found.where("n = 0").select("a", "b")).withColumnRenamed("node", "rep")
-    of_key = reps.select("key", "rep", "copies").join(sums, "rep", "left").join(classes, "rep", "left")
-    of_key = of_key.select("key", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("vec_id", "key").join(of_key, "key", "left")
+    sums = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    classes = components(found.where("n = 0").select("a", "b"))
+    placed = reps.select("node", "rep", "copies").join(sums, "node", "left").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_node = placed.join(least, "component").select("node", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
+    out = rows.select("vec_id", "node").join(of_node, "node", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 

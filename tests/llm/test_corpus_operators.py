@@ -122,6 +122,22 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_one_id_are_told_apart(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (None, [1.0, 0.02], 0), (3, [1e300, 0.0], 0), (4, [1.0 + 1e-12, 0.0], 1)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(((r.vec_id or 0, r.n_links, r.component_id) for r in got)) == [(0, 3, 1), (1, 0, 1), (1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 0, 4)]
+
+
+def test_collision_counts_equal_a_plain_count():
+    r = np.random.default_rng(1)
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (r.standard_normal((40, 8)), r.standard_normal((60, 8))))
+    directions = np.random.default_rng([embeddings.SEED, 1, 8]).standard_normal((8, embeddings.LINES))
+    reach = embeddings.REACH * math.sqrt(2 - 2 * 0.93)
+    met = (np.abs((a @ directions)[:, None] - (b @ directions)[None]) <= reach).sum(2)
+    i, j = embeddings.collision_pairs(a, b, 0.93)
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(zip(*(x.tolist() for x in np.nonzero(met >= embeddings.least_collisions())), strict=True))
+
+
 def test_collision_calibration():
     assert embeddings.tables_for(1)[1] == 1
     bits, tables = embeddings.tables_for(1_000_000)
