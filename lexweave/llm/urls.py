@@ -6,7 +6,11 @@ blocked one, in proportion to their number. Trust is personalised PageRank along
 linked host to the linking one. A host's score is trust / (trust + distrust); pages without a rule are blocked where it is below
 `threshold`, and allowed where it is not or where neither reached the host.
 
-Null URLs, or those without `://`, have an empty host and path; null pages link nowhere; each page row gives one row, repeated rows
+Pages of a host that has more than a `SHARE`th of all pages are dealt to several tasks, and what is known of the host goes to each:
+there are fewer than `SHARE` such hosts, so their list is broadcast. After 12 rounds at most 0.85 ** 12 = 0.14 of the rank has still
+to spread.
+
+Very long pages are read whole by one regular expression, one row at a time. Null URLs, or those without `://`, have an empty host and path; null pages link nowhere; each page row gives one row, repeated rows
 repeated ones; an empty table gives an empty result; columns other than page_id, url and html are left aside.
 """
 
@@ -22,6 +26,7 @@ from lexweave.llm.common import LOWER, UPPER, ascii_lower, cut
 #: Fixed rules of the query.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 0.5
+SHARE = 1024
 #: Rounds between checkpoints.
 CUT_EVERY = 4
 #: More rules than this are joined by shuffling.
@@ -49,6 +54,20 @@ def host_rules(spark: SparkSession, hosts: DataFrame, rules: Sequence[tuple[str,
     return ends.join(table, "at").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rule", "path", "verdict"))).alias("rules"))
 
 
+def hot_hosts(hosts: DataFrame) -> DataFrame:
+    """host, salts of the hosts with more than a SHARE-th of all pages, from (host, count): fewer than SHARE rows."""
+    whole = F.broadcast(hosts.agg(F.sum("count").alias("whole")))  # one row
+    return hosts.join(whole).where(F.col("count") * SHARE > F.col("whole")).select("host", F.ceil(F.col("count") * SHARE / F.col("whole")).cast("int").alias("salts"))
+
+
+def joined_by_host(pages: DataFrame, known: DataFrame, hot: DataFrame) -> DataFrame:
+    """pages with the columns of `known`, one row a host, where there are any. Pages of hot hosts are dealt by their id and path."""
+    salts = lambda df: df.join(F.broadcast(hot), "host", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    pages = salts(pages).withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.col("salts")).cast("int")).drop("salts")
+    known = salts(known).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return pages.join(known, ["host", "salt"], "left").drop("salt")
+
+
 def best_rule(rules: Column, path: Column) -> Column:
     """The rule of the host that fits the path: the longest, then the first by text; null where none fits."""
     fits = F.filter(rules, lambda r: F.startswith(path, r["path"]))
@@ -86,8 +105,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold:
     """page_id, host, path, rule, verdict and the host's score."""
     spark = pages.sparkSession
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    ruled = host_rules(spark, parsed.select("host").distinct(), rules)
-    best = parsed.join(ruled, "host", "left").select("page_id", "host", "path", best_rule(F.col("rules"), F.col("path")).alias("best"))
+    hosts = cut(parsed.groupBy("host").count())
+    hot = cut(hot_hosts(hosts))
+    ruled = host_rules(spark, hosts.select("host"), rules)
+    best = joined_by_host(parsed, ruled, hot).select("page_id", "host", "path", best_rule(F.col("rules"), F.col("path")).alias("best"))
     best = cut(best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("ruled")))
     counts = best.where("rule IS NOT NULL").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad"))
     whole = counts.agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
@@ -95,7 +116,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold:
     seeds = counts.join(F.broadcast(whole)).select("host", part("good", "all_good").alias("trust"), part("bad", "all_bad").alias("distrust"))
     ranks = propagated(seeds, cut(link_edges(pages.select("url", "html"))))
     score = F.round(F.col("trust") / F.nullif(F.col("trust") + F.col("distrust"), F.lit(0.0)), 9)
-    scored = best.join(ranks.select("host", score.alias("score")), "host", "left")
+    scored = joined_by_host(best, ranks.select("host", score.alias("score")), hot)
     verdict = F.coalesce("ruled", F.when(F.col("score") < threshold, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 

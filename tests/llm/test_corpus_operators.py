@@ -231,3 +231,14 @@ def test_url_rules_and_links(spark):
     assert got[8].verdict == "allow"  # friend.net has trust and links to nobody
     assert (got[1].host, got[1].path) == ("a.org", "/x") and (got[11].host, got[12].path) == ("", "") and got[13].path == ""
     assert urls.judge(df.limit(0)).count() == 0
+
+
+def test_url_hot_hosts_are_dealt(spark):
+    link = '<a href="http://bad.com/de/x">' + "y" * 50_000
+    pages = [(i, f"http://hot.net/{i}", link if i % 50 == 0 else None) for i in range(400)] + [(1000, "http://bad.com/de/x", ""), (1000, "http://bad.com/de/x", ""), (None, "http://rare.net/", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    hot = {r.host: r.salts for r in urls.hot_hosts(df.select(urls.host_of(df.url).alias("host")).groupBy("host").count()).collect()}
+    assert hot["hot.net"] == math.ceil(400 * 1024 / 403) and len(hot) < urls.SHARE
+    got = urls.judge(df).collect()
+    assert len(got) == len(pages) and {r.verdict for r in got if r.host == "hot.net"} == {"block"}
+    assert sorted((r.host, r.verdict) for r in got if r.host != "hot.net") == [("bad.com", "block")] * 2 + [("rare.net", "allow")]
