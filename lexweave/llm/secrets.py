@@ -1,10 +1,14 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy over candidate strings, in built-in expressions only.
 
-A candidate is a run of the characters of a class. Its entropy in each window of `window` characters is log2(w) - S/w with
+A candidate is a run of the characters of a class: mixed base64, upper and lower hexadecimal, digits, and lower letters with digits,
+each with a window and a threshold of its own. Its entropy in each window of `window` characters is log2(w) - S/w with
 S = sum of c*log2(c) over the characters' counts in the window; moving the window by one changes one count down and one up, so
-that S is carried along. A candidate is a secret where some window reaches the class's threshold, unless the allow list fits it
-or a span of a pattern overlaps it. Null and empty texts have no spans; positions are code points of the whole text; each input
-row gives one row, repeated rows repeated ones; further columns are left aside.
+that S is carried along. A candidate is a secret where some window reaches the class's threshold, unless the allow list has it as a whole,
+a span of a pattern overlaps it or a longer candidate that is a secret covers it.
+
+Null and empty texts have no spans; positions are code points of the whole text, however long; spans that start together go by kind,
+then by end. Each input row gives one row, repeated rows repeated ones, an empty table none; a column named `secrets` is replaced by
+find_secrets and kept by masked; further columns are left aside.
 """
 
 from __future__ import annotations
@@ -39,16 +43,21 @@ class CharacterClass:
     threshold: float  # bits a character
 
 
+_HEX, _DIGITS, _SMALL = "0123456789abcdef", "0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"
+_ALONE = lambda run: rf"(?<![A-Za-z0-9]){run}+(?![A-Za-z0-9])"  # noqa: E731  not within a longer word
 CLASSES = (
     CharacterClass("base64", r"[A-Za-z0-9+/_=-]{20,}", ("[0-9]", "[a-z]", "[A-Z]"), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.7),
-    CharacterClass("uphex", r"[0-9A-F]{32,}", ("[0-9]", "[A-F]"), "0123456789ABCDEF", 32, 3.0),
+    CharacterClass("uphex", _ALONE("[0-9A-F]{32,}"), ("[0-9]", "[A-F]"), _HEX.upper(), 32, 3.0),
+    CharacterClass("lowhex", _ALONE("[0-9a-f]{16,}"), ("[0-9]", "[a-f]"), _HEX, 16, 2.9),
+    CharacterClass("digits", _ALONE("[0-9]{16,}"), (), _DIGITS, 16, 2.7),
+    CharacterClass("small", _ALONE("[a-z0-9]{20,}"), ("[0-9]", "[a-z]"), _SMALL, 20, 3.5),
 )
-#: Strings that look random and are public: UUIDs, sequences for tests, words ending in EXAMPLE.
+#: Whole strings that look random and are public: UUIDs, words joined by signs, sample keys that end in EXAMPLE, sequences for tests.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"(?i)^[a-z0-9+/_=-]*example[a-z0-9]*$",
+    r"^[A-Za-z0-9+/_=-]*EXAMPLE(KEY)?$",
     r"^[A-Za-z]+([-_/][A-Za-z]+)+$",
-    r"0123456789|abcdefghij|ABCDEFGHIJ",
+    r"^(?i)(0123456789(abcdef)?|1234567890(abcdef)?)+[0-9a-f]{0,15}$",
 )
 
 
@@ -89,9 +98,14 @@ def peak_entropy(string: Column, alphabet: str, window: int) -> Column:
     moves = F.slice(F.arrays_zip(codes, F.concat(F.array_repeat(F.lit(0), window), codes)), 1, F.length(string))
     weigh = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(0.0)
 
+    def moved(counts: Column, at: Column, by: int) -> Column:
+        """One count changed, the others as they are."""
+        new = F.concat(F.slice(counts, 1, at - 1), F.array(F.get(counts, at - 1) + by), F.slice(counts, at + 1, F.lit(len(alphabet)) - at))
+        return F.when(at > 0, new).otherwise(counts)
+
     def step(state: Column, x: Column) -> Column:
         more, less = F.get(state["counts"], x["0"] - 1), F.get(state["counts"], x["1"] - 1)
-        counts = F.transform(state["counts"], lambda c, i: c + F.when(i + 1 == x["0"], 1).otherwise(0) - F.when(i + 1 == x["1"], 1).otherwise(0))
+        counts = F.when(x["0"] == x["1"], state["counts"]).otherwise(moved(moved(state["counts"], x["0"], 1), x["1"], -1))
         total = state["sum"] + F.when(x["0"] == x["1"], 0.0).otherwise(weigh(more + 1) - weigh(more) + F.when(x["1"] > 0, weigh(less - 1) - weigh(less)).otherwise(0.0))
         seen = state["seen"] + 1
         peak = F.when(seen >= window, F.greatest(state["peak"], F.lit(math.log2(window)) - total / window)).otherwise(state["peak"])
@@ -129,6 +143,8 @@ def find_secrets(docs: DataFrame, text: str = "text", classes: tuple[CharacterCl
         added.append(c.name)
     own = own.withColumn("added", F.array_distinct(F.concat(*added))).drop(*added)
     own = own.withColumn("added", F.filter("added", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))
+    longer = lambda y, x: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (x["end"] - x["start"] < y["end"] - y["start"])
+    own = own.withColumn("added", F.filter("added", lambda x: ~F.exists("added", lambda y: longer(y, x))))
     return own.select("row.*", F.array_sort(F.concat("base", "added")).alias("secrets"))
 
 

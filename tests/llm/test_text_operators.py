@@ -114,6 +114,34 @@ def test_entropy_and_masks(spark):
     assert clean[0].text == "key [SECRET] end" and clean[2].text == "nothing here" and clean[3].text is None
 
 
+def test_added_spans_equal_a_plain_scan(spark):
+    r = random.Random(12)
+    pieces = ["0123456789abcdef", "9807915762804490", "1111222211112222", "deadbeefdeadbeef0", "x9kq2lm8vb4tn7rw3yp6hc1", "Zx9Kq2Lm8Vb4Tn7Rw3Yp6Hc1", "F00DBABE12345678F00DBABE9ABCDEF0", "word", "long-words-joined", "0123456789" * 4]
+    pieces += ["".join(r.choices(a, k=r.randint(14, 44))) for a in (secrets._HEX, secrets._DIGITS, secrets._SMALL, secrets.CLASSES[0].alphabet) for _ in range(25)]
+    texts = ["é ".join(r.choices(pieces, k=r.randint(1, 9))) for _ in range(120)] + [None, "", "token=" + pieces[5]]
+    docs = spark.createDataFrame([(i, t, "own") for i, t in enumerate(texts)], "doc_id long, text string, secrets string")
+    got = {x.doc_id: x for x in secrets.find_secrets(docs).collect()}
+    masks = {x.doc_id: x for x in secrets.masked(docs).collect()}
+    added = 0
+    for i, text in enumerate(texts):
+        base = [(int(a), int(b)) for _, a, b in (x.split(":") for x in plain_secrets(text or "").split(",") if x)]
+        found = set()
+        for c in secrets.CLASSES:
+            for m in re.finditer(c.run, text or ""):
+                listed = any(re.search(p.replace("^(?i)", "(?i)^"), m[0]) for p in secrets.ALLOWED)
+                if all(re.search(p, m[0]) for p in c.needs) and not listed and plain_peak(m[0], c.window) >= c.threshold - 1e-9:
+                    found.add(m.span())
+        found = {x for x in found if not any(x[0] < b and a < x[1] for a, b in base)}
+        found = {x for x in found if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in found)}
+        assert {(x["start"], x["end"]) for x in got[i].secrets if x["kind"] == 3} == found, text
+        added += len(found)
+        clean, at = "", 0
+        for a, b in sorted([*base, *found]):
+            clean, at = clean + text[at:a] + "[SECRET]" if a >= at else clean, max(at, b)
+        assert masks[i].text == (None if text is None else clean + text[at:]) and masks[i].secrets == "own"
+    assert added > 60 and secrets.find_secrets(docs.limit(0)).count() == 0
+
+
 def test_op9(spark, tmp_path):
     rows = {r.doc_id: r for r in secrets.op9_secret_entropy(spark, write(spark, tmp_path, frame(spark))).collect()}
     for row in corpus():
