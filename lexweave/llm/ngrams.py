@@ -12,35 +12,46 @@ T = ceil(percent * n / 100) of its shingles. Texts with equal sets are one.
    long ones by binary search, and keeps the candidates that reach the overlap. In the first rounds a set is asked about few
    others of its lists, which joins groups of near copies in linear work; the last asks about every pair of a list that is in
    different components by then. Pairs that sizes, places in the order or bitmaps rule out for certain are never asked about.
-   Queries go out in blocks of `BLOCK` candidates.
+   Queries go out in blocks of candidates with `BLOCK` shingles.
 
-Null and empty texts have no shingles and link with nothing; shorter ones are one shingle. Ties in length or frequency fall by hash.
-Rows with the same text are one class; a null doc_id is its own null component. Columns but doc_id and text are left aside.
+A text is shingled once for its key and its beginning, and a second time if its set survives. Sets are told by 64 bits of their key
+where a table has one column for them.
+
+Null and empty texts have no shingles and link with nothing; shorter ones are one shingle; a very long text is a large set of its
+own, and blocks of candidates are bounded by shingles, not by sets. Ties in length or frequency fall by hash. Rows with the same set
+are one class, whatever their ids: different texts under one id are each compared, and rows with a null id stay. component_id is the
+smallest id of the component, null where no row of it has one. An empty table gives an empty result. Columns but doc_id and text are
+left aside.
 """
 
 from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
+from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from lexweave.llm.common import cut, documents, map_batches, written
+from lexweave.llm.common import documents, removed, written
 from lexweave.llm.components import components
 from lexweave.llm.shingles import set_key, shingle_set
 
 PERCENT = 75
 #: l as a share of the set, in percent: more sends more shingles and leaves fewer survivors.
 DEPTH = 25
-#: Postings of a task of step 1; candidates of a query block.
-POSTINGS, BLOCK = 1_500_000, 256
+#: Postings of a task of step 1, and those a task gathers before it sends them on; shingles in a block of candidates.
+POSTINGS, GATHERED, BLOCK = 1_500_000, 6_000_000, 1 << 18
+#: Bytes of text for each shingle, to judge the number of tasks.
+BYTES = 7
 #: Partners that a set is asked about in each round before the last.
-ROUNDS = (1, 4, 16)
+ROUNDS = (2, 8)
 
 
 def least_overlap(n: int, percent: int = PERCENT) -> int:
@@ -79,23 +90,14 @@ def divide_skip(query: np.ndarray, records: list[np.ndarray], needs: list[int])
     return found
 
 
-def set_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, n, high, low: the size of each text's set and its 128-bit key."""
-
-    def make():
-        def run(batch):
-            sets = [shingle_set(t) for t in batch["text"]]
-            keys = [set_key(s) for s in sets]
-            return {"doc_id": batch["doc_id"], "n": [len(s) for s in sets], "high": [h for h, _ in keys], "low": [lo for _, lo in keys]}
-
-        return run
-
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n long, high long, low long")
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text and what tells a row by both: two hashes, `row` and `more`."""
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), F.hash("text", "doc_id").alias("more"))
 
 
-def _postings(sets: dict[int, np.ndarray], parts: int) -> dict[str, list]:
-    """Rows of kind 0, the shingles of a hash range with the set that holds each (a place in `table` from 1, or 0 for several), and
-    of kind 1, how many shingles of each set several sets of this batch hold."""
+def _postings(sets: dict[int, np.ndarray], parts: int, owners: int) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
+    """Rows of kind 0, the shingles of hash range `part` with the set that holds each (a place in `table` from 1, or 0 for several), and
+    of kind 1, how many shingles of each set several of these sets hold, by what the set's key leaves modulo `owners`."""
     keys = np.fromiter(sets, np.int64, len(sets))
     sizes = np.fromiter(map(len, sets.values()), np.int64, len(sets))
     hashes, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(keys)), sizes)
@@ -104,100 +106,112 @@ def _postings(sets: dict[int, np.ndarray], parts: int) -> dict[str, list]:
     first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
     times = np.diff(np.r_[first, len(hashes)])
     here = np.bincount(owner, np.repeat(times > 1, times), len(keys)).astype(np.uint32)
-    sent, whose = hashes[first], np.where(times > 1, 0, owner[first] + 1).astype(np.uint16)
+    sent, whose = hashes[first], np.where(times > 1, 0, owner[first] + 1)
     part = (sent >> np.uint64(32)).astype(np.int64) % parts
     order = np.argsort(part, kind="stable")
     bounds = np.searchsorted(part[order], np.arange(parts + 1))
     low = (sent & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    rows = []
-    for p in range(parts):
+    for p in np.flatnonzero(np.diff(bounds)).tolist():
         at = order[bounds[p] : bounds[p + 1]]
-        if len(at):
-            rows.append((p, 0, low[at].tobytes(), whose[at].tobytes(), keys.tobytes()))
-        mine = np.flatnonzero((here > 0) & (keys % parts == p))
-        if len(mine):
-            rows.append((p, 1, here[mine].tobytes(), None, keys[mine].tobytes()))
-    return dict(zip(("part", "kind", "shingles", "whose", "table"), map(list, zip(*rows, strict=True)), strict=True))
-
-
-def _shared(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
-    """The counts by set of one hash range, packed by what the set's key leaves modulo `parts`."""
-    own, posted = pdf[pdf["kind"] == 1], pdf[pdf["kind"] == 0]
-    keys = [np.frombuffer(b, np.int64) for b in own["table"]]
-    counts = [np.frombuffer(b, np.uint32).astype(np.int64) for b in own["shingles"]]
-    if len(posted):
-        shingle = np.frombuffer(b"".join(posted["shingles"]), np.uint32)
-        key = np.concatenate([np.r_[0, np.frombuffer(t, np.int64)][np.frombuffer(w, np.uint16)] for w, t in zip(posted["whose"], posted["table"], strict=True)])
-        order = np.argsort(shingle, kind="stable")
-        shingle, key = shingle[order], key[order]
-        first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
-        several = (np.minimum.reduceat(key, first) != np.maximum.reduceat(key, first)) | np.logical_or.reduceat(key == 0, first)
-        shared = key[np.repeat(several, np.diff(np.r_[first, len(key)]))]
-        found, times = np.unique(shared[shared != 0], return_counts=True)
-        keys.append(found)
-        counts.append(times)
-    return _packed(np.concatenate(keys), np.concatenate(counts), parts)
-
-
-def _packed(keys: np.ndarray, counts: np.ndarray, parts: int) -> pd.DataFrame:
-    found, at = np.unique(keys, return_inverse=True)
-    sums, to = np.bincount(at, counts).astype(np.int64), found % parts
-    rows = [(int(p), found[to == p].tobytes(), sums[to == p].tobytes()) for p in np.unique(to)]
-    return pd.DataFrame(rows, columns=["part", "keys", "counts"])
-
-
-def shared_in_beginnings(docs: DataFrame, parts: int, percent: int) -> DataFrame:
+        present, place = np.unique(np.r_[0, whose[at]], return_inverse=True)
+        yield p, 0, low[at].tobytes(), place[1:].astype(np.uint16).tobytes(), keys[present[1:] - 1].tobytes()
+    to = keys % owners
+    for p in np.unique(to[here > 0]).tolist():
+        mine = (here > 0) & (to == p)
+        yield p, 1, here[mine].tobytes(), b"", keys[mine].tobytes()
+
+
+_PASS = "doc_id long, row long, more int, n long, high long, low long, kind int, part int, shingles binary, whose binary, table binary"
+
+
+def first_pass(docs: DataFrame, parts: int, owners: int, percent: int) -> DataFrame:
+    """From one reading of the texts: rows without a kind, the key (high, low) and size n of each text's set, and the packed beginnings
+    of _postings."""
+    schema = _parse_datatype_string(_PASS)
+    arrow = to_arrow_schema(schema)
+
+    def batch_of(columns: dict[str, list], size: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in arrow], schema=arrow)
+
+    def posted(sets: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = list(_postings(sets, parts, owners)) if sets else []
+        for start in range(0, len(rows), 500):
+            part = rows[start : start + 500]
+            names = ("part", "kind", "shingles", "whose", "table")
+            yield batch_of(dict(zip(names, map(list, zip(*part, strict=True)), strict=True)), len(part))
+
+    def run(batches):
+        beginnings: dict[int, np.ndarray] = {}
+        held = 0
+        for batch in batches:
+            keys = []
+            for text in batch.column(1):
+                found = shingle_set(text.as_py())
+                high, low = set_key(found)
+                keys.append((len(found), high, low))
+                if len(found) and high not in beginnings:
+                    own = beginnings[high] = found[: len(found) - least_overlap(len(found), percent) + depth(len(found))]
+                    held += len(own)
+                if held >= GATHERED or len(beginnings) >= 60_000:
+                    yield from posted(beginnings)
+                    beginnings, held = {}, 0
+            own = {"doc_id": batch.column(0), "row": batch.column(2), "more": batch.column(3)}
+            yield batch_of(own | dict(zip(("n", "high", "low"), map(list, zip(*keys, strict=True)), strict=True)) if keys else own, batch.num_rows)
+        yield from posted(beginnings)
+
+    return identified(docs).mapInArrow(run, schema)
+
+
+def _shared(pdf: pd.DataFrame, owners: int) -> pd.DataFrame:
+    """How many shingles of a hash range each set shares with others, packed by what its key leaves modulo `owners`."""
+    shingle = np.frombuffer(b"".join(pdf["shingles"]), np.uint32)
+    key = np.concatenate([np.r_[0, np.frombuffer(t, np.int64)][np.frombuffer(w, np.uint16)] for w, t in zip(pdf["whose"], pdf["table"], strict=True)])
+    order = np.argsort(shingle, kind="stable")
+    shingle, key = shingle[order], key[order]
+    first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+    several = (np.minimum.reduceat(key, first) != np.maximum.reduceat(key, first)) | np.logical_or.reduceat(key == 0, first)
+    shared = key[np.repeat(several, np.diff(np.r_[first, len(key)]))]
+    found, times = np.unique(shared[shared != 0], return_counts=True)
+    to = found % owners
+    rows = [(int(p), times[to == p].astype(np.uint32).tobytes(), found[to == p].tobytes()) for p in np.unique(to)]
+    return pd.DataFrame(rows, columns=["part", "shingles", "table"])
+
+
+def shared_in_beginnings(passed: DataFrame, owners: int) -> DataFrame:
     """high, shared: how many shingles of a set's beginning occur in other sets' beginnings, never too few. Postings and counts go
     packed, by hash range there and by set back."""
 
-    def make():
-        def run(batch):
-            sets: dict[int, np.ndarray] = {}
-            for text in batch["text"]:
-                found = shingle_set(text)
-                if len(found):
-                    sets.setdefault(set_key(found)[0], found[: len(found) - least_overlap(len(found), percent) + depth(len(found))])
-            out = {"part": [], "kind": [], "shingles": [], "whose": [], "table": []}
-            items = list(sets.items())
-            for start in range(0, len(items), 60_000):
-                for k, v in _postings(dict(items[start : start + 60_000]), parts).items():
-                    out[k] += v
-            return out
-
-        return run
-
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(b, np.int64) for b in pdf["keys"]])
+        keys = np.concatenate([np.frombuffer(b, np.int64) for b in pdf["table"]])
         found, at = np.unique(keys, return_inverse=True)
-        return pd.DataFrame({"high": found, "shared": np.bincount(at, np.concatenate([np.frombuffer(b, np.int64) for b in pdf["counts"]])).astype(np.int64)})
+        times = np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["shingles"]])
+        return pd.DataFrame({"high": found, "shared": np.bincount(at, times, len(found)).astype(np.int64)})
 
-    postings = map_batches(docs.select("text"), make, "part int, kind int, shingles binary, whose binary, table binary")
-    counts = postings.groupBy("part").applyInPandas(lambda pdf: _shared(pdf, parts), "part int, keys binary, counts binary")
+    counts = passed.where("kind = 0").select("part", "shingles", "whose", "table").groupBy("part").applyInPandas(lambda pdf: _shared(pdf, owners), "part int, shingles binary, table binary")
+    counts = counts.union(passed.where("kind = 1").select("part", "shingles", "table"))
     return counts.groupBy("part").applyInPandas(total, "high long, shared long")
 
 
 def survivor_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
-    """doc, n, shingles of the survivors (doc_id, high, low): a row of another text under the same id is not one."""
+    """doc, n, shingles of the survivors (row, more, high): doc is their high. Equal rows meet in the join and are read once."""
 
-    schema = "doc long, n long, shingles array<long>"
+    schema = "doc long, n int, shingles array<long>"
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500).to_pydict()
-                sets = [(i, shingle_set(t), (h, lo)) for i, t, h, lo in zip(part["doc_id"], part["text"], part["high"], part["low"], strict=True)]
-                sets = [(i, s) for i, s, key in sets if set_key(s) == key]
-                if sets:
-                    ends = np.cumsum([0, *(len(s) for _, s in sets)]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(ends, np.concatenate([s for _, s in sets]).view(np.int64))
-                    yield pa.RecordBatch.from_pydict({"doc": np.array([i for i, _ in sets], np.int64), "n": np.diff(ends).astype(np.int64), "shingles": lists})
+                part = batch.slice(start, 500)
+                sets = [shingle_set(t.as_py()) for t in part.column(1)]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(ends, np.concatenate(sets).view(np.int64))
+                yield pa.RecordBatch.from_pydict({"doc": part.column(0), "n": np.diff(ends), "shingles": lists})
 
-    rows = docs.select("doc_id", "text").join(survivors, "doc_id")
-    return rows.select("doc_id", "text", "high", "low").mapInArrow(run, schema).dropDuplicates(["doc"])
+    rows = identified(docs).join(survivors, ["row", "more"]).groupBy("row", "more").agg(F.first("high").alias("high"), F.first("text").alias("text"))
+    return rows.select("high", "text").mapInArrow(run, schema)
 
 
 def searched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b of the pairs (a, b) that link: a is a query, the b of a block are its records."""
+    """a, b of the pairs (a, b, m) that link: a is a query, the b of a block, with m shingles each, are its records."""
 
     def run(batches):
         for batch in batches:
@@ -213,8 +227,8 @@ def searched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 out["b"] += [ids[j] for j in found]
             yield pa.RecordBatch.from_pydict({k: np.array(v, np.int64) for k, v in out.items()})
 
-    blocks = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    records = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    so_far = F.sum("m").over(Window.partitionBy("a").orderBy("b"))
+    records = pairs.select("a", "b", F.floor(so_far / BLOCK).alias("block"))
     records = records.join(sets.select(F.col("doc").alias("b"), F.col("n").alias("m"), "shingles"), "b")
     grouped = records.groupBy("a", "block").agg(F.collect_list(F.struct("b", "m", "shingles")).alias("records"))
     queries = grouped.join(sets.select(F.col("doc").alias("a"), "n", F.col("shingles").alias("query")), "a")
@@ -231,74 +245,108 @@ def _bitmap(shingles: str) -> Column:
     return F.array(*(word(k) for k in range(BITMAP)))
 
 
+def _near(a: Column, b: Column, percent: int) -> Column:
+    """False only where a shingle can't be the first that linked sets share: sizes n too far apart, or too few shingles left, `rest`."""
+    near = 100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])
+    return near & ((100 + percent) * F.least(a["rest"], b["rest"]) >= percent * (a["n"] + b["n"]))
+
+
+def about(sets: DataFrame, name: str) -> DataFrame:
+    """name, of_name: what bounds how many shingles of a set and another can be the same."""
+    return sets.select(F.col("doc").alias(name), F.struct("n", (F.col("n") - F.size("shingles")).alias("alone"), "bits").alias(f"of_{name}"))
+
+
 def _may_link(a: Column, b: Column, percent: int) -> Column:
-    """False only for pairs that can't link: sizes n too far apart, too few shingles left after the common one (`rest`, in order of
-    frequency), or too many that differ: those that no other set holds (`alone`), and a bit of the bitmaps for each odd difference."""
-    n = a["n"] + b["n"]
-    near = (100 * F.least(a["n"], b["n"])) >= (percent * F.greatest(a["n"], b["n"]))
-    left = (100 + percent) * F.least(a["rest"], b["rest"]) >= percent * n
+    """False only for pairs of which too many shingles differ: those that no other set holds, and one for each bit in which the bitmaps
+    differ."""
     differ = a["alone"] + b["alone"]
     for k in range(BITMAP):
         differ = differ + F.bit_count(a["bits"][k].bitwiseXOR(b["bits"][k]))
-    return near & left & ((100 + percent) * (n - differ) >= 2 * percent * n)
+    n = a["n"] + b["n"]
+    return (100 + percent) * (n - differ) >= 2 * percent * n
 
 
-def linked_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
-    rows = cut(set_sizes(docs))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "high", "low")
-    classes = rows.where("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    parts = max(1, total * (100 - percent + DEPTH) // 100 // POSTINGS)
-    shared = shared_in_beginnings(docs, parts, percent)
+def ordered_sets(survivors: DataFrame, percent: int) -> DataFrame:
+    """doc, n, shingles that several survivors hold, rare ones first, and their bitmap; sets with too few such are left out."""
+    postings = survivors.select("doc", "n", F.explode("shingles").alias("shingle"))
+    common = postings.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
+    shared = F.sort_array(F.collect_list(F.struct("times", "shingle")))["shingle"]
+    ordered = postings.join(common, "shingle").groupBy("doc").agg(F.first("n").alias("n"), shared.alias("shingles"))
+    ordered = ordered.where(F.size("shingles") >= F.ceil(percent * F.col("n") / 100))
+    return ordered.withColumn("bits", _bitmap("shingles"))
+
+
+def asked(lists: DataFrame, sets: DataFrame, partners: int | None, turn: int, percent: int) -> DataFrame:
+    """a, b, m of the pairs to search: sets of one list that are in different components. With `partners`, a set asks about few others,
+    those that lead its lists this turn, without it about all."""
+    own = F.struct("doc", "n", "rest")
+    lead = F.min_by(F.struct(own.alias("own"), "component"), F.xxhash64("doc", F.lit(turn)))
+    spread = lists.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"), lead.alias("lead")).where("least < most")
+    if partners:
+        pairs = lists.join(spread, "shingle").where((F.col("component") != F.col("lead.component")) & _near(own, F.col("lead.own"), percent))
+        pairs = pairs.select(F.col("lead.own.doc").alias("a"), F.col("doc").alias("b")).distinct()
+        pairs = pairs.join(about(sets, "a"), "a").join(about(sets, "b"), "b").where(_may_link(F.col("of_a"), F.col("of_b"), percent)).select("a", "b", F.col("of_b.n").alias("m"))
+        few = F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("a", F.lit(turn)).alias("by"), "a", "m"))), 1, partners)
+        return pairs.groupBy("b").agg(few.alias("few")).select("b", F.inline("few")).select("a", "b", "m")
+    mixed = lists.join(spread.select("shingle"), "shingle").join(about(sets, "doc"), "doc").select("shingle", "component", own.alias("own"), "of_doc")
+    other = mixed.select("shingle", F.col("component").alias("of"), F.col("own").alias("other"), F.col("of_doc").alias("of_other"))
+    able = _near(F.col("own"), F.col("other"), percent) & _may_link(F.col("of_doc"), F.col("of_other"), percent)
+    pairs = mixed.join(other, "shingle").where((F.col("of") < F.col("component")) & able)
+    return pairs.groupBy(F.col("other.doc").alias("a"), F.col("own.doc").alias("b")).agg(F.first("own.n").alias("m"))
+
+
+def linked_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, row, more, n, group of each row: rows with equal groups are linked, directly or by others; null for empty sets."""
+    parts = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, parts * (100 - percent + DEPTH) // 100 // BYTES // POSTINGS)
+    owners = -(-parts // 8)
+    passed = written(first_pass(docs, parts, owners, percent), "first_pass")
+    rows = written(passed.where("kind is null").select("doc_id", "row", "more", "n", "high", "low"), "rows")
+    classes = rows.where("n > 0").groupBy("high", "low").agg(F.min(F.struct("row", "more")).alias("pick"), F.first("n").alias("n"))
     # a partner may be as small as T, and so may its depth
     needed = F.greatest(F.lit(1), F.floor(F.ceil(percent * F.col("n") / 100) * DEPTH / 100))
-    survivors = cut(classes.join(shared, "high").where(F.col("shared") >= needed).select(F.col("rep").alias("doc_id"), "high", "low"))
-    sets = written(survivor_sets(docs, survivors), "survivors")
-    postings = sets.select("doc", "n", F.explode("shingles").alias("shingle"))
-    common = postings.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
-    ordered = postings.join(common, "shingle").groupBy("doc").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("shared"))
-    least = F.ceil(percent * F.col("n") / 100)
-    ordered = ordered.where(F.size("shared") >= least).select("doc", "n", F.col("shared.shingle").alias("shingles"))
-    sets = written(ordered.withColumn("bits", _bitmap("shingles")), "sets")  # once a set: after explode() it would be made once a shingle
-    alone = (F.col("n") - F.size("shingles")).cast("int")
-    listed = sets.select("doc", "n", alone.alias("alone"), "bits", F.posexplode(F.slice("shingles", F.lit(1), F.size("shingles") - least + 1)).alias("i", "shingle"))
-    about = F.struct("doc", F.col("n").cast("int").alias("n"), "alone", (F.col("n") - F.col("alone") - F.col("i")).cast("int").alias("rest"), "bits")
-    lists = cut(listed.select("shingle", "doc", about.alias("own")))
-    links, where = None, None
+    shared = shared_in_beginnings(passed, owners)
+    survivors = written(classes.join(shared, "high").where(F.col("shared") >= needed).select("pick.row", "pick.more", "high"), "survivors")
+    removed(passed)
+    found = written(survivor_sets(docs, survivors), "survivor_sets")
+    sets = written(ordered_sets(found, percent), "sets")
+    removed(survivors, found)
+    # the bitmap is made once a set, before explode()
+    beginning = F.slice("shingles", F.lit(1), F.greatest(F.lit(0), F.size("shingles") - F.ceil(percent * F.col("n") / 100).cast("int") + 1))
+    listed = sets.select("doc", "n", F.size("shingles").alias("size"), F.posexplode(beginning).alias("i", "shingle"))
+    lists = written(listed.select("shingle", "doc", "n", (F.col("size") - F.col("i")).alias("rest")), "lists")
+    links, nodes = None, None
     for turn, partners in enumerate((*ROUNDS, None)):
-        now = lists if where is None else lists.join(where.withColumnRenamed("node", "doc"), "doc", "left")
-        now = now.withColumn("component", F.col("doc") if where is None else F.coalesce("component", "doc"))
-        spread = now.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min_by(F.struct("own", "component"), F.xxhash64("doc", "shingle", F.lit(turn))).alias("first")).where("least < most")
-        if partners:
-            pairs = now.join(spread, "shingle").where((F.col("component") != F.col("first.component")) & _may_link(F.col("own"), F.col("first.own"), percent))
-            few = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("first.own.doc", F.lit(turn)).alias("by"), F.col("first.own.doc").alias("a")))), 1, partners)
-            pairs = pairs.groupBy(F.col("doc").alias("b")).agg(few.alias("few")).select(F.explode("few.a").alias("a"), "b")
-        else:
-            mixed = now.join(spread.select("shingle"), "shingle")
-            other = mixed.select("shingle", F.col("own").alias("other"), F.col("component").alias("of"))
-            pairs = mixed.join(other, "shingle").where((F.col("of") < F.col("component")) & _may_link(F.col("own"), F.col("other"), percent))
-            pairs = pairs.select(F.col("other.doc").alias("a"), F.col("doc").alias("b")).distinct()
-        found = searched(cut(pairs), sets, percent)
-        links = cut(found if links is None else links.union(found))
-        where = components(links)
-    nodes = where.withColumnRenamed("node", "rep")
-    of_class = classes.join(nodes, "rep", "left").select("high", "low", F.coalesce("component", "rep").alias("component_id"))
-    return out.join(of_class, ["high", "low"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        now = lists.withColumn("component", F.col("doc"))
+        if nodes is not None:
+            now = lists.join(nodes.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        pairs = written(asked(now, sets, partners, turn, percent), "pairs")
+        linked = searched(pairs, sets, percent)
+        before, links = links, written(linked if links is None else links.union(linked), "links")
+        removed(pairs, *([] if before is None else [before]))
+        nodes = components(links)
+    removed(lists, sets, links)
+    grouped = rows.where("n > 0").join(nodes.withColumnRenamed("node", "high"), "high", "left")
+    grouped = grouped.select("doc_id", "row", "more", "n", F.coalesce("component", "high").alias("group"))
+    return grouped.union(rows.where("n = 0").select("doc_id", "row", "more", "n", F.lit(None).cast("long")))
+
+
+def linked_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id."""
+    rows = linked_rows(docs, percent)
+    least = rows.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that are the first of their component, once each; rows that link with nothing stay. Rows with a null id, or an
-    id that different texts have, go by a key of id and text that comes after all other ids."""
-    rows = docs.select(F.struct("*").alias("row"))
-    text = F.xxhash64("row.text")
-    shared = rows.groupBy(F.col("row.doc_id").alias("id")).agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a < b").select("id")
-    rows = rows.join(shared, F.col("row.doc_id") == F.col("id"), "left")
-    own = F.lit(1 << 62) + F.xxhash64("row.doc_id", "row.text").bitwiseAND(F.lit((1 << 61) - 1))
-    rows = rows.select("row", F.when(F.col("row.doc_id").isNull() | F.col("id").isNotNull(), own).otherwise(F.col("row.doc_id")).alias("key"))
-    found = linked_components(rows.select(F.col("key").alias("doc_id"), "row.text"), percent)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("key")).distinct()
-    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    """One row of each group of linked rows, with all columns: that with the smallest id, null ids last, the smallest hash of its text
+    among different texts of one id. Rows without shingles link with nothing and stay; of rows equal in id and text one is left."""
+    rows = linked_rows(docs, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "more")).alias("first")
+    kept = rows.where("n > 0").groupBy("group").agg(first).select("first.row", "first.more")
+    kept = kept.union(rows.where("n = 0").select("row", "more").distinct())
+    own = docs.select(F.struct("*").alias("own"), F.xxhash64("doc_id", "text").alias("row"), F.hash("text", "doc_id").alias("more"))
+    return own.join(kept, ["row", "more"], "left_semi").dropDuplicates(["row", "more"]).select("own.*")
 
 
 def op10_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
