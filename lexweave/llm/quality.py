@@ -1,11 +1,13 @@
 """Quality by compression: which of two zstandard dictionaries, of good or of bad text, serves a text better.
 
-A bounded sample of labelled documents (`SAMPLE` a class) is halved by id: from one half come the dictionaries, from the other the
-calibration, a logistic fit of the normalised difference (bad - good) / (bad + good) of the compressed sizes. Texts are compressed
-whole, in blocks of `BLOCK` bytes, so that a dictionary helps in all of a long text as in a short one.
+A bounded sample of labelled documents (`SAMPLE` a class, texts up to `LARGEST` bytes) is halved: from one half come the dictionaries,
+of which at most `PIECES` blocks a document, spread over it, are brought to the driver; from the other the
+calibration, a logistic fit of the normalised difference (bad - good) / (bad + good) of the compressed sizes, which the executors
+measure. Texts are compressed whole, in blocks of `BLOCK` bytes, so that a dictionary helps in all of a long text as in a short one.
 
 Null and empty texts compress to nothing: a difference of 0. Where a class has no labelled row every score is the share of the
-other class. Repeated rows get equal scores; columns other than doc_id and text are ignored.
+other class. Equal hashes of ids fall by id. Repeated rows get equal scores; an empty table gives an empty result; columns other than
+doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from lexweave.llm.common import documents, map_batches
 from lexweave.llm.labelled import held_out, sample
 
 SAMPLE, BLOCK, DICTIONARY, LEVEL = 1500, 2048, 64 * 1024, 3
+#: Blocks of a document that a dictionary is trained on: 2 * SAMPLE * PIECES * BLOCK bytes at most, 49 MB.
+PIECES = 8
 CUTOFF = 0.5
 
 
@@ -36,13 +40,16 @@ def blocks(text: str | None) -> list[bytes]:
     return [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
 
 
-def dictionary(texts: list[str]) -> bytes:
-    """A trained dictionary, or the texts' own bytes where there are too few to train on."""
-    parts = [b for t in texts for b in blocks(t)]
-    try:
-        return zstandard.train_dictionary(DICTIONARY, parts, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(parts)[:DICTIONARY]
+def spread(parts: list[bytes], most: int) -> list[bytes]:
+    """At most `most` of the parts, evenly spread."""
+    return parts if len(parts) <= most else [parts[i * len(parts) // most] for i in range(most)]
+
+
+def dictionary(parts: list[bytes]) -> bytes:
+    """A trained dictionary. Of fewer than 16 blocks, or blocks of less than 8 kB, which the trainer refuses, one of raw content."""
+    if len(parts) < 16 or sum(map(len, parts)) < 8192:
+        return b"".join(spread(parts, DICTIONARY // BLOCK))
+    return zstandard.train_dictionary(min(DICTIONARY, max(256, sum(map(len, parts)) // 8)), parts, level=LEVEL).as_bytes()
 
 
 class Compressors:
@@ -80,15 +87,27 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 100,
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     picked, counts = sample(docs, labels, "quality", most)
-    rows = sorted(picked.collect(), key=lambda r: (r.doc_id, r.y, r.text or ""))  # at most 2 * most documents
+    picked = picked.select("doc_id", "y", "text", F.xxhash64("text").alias("key"))
+
+    def make():
+        return lambda batch: {c: batch[c] for c in ("doc_id", "y", "key")} | {"blocks": [spread(blocks(t), PIECES) for t in batch["text"]]}
+
+    rows = map_batches(picked, make, "doc_id long, y int, key long, blocks array<binary>").collect()
+    rows.sort(key=lambda r: (r.y, r.doc_id, r.key))
     if len({r.y for r in rows}) < 2:
         share = rows[0].y if rows else 0.5
         return Model(b"", b"", 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    first, second = ([r for i, r in enumerate(sorted(rows, key=lambda r: r.y)) if i % 2 == half] for half in (0, 1))
-    model = Model(dictionary([r.text or "" for r in first if r.y]), dictionary([r.text or "" for r in first if not r.y]), 1.0, 0.0)
-    own = Compressors(model)
-    x, y = np.array([own.difference(r.text) for r in second]), np.array([float(r.y) for r in second])
-    slope, offset = logistic(x, y, np.array([max(1.0, counts[r.y] / most) for r in second]))
+    first, second = rows[::2], {(r.doc_id, r.y, r.key) for r in rows[1::2]}
+    model = Model(*(dictionary([bytes(b) for r in first if r.y == y for b in r.blocks]) for y in (1, 0)), 1.0, 0.0)
+
+    def measure():
+        own = Compressors(model)
+        return lambda batch: {c: batch[c] for c in ("doc_id", "y", "key")} | {"x": [own.difference(t) for t in batch["text"]]}
+
+    found = map_batches(picked, measure, "doc_id long, y int, key long, x double").collect()
+    found = sorted((r.doc_id, r.y, r.x) for r in found if (r.doc_id, r.y, r.key) in second)
+    x, y = np.array([x for *_, x in found]), np.array([float(y) for _, y, _ in found])
+    slope, offset = logistic(x, y, np.array([max(1.0, counts[k] / most) for _, k, _ in found]))
     return model._replace(slope=slope, offset=offset)
 
 

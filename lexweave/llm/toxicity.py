@@ -1,13 +1,15 @@
 """Toxicity by multiple-instance learning: a document is toxic where some sentence is.
 
-A sentence's score is the logistic of a bias and the weights of its distinct words and word beginnings; a document's is the noisy-or of its sentences,
-1 - prod(1 - p), in which all sentences without a known word count once, so that a long clean text does not add up to a toxic one.
-The weights are fitted from document labels alone, by proximal gradient steps on the noisy-or likelihood, over a
-bounded sample of labelled documents (`SAMPLE` a class, weighted back to the classes' sizes); scores are then made for every whole
-text, and `offending` locates the sentences that carry them.
-
-Null and empty texts count as one sentence without words. Rows without a label are only scored. Where no labelled row has one of
-the classes, every score is the share of the other, by an empty model. Repeated rows get equal scores; other columns are ignored.
+A sentence's score is the logistic of a bias and the weights of its distinct words and word beginnings that the model knows; one
+without any has a bias of its own, so that a long clean text does not add up to a toxic one. A document's score is the noisy-or of all
+its sentences, 1 - prod(1 - p). Words are chosen by their evidence, counted by a shuffled aggregate over a
+bounded sample of labelled documents (`SAMPLE` a class, weighted back to the classes' sizes, texts up to `LARGEST` bytes); weights and
+biases are fitted from document labels alone, by proximal gradient steps on the noisy-or likelihood. Scores are then made for every
+whole text, and the sentences that carry them are located.
+
+Null and empty texts count as one sentence without words; a very long one is all its sentences. Rows without a label are only scored.
+Where no labelled row has one of the classes, every sentence has the share of the other, by an empty model. Equal evidence falls by
+hash. Repeated rows get equal scores; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ import zlib
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import documents, map_batches
+from lexweave.llm.common import cut, documents, map_batches
 from lexweave.llm.labelled import held_out, sample
 
 #: Labelled documents of a class that are fitted to, words that a model keeps.
@@ -32,8 +35,9 @@ _REMEMBERED = 1_000_000
 
 
 class Model(NamedTuple):
-    bias: float
+    bias: float  # of sentences with a known word
     weights: dict[int, float]  # by hash, of features()
+    clean: float  # logit of a sentence without one
 
 
 def features(word: str) -> list[int]:
@@ -62,75 +66,89 @@ def _evidence(both: np.ndarray, with_word: np.ndarray, positives: int, whole: in
     return np.where(both * whole > with_word * positives, out, 0.0)
 
 
-def fit(examples: list[tuple[float, int, list[np.ndarray]]], steps: int = 400, rate: float = 0.1, sparse: float = 0.02) -> Model:
-    """A model from (weight, label, word hashes of each sentence with any word). sparse: the L1 penalty in documents' worth."""
-    whole = sum(w for w, _, _ in examples)
-    if len({y for _, y, _ in examples}) < 2:
-        share = sum(w * y for w, y, _ in examples) / whole if whole else 0.5
-        return Model(float(np.log((share + 1e-6) / (1 - share + 1e-6))), {})
-    of_doc = [np.unique(np.concatenate(s)) if s else np.empty(0, np.uint32) for _, _, s in examples]
-    hashes, n_docs = np.unique(np.concatenate(of_doc), return_counts=True)
-    positive = np.concatenate([d for (_, y, _), d in zip(examples, of_doc, strict=True) if y] or [np.empty(0, np.uint32)])
-    in_positive = np.bincount(np.searchsorted(hashes, positive), minlength=len(hashes))
-    evidence = _evidence(in_positive, n_docs, sum(y for _, y, _ in examples), len(examples))
-    keep = np.flatnonzero(evidence >= 2 * np.log(len(hashes) + 1) + 4)  # more than the likeliest of as many chance words has
-    keep = np.sort(keep[np.argsort(-evidence[keep], kind="stable")][:WORDS])
-    hashes = hashes[keep]
-    column, row, doc = [], [], []
-    for d, (_, _, parts) in enumerate(examples):
-        doc.append(d)  # the sentences without a known word
-        for part in parts if len(hashes) else ():
-            at = np.searchsorted(hashes, part)
-            at = at[(at < len(hashes)) & (hashes[np.minimum(at, len(hashes) - 1)] == part)]
-            if len(at):
-                column.append(at)
-                row.append(np.full(len(at), len(doc)))
-                doc.append(d)
-    column, row = column or [np.empty(0, np.int64)], row or [np.empty(0, np.int64)]
-    column, row, doc = np.concatenate(column), np.concatenate(row), np.array(doc)
-    weight = np.array([w for w, _, _ in examples]) / whole
-    y = np.array([y for _, y, _ in examples], bool)
-    theta, bias = np.zeros(len(hashes)), -6.0
-    first, second = np.zeros(len(hashes) + 1), np.zeros(len(hashes) + 1)
+def fit(examples: list[tuple[float, int, int, list[np.ndarray]]], hashes: np.ndarray, steps: int = 400, rate: float = 0.1, sparse: float = 0.02) -> Model:
+    """A model of the words `hashes` from (weight, label, number of sentences without such a word, places in `hashes` of each other
+    sentence's words). sparse: the L1 penalty in documents' worth."""
+    whole = sum(w for w, *_ in examples)
+    if len({y for _, y, *_ in examples}) < 2:
+        share = sum(w * y for w, y, *_ in examples) / whole if whole else 0.5
+        logit = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
+        return Model(logit, {}, logit)
+    parts = [(d, at) for d, (*_, own) in enumerate(examples) for at in own]
+    doc = np.fromiter((d for d, _ in parts), np.int64, len(parts))
+    column = np.concatenate([at for _, at in parts]) if parts else np.empty(0, np.int64)
+    row = np.repeat(np.arange(len(parts)), [len(at) for _, at in parts])
+    weight = np.array([w for w, *_ in examples]) / whole
+    y = np.array([y for _, y, *_ in examples], bool)
+    without = np.array([n for _, _, n, _ in examples], np.float64)
+    theta, biases = np.zeros(len(hashes)), np.array([-6.0, -9.0])  # of sentences with a known word, and without
+    first, second = np.zeros(len(hashes) + 2), np.zeros(len(hashes) + 2)
+    logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, steps + 1):
-        z = bias + np.bincount(row, theta[column], len(doc))
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        clean = np.exp(np.bincount(doc, np.log1p(-p), len(y)))  # the probability that no sentence is toxic
+        p, q = logistic(biases[0] + np.bincount(row, theta[column], len(doc))), logistic(biases[1])
+        clean = np.exp(np.bincount(doc, np.log1p(-p), len(y)) + without * np.log1p(-q))  # the probability that no sentence is toxic
         pull = np.where(y, -clean / np.maximum(1 - clean, 1e-12), 1.0) * weight
         slope = pull[doc] * p
-        g = np.append(np.bincount(column, slope[row], len(theta)), slope.sum())
+        g = np.r_[np.bincount(column, slope[row], len(theta)), slope.sum(), (pull * without).sum() * q]
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-        bias -= move[-1]
-        theta = theta - move[:-1]
-        shrink = sparse / whole * rate / (np.sqrt(second[:-1] / (1 - 0.999**step)) + 1e-8)
+        biases = biases - move[-2:]
+        theta = theta - move[:-2]
+        shrink = sparse / whole * rate / (np.sqrt(second[:-2] / (1 - 0.999**step)) + 1e-8)
         theta = np.sign(theta) * np.maximum(0, np.abs(theta) - np.minimum(shrink, 0.5))
     used = np.flatnonzero(theta)
-    return Model(float(bias), dict(zip(hashes[used].tolist(), theta[used].tolist(), strict=True)))
+    return Model(float(biases[0]), dict(zip(hashes[used].tolist(), theta[used].tolist(), strict=True)), float(biases[1]))
+
+
+def known_words(examples: DataFrame, positives: int, whole: int) -> np.ndarray:
+    """Hashes, in order, of at most WORDS features of the examples (text, y) with more evidence than the likeliest of as many chance
+    ones has; their documents are counted in Spark."""
+
+    def make():
+        def run(batch):
+            found = [(f, y) for text, y in zip(batch["text"], batch["y"], strict=True) for f in {f for w in (text or "").split() for f in features(w)}]
+            return {"feature": [f for f, _ in found], "y": [y for _, y in found]}
+
+        return run
+
+    counted = map_batches(examples.select("text", "y"), make, "feature long, y int").groupBy("feature").agg(F.sum("y").alias("both"), F.count("*").alias("docs"))
+    counted = cut(counted)
+    least = 2 * np.log(counted.count() + 1) + 4
+
+    def evident(batches):
+        for batch in batches:
+            both, docs = (batch.column(i).to_numpy().astype(np.float64) for i in (1, 2))
+            yield pa.RecordBatch.from_pydict({"feature": batch.column(0), "evidence": _evidence(both, docs, positives, whole)})
+
+    kept = counted.mapInArrow(evident, "feature long, evidence double").where(F.col("evidence") >= float(least)).orderBy(F.desc("evidence"), "feature").limit(WORDS)
+    return np.array(sorted(r.feature for r in kept.collect()), np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    """The model of a bounded sample, whose whole texts are hashed on the executors."""
+    """The model of a bounded sample. Texts are hashed on the executors; of each, its known words come to the driver, by sentence."""
+    picked, counts = sample(docs, labels, "toxic", most)
+    seen = {r.y: r["count"] for r in picked.groupBy("y").count().collect()}
+    hashes = known_words(picked, seen.get(1, 0), sum(seen.values())) if len(seen) == 2 else np.empty(0, np.int64)
 
     def make():
         def run(batch):
-            out = []
+            out = {"doc_id": batch["doc_id"], "y": batch["y"], "without": [], "sizes": [], "places": []}
             for text in batch["text"]:
-                parts = [np.unique(np.array([f for w in (text or "")[a:b].split() for f in features(w)], np.uint32)) for a, b in sentences(text)]
-                sizes = np.array([len(p) for p in parts], np.uint32)
-                out.append((sizes.tobytes(), np.concatenate(parts).tobytes()))
-            return {"doc_id": batch["doc_id"], "y": batch["y"], "sizes": [a for a, _ in out], "words": [b for _, b in out]}
+                found = [np.intersect1d(hashes, np.array([f for w in (text or "")[a:b].split() for f in features(w)], np.int64), return_indices=True)[1] for a, b in sentences(text)]
+                known = [at for at in found if len(at)]
+                out["without"].append(len(found) - len(known))
+                out["sizes"].append(np.array([len(at) for at in known], np.uint32).tobytes())
+                out["places"].append(np.concatenate([*known, np.empty(0, np.int64)]).astype(np.uint32).tobytes())
+            return out
 
         return run
 
-    picked, counts = sample(docs, labels, "toxic", most)
-    rows = map_batches(picked, make, "doc_id long, y int, sizes binary, words binary").collect()
-    seen = {y: sum(r.y == y for r in rows) for y in (0, 1)}
+    rows = map_batches(picked, make, "doc_id long, y int, without int, sizes binary, places binary").collect()
     examples = []
-    for r in sorted(rows, key=lambda r: (r.doc_id, r.y, bytes(r.words))):
-        parts = np.split(np.frombuffer(r.words, np.uint32), np.cumsum(np.frombuffer(r.sizes, np.uint32))[:-1])
-        examples.append((max(1.0, counts[r.y] / max(1, most)) if seen[r.y] else 1.0, r.y, parts))
-    return fit(examples)
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.y, r.without, bytes(r.places))):
+        parts = np.split(np.frombuffer(r.places, np.uint32).astype(np.int64), np.cumsum(np.frombuffer(r.sizes, np.uint32))[:-1]) if r.sizes else []
+        examples.append((max(1.0, counts[r.y] / max(1, most)), r.y, r.without, parts))
+    return fit(examples, hashes)
 
 
 class Scorer:
@@ -147,31 +165,49 @@ class Scorer:
             found = self.known[word] = {f: own[f] for f in features(word) if f in own} if own else {}
         return found
 
-    def logits(self, text: str | None) -> list[tuple[int, int, float]]:
-        """Start, end and logit of each sentence with a known word."""
-        out, bias = [], self.model.bias
+    def logits(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+        """How many sentences have no known word; start, end and logit of each other one."""
+        out, without = [], 0
         for a, b in sentences(text):
             found: dict[int, float] = {}
             for word in (text or "")[a:b].split():
                 if parts := self.parts(word):
                     found.update(parts)
             if found:
-                out.append((a, b, bias + sum(found.values())))
-        return out
+                out.append((a, b, self.model.bias + sum(found.values())))
+            else:
+                without += 1
+        return without, out
+
+    def judged(self, text: str | None, least: float = 0.5) -> tuple[float, list[tuple[int, int, float]]]:
+        """The score of a text; start, end and score of each sentence with at least `least`."""
+        without, found = self.logits(text)
+        z = np.array([z for _, _, z in found])
+        clean = np.logaddexp(0, z).sum() + without * np.logaddexp(0, self.model.clean)
+        p = 1 / (1 + np.exp(-z))
+        located = [(a, b, float(x)) for (a, b, _), x in zip(found, p, strict=True) if x >= least]
+        if without and self.model.clean >= np.log(least / (1 - least)):  # an empty model of toxic documents only
+            known, share = {(a, b) for a, b, _ in found}, float(1 / (1 + np.exp(-self.model.clean)))
+            located = sorted(located + [(a, b, share) for a, b in sentences(text) if (a, b) not in known])
+        return float(-np.expm1(-clean)), located
 
     def score(self, text: str | None) -> float:
-        z = np.array([self.model.bias, *(z for _, _, z in self.logits(text))])
-        return float(-np.expm1(-np.logaddexp(0, z).sum()))
+        return self.judged(text)[0]
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of every whole text."""
+    """doc_id, score of every whole text, and the sentences that carry it: start:end of each that is toxic rather than not."""
 
     def make():
         own = Scorer(model)
-        return lambda batch: {"doc_id": batch["doc_id"], "score": [own.score(t) for t in batch["text"]]}
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, score double")
+        def run(batch):
+            found = [own.judged(t) for t in batch["text"]]
+            return {"doc_id": batch["doc_id"], "score": [s for s, _ in found], "offending": [",".join(f"{a}:{b}" for a, b, _ in x) for _, x in found]}
+
+        return run
+
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, score double, offending string")
 
 
 def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -183,10 +219,9 @@ def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         def run(batch):
             out = {k: [] for k in ("doc_id", "start", "end", "sentence", "score")}
             for i, text in zip(batch["doc_id"], batch["text"], strict=True):
-                for a, b, z in own.logits(text):
-                    if (p := 1 / (1 + np.exp(-z))) >= least:
-                        for k, v in zip(out, (i, a, b, (text or "")[a:b], float(p)), strict=True):
-                            out[k].append(v)
+                for a, b, p in own.judged(text, least)[1]:
+                    for k, v in zip(out, (i, a, b, (text or "")[a:b], p), strict=True):
+                        out[k].append(v)
             return out
 
         return run
@@ -199,8 +234,6 @@ def without_toxic(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> Data
     schema = docs.schema
 
     def run(batches):
-        import pyarrow as pa
-
         own = Scorer(model)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
@@ -213,4 +246,4 @@ def op5_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scores = score_documents(docs, model)
-    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"), "offending")

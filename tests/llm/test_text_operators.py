@@ -186,10 +186,51 @@ def test_toxicity(spark, tmp_path):
 
 
 def test_noisy_or_is_the_product():
-    own = toxicity.Scorer(toxicity.Model(-2.0, {f: 3.0 for f in toxicity.features("bad")}))
+    own = toxicity.Scorer(toxicity.Model(-2.0, {f: 3.0 for f in toxicity.features("bad")}, -4.0))
     p = lambda z: 1 / (1 + math.exp(-z))
-    assert abs(own.score("good. fine. bad") - (1 - (1 - p(-2)) * (1 - p(1)))) < 1e-12
-    assert abs(own.score(None) - p(-2)) < 1e-12
+    assert abs(own.score("good. fine. bad") - (1 - (1 - p(-4)) ** 2 * (1 - p(1)))) < 1e-12
+    assert abs(own.score(None) - p(-4)) < 1e-12
+    assert own.judged("good. bad")[1] == [(5, 9, p(1))] and own.judged("bad. fine", 0.9)[1] == []
+
+
+def test_toxicity_of_the_query_equals_plain_python(spark, tmp_path):
+    folder = labelled(spark, tmp_path)
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    rows = toxicity.op5_noisy_or_toxicity(spark, folder).collect()
+    chance = lambda z: 1 / (1 + math.exp(-z))
+    for r, doc in zip(sorted(rows, key=lambda r: r.doc_id), sorted(docs.collect(), key=lambda r: r.doc_id), strict=True):
+        clean, carried, text = 1.0, [], doc.text or ""
+        spans = [m.span() for m in re.finditer(r"[^.!?\n]+", text) if m[0].strip()] or [(0, 0)]
+        for a, b in spans:
+            known = {f for w in text[a:b].split() for f in toxicity.features(w) if f in model.weights}
+            p = chance(model.bias + sum(model.weights[f] for f in known)) if known else chance(model.clean)
+            clean *= 1 - p
+            carried += [f"{a}:{b}"] if p >= 0.5 else []
+        assert abs(r.score - (1 - clean)) < 1e-9 and r.offending == ",".join(carried)
+    again = docs.union(docs)
+    twice = toxicity.score_documents(again, model).collect()
+    assert len(twice) == 2 * len(rows) and len({(r.doc_id, r.score, r.offending) for r in twice}) == len(rows)
+    assert toxicity.score_documents(docs.limit(0), model).count() == 0
+
+
+def test_quality_of_the_query_equals_plain_python(spark, tmp_path):
+    import zstandard
+
+    folder = labelled(spark, tmp_path)
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    rows = {r.doc_id: r.score for r in quality.op8_compression_quality(spark, folder).collect()}
+    packers = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), level=quality.LEVEL, write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    for doc in docs.collect():
+        data = (doc.text or "").encode()
+        good, bad = (sum(len(p.compress(data[i : i + quality.BLOCK])) for i in range(0, len(data), quality.BLOCK)) for p in packers)
+        x = (bad - good) / (bad + good) if data else 0.0
+        assert abs(rows[doc.doc_id] - 1 / (1 + math.exp(-(model.slope * x + model.offset)))) < 1e-9
+    again = quality.score_documents(docs.union(docs), model).collect()
+    assert len(again) == 2 * docs.count() and len({(r.doc_id, r.score) for r in again}) == docs.count()
+    assert quality.score_documents(docs.limit(0), model).count() == 0
+    assert quality.spread([b"a", b"b", b"c", b"d"], 2) == [b"a", b"c"] and quality.dictionary([b"xy"]) == b"xy"
 
 
 def test_quality(spark, tmp_path):
