@@ -10,6 +10,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from lexweave.plans.registry import register
+from lexweave.sources.index import Index
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -27,12 +28,22 @@ MACROS = {
     "like": ("{0} RLIKE {1}", "regexp_matches({0}, {1})"),
     "xor": ("({0} ^ {1})", "xor({0}, {1})"),
     "distinct": ("array_distinct({0})", "list_distinct({0})"),
+    "int": ("CAST({0} AS INT)", "CAST({0} AS BIGINT)"),
     "long": ("CAST({0} AS BIGINT)", "CAST({0} AS BIGINT)"),
     "dot": ("aggregate(zip_with({0}, {1}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0D, (s, v) -> s + v)", "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"),
     "json": ("get_json_object({0}, {1})", "json_extract_string({0}, {1})"),
     "hash": ("CAST(conv(substring(md5(CAST({0} AS STRING)), 1, 8), 16, 10) AS BIGINT)", "CAST(('0x' || substring(md5(CAST({0} AS VARCHAR)), 1, 8)) AS BIGINT)"),
     "second": ("CAST(unix_micros(CAST({0} AS TIMESTAMP)) / 1000000 AS BIGINT)", "CAST(floor(epoch_us({0}) / 1000000.0) AS BIGINT)"),
     "text": ("CAST({0} AS STRING)", "CAST({0} AS VARCHAR)"),
+    "lines": (
+        r"(SELECT doc_id, i, s FROM documents LATERAL VIEW posexplode(regexp_extract_all(text, '[^.!?\\n]*\\p{{L}}[^.!?\\n]*[.!?]?', 0)) t AS i, s)",
+        r"(SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS s FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]*\p{{L}}[^.!?\n]*[.!?]?') AS ls FROM documents))",
+    ),
+    "part": ("slice({0}, CAST({1} AS INT), CAST({2} AS INT))", "list_slice({0}, {1}, {1} + {2} - 1)"),
+    "joined": ("array_join({0}, ' ')", "array_to_string({0}, ' ')"),
+    "sorted": ("array_sort({0})", "list_sort({0})"),
+    "common": ("array_intersect({0}, {1})", "list_intersect({0}, {1})"),
+    "except": ("array_except({0}, {1})", "list_filter({0}, lambda _x: NOT list_contains({1}, _x))"),
     "tokens": (
         r"(SELECT doc_id, pos, term FROM documents LATERAL VIEW posexplode(regexp_extract_all(lower(text), '\\p{{L}}+', 0)) t AS pos, term WHERE length(term) >= 2)",
         r"(SELECT doc_id, pos, term FROM (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{{L}}+') AS w FROM documents)) WHERE length(term) >= 2)",
@@ -71,17 +82,23 @@ def views(spark: SparkSession, sf_dir: str, sql: str) -> None:
             spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
 
 
-def add(name: str, template: str, part: str = "", wholes: dict[str, str] | None = None) -> None:
-    """Registers a template as a query with its SQL. part: a filter that only the SQL has; the query is over all rows. wholes: what
-    the query has in place of other parts that are limited in the SQL."""
-    whole = template
-    for limited, full in (({part: ""} if part else {}) | (wholes or {})).items():
-        assert limited in whole
-        whole = whole.replace(limited, full)
-    spark_sql = render(whole, 0)
+#: Parts of templates that Spark reads from the stored index instead: the first of them stands for all.
+STORED: dict[str, str] = {}
+
+
+def add(name: str, template: str) -> None:
+    """Registers a template as a query with its SQL. The SQL derives counts and weights from the texts; the query reads them from the
+    stored index where the template has the standard counts."""
+    own = template
+    indexed = bool(STORED) and next(iter(STORED)) in template
+    for derived, stored in STORED.items() if indexed else ():
+        own = own.replace(derived, stored)
+    spark_sql = render(own, 0)
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir, spark_sql)
+        if indexed:
+            Index.of(spark, sf_dir).views()
         return spark.sql(spark_sql)
 
     register(name, query, render(template, 1))

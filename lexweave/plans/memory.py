@@ -8,22 +8,22 @@ from lexweave.plans.dialect import add
 from lexweave.plans.retrieval import DF, TF
 
 # --- dictionary ------------------------------------------------------------------------------------------------------------
-DICT = f"{TF}, {DF}, entry AS (SELECT term AS hw, CASE WHEN length(term) < 4 THEN 'particle' WHEN term LIKE '%ly' THEN 'adv' WHEN term LIKE '%ed' THEN 'verb' ELSE 'noun' END AS pos, df FROM df WHERE df >= 2), sense AS (SELECT tf.term AS hw, d.lang, count(*) AS n, row_number() OVER (PARTITION BY tf.term ORDER BY count(*) DESC, d.lang) - 1 AS idx FROM tf JOIN documents d ON d.doc_id = tf.doc_id GROUP BY tf.term, d.lang)"
+DICT = f"{TF}, {DF}, entry AS (SELECT term AS hw, CASE WHEN length(term) < 4 THEN 'particle' WHEN term LIKE '%ly' THEN 'adv' WHEN term LIKE '%ed' THEN 'verb' ELSE 'noun' END AS pos, df FROM df), sense AS (SELECT tf.term AS hw, d.lang, count(*) AS n, row_number() OVER (PARTITION BY tf.term ORDER BY count(*) DESC, d.lang) - 1 AS idx FROM tf JOIN documents d ON d.doc_id = tf.doc_id GROUP BY tf.term, d.lang)"
 add("q_dict_merge", f"WITH {DICT} SELECT e.hw, e.pos, count(*) AS senses, @join(s.lang | ',' | s.idx) AS langs FROM entry e JOIN sense s ON s.hw = e.hw GROUP BY e.hw, e.pos")
-add("q_dict_nested", f"WITH {DICT} SELECT e.hw, e.pos, s.idx, s.lang, s.n FROM entry e JOIN sense s ON s.hw = e.hw WHERE e.df >= 20")
+add("q_dict_nested", f"WITH {DICT} SELECT e.hw, e.pos, s.idx, s.lang, s.n FROM entry e JOIN sense s ON s.hw = e.hw")
 add("q_pos_topn", f"WITH {DICT} SELECT pos, count(*) AS n FROM entry GROUP BY pos ORDER BY n DESC, pos LIMIT 12")
 add("q_dictionary_stats", f"WITH {DICT} SELECT (SELECT count(*) FROM entry) AS entries, (SELECT count(*) FROM sense) AS senses, (SELECT count(DISTINCT lang) FROM sense) AS langs")
 add("q_pos_preference", f"WITH {DICT} SELECT hw, pos, row_number() OVER (PARTITION BY length(hw) ORDER BY CASE pos WHEN 'noun' THEN 0 WHEN 'verb' THEN 1 WHEN 'adv' THEN 2 ELSE 3 END, hw) AS place FROM entry")
-add("q_wsd", f"WITH {DICT}, score AS (SELECT d.doc_id, s.hw, s.lang, (CASE WHEN s.lang = d.lang THEN 3e0 ELSE -2e0 END) + 0.8e0 / (1 + s.idx) AS score FROM documents d JOIN tf ON tf.doc_id = d.doc_id JOIN sense s ON s.hw = tf.term WHERE d.doc_id < 50), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, hw ORDER BY score DESC, lang) AS i, lead(score) OVER (PARTITION BY doc_id, hw ORDER BY score DESC, lang) AS next FROM score) SELECT doc_id, hw, lang, round(score, 6) AS score, coalesce(score - next < 1.0, false) AS ambiguous FROM o WHERE i = 1", part=" WHERE d.doc_id < 50")
+add("q_wsd", f"WITH {DICT}, score AS (SELECT d.doc_id, s.hw, s.lang, (CASE WHEN s.lang = d.lang THEN 3e0 ELSE -2e0 END) + 0.8e0 / (1 + s.idx) AS score FROM documents d JOIN tf ON tf.doc_id = d.doc_id JOIN sense s ON s.hw = tf.term), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, hw ORDER BY score DESC, lang) AS i, lead(score) OVER (PARTITION BY doc_id, hw ORDER BY score DESC, lang) AS next FROM score) SELECT doc_id, hw, lang, round(score, 6) AS score, coalesce(score - next < 1.0, false) AS ambiguous FROM o WHERE i = 1")
 add("q_domain_affinity", f"WITH {DICT}, t AS (SELECT hw, sum(n) AS n FROM sense GROUP BY hw) SELECT s.hw, s.lang, round(0.7e0 * s.n / t.n + 0.3e0 / (1 + s.idx), 6) AS affinity FROM sense s JOIN t ON t.hw = s.hw")
-add("q_direct_translation", f"WITH {DICT}, first AS (SELECT hw, concat(lang, ':', hw) AS target FROM sense WHERE idx = 0) SELECT t.doc_id, @join(coalesce(f.target, t.term) | ' ' | t.pos) AS target FROM @tokens t LEFT JOIN first f ON f.hw = t.term WHERE t.pos < 30 GROUP BY t.doc_id")
+add("q_direct_translation", f"WITH {DICT}, first AS (SELECT hw, concat(lang, ':', hw) AS target FROM sense WHERE idx = 0) SELECT t.doc_id, @join(coalesce(f.target, t.term) | ' ' | t.pos) AS target FROM @tokens t LEFT JOIN first f ON f.hw = t.term GROUP BY t.doc_id")
 add("q_gloss_labels", "SELECT item_id, regexp_extract(text, '^([^ ]+)', 1) AS label, @size(@distinct(@words(text))) AS content FROM benchmark")
-add("q_candidate_ngrams", "WITH t AS (SELECT doc_id, pos, term FROM @tokens x WHERE pos < 60) SELECT a.doc_id, a.pos, concat(a.term, ' ', b.term) AS gram FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1")
+add("q_candidate_ngrams", "WITH t AS (SELECT doc_id, @words(text) AS w FROM documents), i AS (SELECT doc_id, w, @each(@range(1 | @size(w))) AS i FROM t WHERE @size(w) > 0), k AS (SELECT doc_id, w, i, @each(@range(2 | 7)) AS k FROM i) SELECT doc_id, i - 1 AS pos, k AS n, @joined(@part(w | i | k)) AS gram FROM k WHERE i + k - 1 <= @size(w)")
 MULTI = "t AS (SELECT doc_id, pos, term FROM @tokens x), bi AS (SELECT a.doc_id, a.pos, concat(a.term, ' ', b.term) AS gram FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1), known AS (SELECT gram FROM bi GROUP BY gram HAVING count(DISTINCT doc_id) >= 5)"
 add("q_multiword_units", f"WITH {MULTI} SELECT bi.doc_id, bi.gram, count(*) AS n FROM bi JOIN known ON known.gram = bi.gram GROUP BY bi.doc_id, bi.gram")
-add("q_derivation", f"WITH {DICT}, suffix AS (SELECT * FROM (VALUES ('ly', 0.75e0), ('ed', 0.75e0), ('ing', 0.75e0), ('er', 0.4e0), ('tion', 0.4e0)) AS s(ending, confidence)) SELECT e.hw, b.hw AS base, s.ending, s.confidence FROM entry e JOIN suffix s ON e.hw LIKE concat('%', s.ending) JOIN entry b ON b.hw = substring(e.hw, 1, length(e.hw) - length(s.ending))")
+add("q_derivation", f"WITH {DICT}, suffix AS (SELECT * FROM (VALUES ('ly', 0.75e0), ('ed', 0.75e0), ('ing', 0.75e0), ('er', 0.4e0), ('tion', 0.4e0)) AS s(ending, confidence)) SELECT e.hw, b.hw AS base, s.ending, s.confidence FROM entry e JOIN suffix s ON right(e.hw, length(s.ending)) = s.ending JOIN entry b ON b.hw = substring(e.hw, 1, length(e.hw) - length(s.ending))")
 add("q_preposition_map", "SELECT word, kase FROM (VALUES ('of', 'gen'), ('to', 'dat'), ('with', 'ins'), ('in', 'loc'), ('on', 'loc'), ('for', 'gen'), ('by', 'ins'), ('from', 'gen')) AS t(word, kase)")
-add("q_reorder", "SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN term LIKE '%ly' THEN pos + 1.5e0 ELSE pos END, pos) AS place FROM @tokens x WHERE pos < 20")
+add("q_reorder", "SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN term LIKE '%ly' THEN pos + 1.5e0 ELSE pos END, pos) AS place FROM @tokens x")
 OOV = f"{DICT}, seen AS (SELECT conv_id, turn, term FROM (SELECT conv_id, turn, @each(@words(text)) AS term FROM conversations) q WHERE length(term) >= 2), oov AS (SELECT s.conv_id, s.turn, s.term FROM seen s WHERE NOT EXISTS (SELECT 1 FROM entry e WHERE e.hw = s.term))"
 add("q_oov_scan", f"WITH {OOV} SELECT conv_id, turn, count(*) AS missing FROM oov GROUP BY conv_id, turn")
 add("q_oov_queue", f"WITH {OOV} SELECT term, count(*) AS hits, min(conv_id) AS first_seen, CASE WHEN count(*) >= 3 THEN 'queued' ELSE 'new' END AS status FROM oov GROUP BY term")
@@ -32,32 +32,40 @@ add("q_word_rows", f"WITH {DICT} SELECT e.hw, e.pos, @long(sum(s.n)) AS total, b
 add("q_ambiguities", f"WITH {DICT} SELECT hw, senses FROM (SELECT hw, count(*) AS senses, row_number() OVER (ORDER BY count(*) DESC, hw) AS i FROM sense GROUP BY hw HAVING count(*) > 1) WHERE i <= 200")
 add("q_tree_depth", "WITH RECURSIVE tree AS (SELECT item_id AS node, CASE WHEN item_id = 0 THEN NULL ELSE floor((item_id - 1) / 3e0) END AS head FROM benchmark), walk(node, depth) AS (SELECT node, 0 FROM tree WHERE head IS NULL UNION ALL SELECT t.node, w.depth + 1 FROM tree t JOIN walk w ON t.head = w.node) SELECT node, depth FROM walk")
 # --- translation memory ----------------------------------------------------------------------------------------------------
-SEG = "seg AS (SELECT conv_id, turn, role, trim(@rr(lower(text) | '[^\\p{L}\\p{N}]+' | ' ')) AS norm FROM conversations), tri AS (SELECT DISTINCT conv_id, turn, substring(p, i, 3) AS g FROM (SELECT conv_id, turn, concat('  ', w, ' ') AS p FROM (SELECT conv_id, turn, @each(@distinct(@all(norm | '[^ ]+' | 0))) AS w FROM seg) ws) q JOIN (SELECT @each(@range(1 | 40)) AS i) n ON n.i <= length(p) - 2), z AS (SELECT conv_id, turn, count(*) AS n FROM tri GROUP BY conv_id, turn)"
-TM = f"{SEG}, pair AS (SELECT a.conv_id AS qc, a.turn AS qt, b.conv_id, b.turn, count(*) AS i FROM (SELECT * FROM tri WHERE conv_id % 10 = 0) a JOIN tri b ON a.g = b.g AND (a.conv_id <> b.conv_id OR a.turn <> b.turn) GROUP BY a.conv_id, a.turn, b.conv_id, b.turn), tm AS (SELECT p.qc, p.qt, p.conv_id, p.turn, p.i / CAST(x.n + y.n - p.i AS DOUBLE) AS s FROM pair p JOIN z x ON x.conv_id = p.qc AND x.turn = p.qt JOIN z y ON y.conv_id = p.conv_id AND y.turn = p.turn)"
-add("q_tm_search", f"WITH {TM} SELECT qc, qt, conv_id, turn, round(s, 6) AS s, s >= 0.98 AS exact FROM tm WHERE s >= 0.70", part=" WHERE conv_id % 10 = 0")
-add("q_tm_best", f"WITH {TM} SELECT qc, qt, conv_id, turn, round(s, 6) AS s FROM (SELECT *, row_number() OVER (PARTITION BY qc, qt ORDER BY round(s, 9) DESC, conv_id, turn) AS i FROM tm) WHERE i = 1", part=" WHERE conv_id % 10 = 0")
+SEG = "seg AS (SELECT conv_id, turn, role, trim(@rr(lower(text) | '[^\\p{L}\\p{N}]+' | ' ')) AS norm FROM conversations), tri AS (SELECT DISTINCT conv_id, turn, substring(p, @int(i), 3) AS g FROM (SELECT conv_id, turn, p, @each(@range(1 | length(p) - 2)) AS i FROM (SELECT conv_id, turn, concat('  ', w, ' ') AS p FROM (SELECT conv_id, turn, @each(@distinct(@all(norm | '[^ ]+' | 0))) AS w FROM seg) ws) r) q), z AS (SELECT conv_id, turn, count(*) AS n FROM tri GROUP BY conv_id, turn)"
+TM = f"{SEG}, pair AS (SELECT a.conv_id AS qc, a.turn AS qt, b.conv_id, b.turn, count(*) AS i FROM tri a JOIN tri b ON a.g = b.g AND (a.conv_id <> b.conv_id OR a.turn <> b.turn) GROUP BY a.conv_id, a.turn, b.conv_id, b.turn), tm AS (SELECT p.qc, p.qt, p.conv_id, p.turn, p.i / CAST(x.n + y.n - p.i AS DOUBLE) AS s FROM pair p JOIN z x ON x.conv_id = p.qc AND x.turn = p.qt JOIN z y ON y.conv_id = p.conv_id AND y.turn = p.turn)"
+add("q_tm_search", f"WITH {TM} SELECT qc, qt, conv_id, turn, round(s, 6) AS s, s >= 0.98 AS exact FROM tm WHERE s >= 0.70")
+add("q_tm_best", f"WITH {TM} SELECT qc, qt, conv_id, turn, round(s, 6) AS s FROM (SELECT *, row_number() OVER (PARTITION BY qc, qt ORDER BY round(s, 9) DESC, conv_id, turn) AS i FROM tm) WHERE i = 1")
 add("q_tm_upsert", "WITH s AS (SELECT trim(@rr(lower(text) | '[^\\p{L}\\p{N}]+' | ' ')) AS norm, role, conv_id FROM conversations) SELECT norm, role, max(conv_id) AS latest, count(*) AS hits FROM s GROUP BY norm, role")
 add("q_tm_stats", "WITH s AS (SELECT trim(@rr(lower(text) | '[^\\p{L}\\p{N}]+' | ' ')) AS norm, role FROM conversations) SELECT role, count(*) AS segments, count(DISTINCT norm) AS unique_segments FROM s GROUP BY role")
 add("q_tm_apply", "WITH s AS (SELECT conv_id, turn, trim(@rr(lower(text) | '[^\\p{L}\\p{N}]+' | ' ')) AS norm FROM conversations), m AS (SELECT norm, min(conv_id) AS target FROM s GROUP BY norm HAVING count(*) > 1) SELECT s.conv_id, s.turn, coalesce(m.target, s.conv_id) AS target, m.norm IS NOT NULL AS from_memory FROM s LEFT JOIN m ON m.norm = s.norm")
 # --- commands and speech ---------------------------------------------------------------------------------------------------
 CATALOG = "catalog AS (SELECT * FROM (VALUES ('play', 'start reading'), ('pause', 'stop reading'), ('next', 'next section'), ('back', 'previous section'), ('faster', 'read faster'), ('slower', 'read slower'), ('goto', 'go to section'), ('repeat', 'repeat that')) AS t(command, phrase))"
-SAID = "said AS (SELECT conv_id, turn, substring(trim(@rr(lower(text) | '[^a-z]+' | ' ')), 1, 24) AS u FROM conversations)"
+SAID = "said AS (SELECT conv_id, turn, trim(@rr(lower(text) | '[^a-z]+' | ' ')) AS u FROM conversations)"
 add("q_command_catalog", f"WITH {CATALOG} SELECT command, phrase, length(phrase) AS len FROM catalog")
-add("q_command_template", f"WITH {CATALOG}, {SAID} SELECT s.conv_id, s.turn, c.command, round(length(c.phrase) / CAST(length(s.u) AS DOUBLE), 6) AS coverage FROM said s JOIN catalog c ON s.u LIKE concat('%', substring(c.phrase, 1, 2), '%') WHERE length(s.u) > 0")
-FUZZY = f"{CATALOG}, {SAID}, f AS (SELECT s.conv_id, s.turn, c.command, 100e0 * (1 - levenshtein(s.u, c.phrase) / CAST(greatest(length(s.u), length(c.phrase)) AS DOUBLE)) AS ratio FROM said s CROSS JOIN catalog c), b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(ratio, 9) DESC, command) AS i FROM f)"
+add("q_command_template", f"WITH {CATALOG}, {SAID} SELECT s.conv_id, s.turn, c.command, round(length(c.phrase) / CAST(length(s.u) AS DOUBLE), 6) AS coverage FROM said s JOIN catalog c ON concat(' ', s.u, ' ') LIKE concat('% ', c.phrase, ' %')")
+# the best of three ratios over sorted token sets: what both have, that with the rest of either, and those two
+SETS = "ts AS (SELECT s.conv_id, s.turn, c.command, @sorted(@distinct(@all(s.u | '[^ ]+' | 0))) AS a, @sorted(@distinct(@all(c.phrase | '[^ ]+' | 0))) AS b FROM said s CROSS JOIN catalog c), tj AS (SELECT conv_id, turn, command, @joined(@sorted(@common(a | b))) AS shared, @joined(@sorted(@except(a | b))) AS x, @joined(@sorted(@except(b | a))) AS y FROM ts), tr AS (SELECT conv_id, turn, command, shared, trim(concat(shared, ' ', x)) AS p, trim(concat(shared, ' ', y)) AS q FROM tj)"
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"CASE WHEN greatest(length({a}), length({b})) = 0 THEN 0e0 ELSE 100e0 * (1 - levenshtein({a}, {b}) / CAST(greatest(length({a}), length({b})) AS DOUBLE)) END"
+
+
+FUZZY = f"{CATALOG}, {SAID}, {SETS}, f AS (SELECT conv_id, turn, command, greatest({_ratio('p', 'q')}, CASE WHEN shared = '' THEN 0e0 ELSE greatest({_ratio('shared', 'p')}, {_ratio('shared', 'q')}) END) AS ratio FROM tr), b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(ratio, 9) DESC, command) AS i FROM f)"
 add("q_command_fuzzy", f"WITH {FUZZY} SELECT conv_id, turn, command, round(ratio, 4) AS ratio FROM b WHERE i = 1")
 add("q_command_match", f"WITH {FUZZY} SELECT conv_id, turn, CASE WHEN ratio >= 82 THEN command WHEN ratio >= 30 THEN concat('maybe:', command) END AS command FROM b WHERE i = 1")
 add("q_recognize_flow", f"WITH {FUZZY} SELECT CASE WHEN ratio >= 90 THEN 'strict' WHEN ratio >= 82 THEN 'match' WHEN ratio >= 30 THEN 'suggest' ELSE 'reject' END AS outcome, count(*) AS n FROM b WHERE i = 1 GROUP BY 1")
 add("q_macro_validate", f"WITH {CATALOG}, step AS (SELECT * FROM (VALUES (1, 'play'), (1, 'faster'), (2, 'next'), (2, 'fly')) AS t(macro, command)) SELECT s.macro, bool_and(c.command IS NOT NULL) AS valid FROM step s LEFT JOIN catalog c ON c.command = s.command GROUP BY s.macro")
 add("q_asr_filter", "WITH w AS (SELECT conv_id, turn, @words(text) AS w FROM conversations) SELECT conv_id, turn, CASE WHEN @size(w) = 0 THEN 'empty' WHEN @size(w) >= 6 AND @size(@distinct(w)) * 3 <= @size(w) THEN 'repetition' ELSE 'kept' END AS outcome FROM w")
 add("q_align_offsets", "SELECT conv_id, turn, @long(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS start FROM conversations")
-add("q_fake_timings", "SELECT doc_id, pos, term, round(0.25e0 * pos, 2) AS start, round(0.25e0 * (pos + 1), 2) AS stop FROM @tokens x WHERE pos < 20")
+add("q_fake_timings", "SELECT doc_id, pos, term, round(0.25e0 * pos, 2) AS start, round(0.25e0 * (pos + 1), 2) AS stop FROM @tokens x")
 # --- queues, logs, events --------------------------------------------------------------------------------------------------
-add("q_log_backlog", "SELECT event_id, event_type FROM (SELECT event_id, event_type, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS i FROM events) WHERE i <= 200")
+add("q_log_backlog", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")
 add("q_job_coalesce", "SELECT user_id, event_id, place FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 ELSE 1 END, event_id) AS i, row_number() OVER (ORDER BY CASE event_type WHEN 'purchase' THEN 0 ELSE 1 END, event_id) AS place FROM events) WHERE i = 1")
 add("q_embed_pending", "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)")
 add("q_latency_stats", "WITH b AS (SELECT * FROM (VALUES (1e0), (5e0), (10e0), (50e0), (100e0), (500e0)) AS t(bucket)) SELECT e.event_type, b.bucket, count(CASE WHEN e.value <= b.bucket THEN 1 END) AS n FROM events e CROSS JOIN b GROUP BY e.event_type, b.bucket")
 add("q_events_tumbling", "SELECT event_type, @long(floor(@second(ts) / 3600e0)) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type, @long(floor(@second(ts) / 3600e0))")
-add("q_events_sliding", "SELECT w.h, count(*) AS n FROM (SELECT @long(floor(@second(ts) / 3600e0)) AS h0, event_id FROM events) e JOIN (SELECT DISTINCT @long(floor(@second(ts) / 3600e0)) AS h FROM events) w ON e.h0 BETWEEN w.h AND w.h + 1 GROUP BY w.h")
+add("q_events_sliding", "WITH e AS (SELECT @long(floor(@second(ts) / 3600e0)) AS h0 FROM events), w AS (SELECT @each(@range(h0 - 1 | h0)) AS h FROM e) SELECT h, count(*) AS n FROM w WHERE h IN (SELECT h0 FROM e) GROUP BY h")
 add("q_events_session", "WITH g AS (SELECT user_id, @second(ts) AS s, CASE WHEN @second(ts) - lag(@second(ts)) OVER (PARTITION BY user_id ORDER BY @second(ts), event_id) <= 1800 THEN 0 ELSE 1 END AS fresh, event_id FROM events), k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM g) SELECT user_id, @long(session) AS session, count(*) AS n, max(s) - min(s) AS seconds FROM k GROUP BY user_id, session")
-add("q_events_late", "SELECT event_type, count(CASE WHEN s < high - 600 THEN 1 END) AS late, count(*) AS n FROM (SELECT event_type, @second(ts) AS s, max(@second(ts)) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS high FROM events) GROUP BY event_type")
+add("q_events_late", "WITH e AS (SELECT event_id, event_type, @second(ts) AS s, @long(floor(event_id / 1000e0)) AS part FROM events), p AS (SELECT part, max(max(s)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e GROUP BY part) SELECT event_type, count(CASE WHEN s < high - 600 THEN 1 END) AS late, count(*) AS n FROM (SELECT e.event_type, e.s, greatest(coalesce(p.before, e.s), max(e.s) OVER (PARTITION BY e.part ORDER BY e.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS high FROM e JOIN p ON p.part = e.part) q GROUP BY event_type")

@@ -2,9 +2,10 @@
 
 Terms are lower-cased runs of letters, two or more. Counts are the stored facts; weights are derived: idf = ln(N / df), 0 where a
 term is in every document; raw weight tf * idf; normalised weight raw / norm of the document. Ties fall to the smaller document id.
+Spark reads counts, weights and norms from the stored index (`sources/index.py`); the SQL beside each query derives them from the texts.
 """
 
-from lexweave.plans.dialect import add
+from lexweave.plans.dialect import STORED, add
 
 # the facts, as common table expressions
 TF = "tf AS (SELECT doc_id, term, count(*) AS tf, min(pos) AS first_pos FROM @tokens GROUP BY doc_id, term)"
@@ -14,9 +15,21 @@ IDF = "idf AS (SELECT term, df, cf, CASE WHEN df >= n OR df <= 0 THEN 0.0 ELSE l
 RAW = "raw AS (SELECT tf.doc_id, tf.term, tf.tf, idf.idf, tf.tf * idf.idf AS raw FROM tf JOIN idf ON tf.term = idf.term)"
 NORM = "norm AS (SELECT doc_id, sqrt(sum(raw * raw)) AS norm FROM raw GROUP BY doc_id)"
 INDEX = ", ".join([TF, DF, N, IDF, RAW, NORM])
-# queries: three terms of middling frequency for each topic, chosen from the data
-TOPICS = "topic AS (SELECT 1 + (r - 1) % 5 AS query_id, term FROM (SELECT term, row_number() OVER (ORDER BY df DESC, term) AS r FROM df WHERE df >= 5 AND df < 400 AND length(term) >= 4) WHERE r <= 15)"
+# queries: the ten commonest terms and ten that a hash picks, dealt to five topics
+TOPICS = (
+    "common AS (SELECT term FROM df WHERE length(term) >= 4 ORDER BY df DESC, term LIMIT 10), picked AS (SELECT term FROM df WHERE length(term) >= 4 AND term NOT IN (SELECT term FROM common) ORDER BY @hash(term), term LIMIT 10), "
+    "topic AS (SELECT 1 + (row_number() OVER (ORDER BY @hash(term), term) - 1) % 5 AS query_id, term FROM common UNION ALL SELECT 1 + (row_number() OVER (ORDER BY @hash(term), term) - 1) % 5 AS query_id, term FROM picked)"
+)
 LEN = "len AS (SELECT d.doc_id, coalesce(t.len, 0) AS len FROM documents d LEFT JOIN (SELECT doc_id, @long(sum(tf)) AS len FROM tf GROUP BY doc_id) t ON t.doc_id = d.doc_id)"
+STORED.update({
+    TF: "tf AS (SELECT doc_id, term, tf, first_pos FROM stored_postings)",
+    DF: "df AS (SELECT term, df, cf FROM stored_terms)",
+    N: "n AS (SELECT documents AS n FROM stored_stats)",
+    IDF: "idf AS (SELECT term, df, cf, idf FROM stored_terms)",
+    RAW: "raw AS (SELECT doc_id, term, tf, idf, raw FROM stored_postings)",
+    NORM: "norm AS (SELECT doc_id, norm FROM stored_documents WHERE norm IS NOT NULL)",
+    LEN: "len AS (SELECT doc_id, len FROM stored_documents)",
+})
 VECTOR = (
     "known AS (SELECT query_id, count(*) AS known FROM topic JOIN idf ON idf.term = topic.term GROUP BY query_id), "
     "dot AS (SELECT t.query_id, r.doc_id, sum(r.raw) AS dot, count(*) AS matched FROM topic t JOIN raw r ON r.term = t.term GROUP BY t.query_id, r.doc_id), "
@@ -34,7 +47,7 @@ def ranked(scores: str, k: int, more: str = "") -> str:
 
 add("q_postings", f"WITH {TF} SELECT doc_id, term, tf, @long(first_pos) AS first_pos FROM tf")
 add("q_document_frequencies", f"WITH {TF}, {DF} SELECT term, df, cf FROM df")
-add("q_collection_frequencies", f"WITH {TF}, {DF} SELECT term, cf FROM df WHERE cf > 1")
+add("q_collection_frequencies", f"WITH {TF}, {DF} SELECT term, cf FROM df")
 add("q_idf", f"WITH {TF}, {DF}, {N}, {IDF} SELECT term, df, round(idf, 6) AS idf FROM idf")
 add("q_raw_weights", f"WITH {INDEX} SELECT doc_id, term, round(raw, 6) AS raw FROM raw")
 add("q_normalized_weights", f"WITH {INDEX} SELECT raw.doc_id, raw.term, round(CASE WHEN norm > 0 THEN raw / norm ELSE 0 END, 6) AS w FROM raw JOIN norm ON norm.doc_id = raw.doc_id")
@@ -43,7 +56,7 @@ add("q_collection_stats", f"WITH {TF}, {DF}, {N}, {LEN} SELECT n.n AS documents,
 add("q_top_df_terms", f"WITH {TF}, {DF} SELECT term, df FROM df ORDER BY df DESC, term LIMIT 10")
 add("q_orphan_terms", f"WITH {TF}, {DF}, kept AS (SELECT DISTINCT term FROM tf WHERE doc_id % 2 = 0) SELECT term FROM df WHERE NOT EXISTS (SELECT 1 FROM kept WHERE kept.term = df.term)")
 add("q_index_stale", f"WITH {TF}, {N} SELECT n.n AS live, (SELECT count(DISTINCT doc_id) FROM tf) AS indexed, n.n <> (SELECT count(DISTINCT doc_id) FROM tf) AS stale FROM n")
-add("q_matrix_cells", f"WITH {TF}, {DF}, top AS (SELECT term FROM df ORDER BY cf DESC, term LIMIT 200) SELECT tf.doc_id, tf.term, tf.tf FROM tf JOIN top ON top.term = tf.term")
+add("q_matrix_cells", f"WITH {TF}, {DF}, top AS (SELECT term FROM df ORDER BY cf DESC, term LIMIT 20000) SELECT tf.doc_id, tf.term, tf.tf FROM tf JOIN top ON top.term = tf.term")
 add("q_delete_reweight", f"WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM @tokens WHERE doc_id % 10 <> 3 GROUP BY doc_id, term), {DF}, n AS (SELECT count(*) AS n FROM documents WHERE doc_id % 10 <> 3), {IDF} SELECT term, df, round(idf, 6) AS idf FROM idf")
 add("q_parse_query", f"WITH {TF}, {DF}, q AS (SELECT item_id, @each(@distinct(@words(text))) AS term FROM benchmark) SELECT q.item_id, q.term, df.df, df.term IS NULL AS unknown FROM q LEFT JOIN df ON df.term = q.term WHERE length(q.term) >= 2")
 add("q_vector_rank", f"WITH {INDEX}, {TOPICS}, {VECTOR} {ranked('vector', 20, ', matched')}")
@@ -57,7 +70,7 @@ add("q_vector_idf", f"WITH {INDEX}, {TOPICS}, {VIDF} {ranked('vector_idf', 20)}"
 add("q_sparse_query", f"WITH {INDEX}, {TOPICS}, q AS (SELECT query_id, term, 1.0 / length(term) AS w FROM topic), qn AS (SELECT query_id, sqrt(sum(w * w)) AS qn FROM q GROUP BY query_id), s AS (SELECT q.query_id, r.doc_id, sum(q.w * r.raw) / (max(m.norm) * max(qn.qn)) AS score FROM q JOIN raw r ON r.term = q.term JOIN norm m ON m.doc_id = r.doc_id JOIN qn ON qn.query_id = q.query_id GROUP BY q.query_id, r.doc_id HAVING sum(q.w * r.raw) > 0) {ranked('s', 20)}")
 SEM = "sem AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, @dot(q.embedding | e.embedding) / (sqrt(@dot(q.embedding | q.embedding)) * sqrt(@dot(e.embedding | e.embedding))) AS score FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q JOIN embeddings e ON q.vec_id <> e.vec_id)"
 add("q_semantic_topk", f"WITH {SEM} {ranked('sem', 10)}")
-add("q_semantic_conj", f"WITH {TF}, {DF}, {TOPICS}, ok AS (SELECT tf.doc_id FROM tf JOIN (SELECT term FROM topic WHERE query_id = 1) t ON t.term = tf.term GROUP BY tf.doc_id HAVING count(*) >= 1), {SEM} SELECT query_id, doc_id, round(score, 5) AS score FROM sem WHERE query_id = 0 AND doc_id IN (SELECT doc_id FROM ok)")
+add("q_semantic_conj", f"WITH {TF}, {DF}, {TOPICS}, ok AS (SELECT tf.doc_id FROM tf JOIN (SELECT term FROM topic WHERE query_id = 1) t ON t.term = tf.term GROUP BY tf.doc_id HAVING count(*) >= 1), {SEM} SELECT query_id, doc_id, round(score, 5) AS score FROM sem WHERE doc_id IN (SELECT doc_id FROM ok)")
 RRF = "parts AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM vector UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM bm25), hybrid AS (SELECT query_id, doc_id, sum(1e0 / (60 + r)) AS score FROM parts WHERE r <= 60 GROUP BY query_id, doc_id)"
 add("q_hybrid_rrf", f"WITH {INDEX}, {TOPICS}, {LEN}, {VECTOR}, {BM25}, {RRF} {ranked('hybrid', 20)}")
 PRF = (
@@ -75,7 +88,7 @@ add("q_search_page", f"WITH {TF}, {DF}, {N}, {TOPICS}, {LEN}, {BM25} SELECT quer
 add("q_search_hits", f"WITH {TF}, {DF}, {N}, {TOPICS}, {LEN}, {BM25} SELECT b.query_id, b.rank, d.doc_id, d.lang, d.source, substring(d.text, 1, 80) AS lead FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm25) b JOIN documents d ON d.doc_id = b.doc_id WHERE b.rank <= 10")
 add("q_document_detail", f"WITH {INDEX} SELECT raw.doc_id, raw.term, raw.tf, round(raw, 6) AS raw_weight, round(raw / norm, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(raw, 9) DESC, term) AS k FROM raw) raw JOIN norm ON norm.doc_id = raw.doc_id WHERE k <= 5 AND norm > 0")
 add("q_fts_match", f"WITH {TF}, {DF}, {TOPICS}, a AS (SELECT term FROM topic WHERE query_id = 1), b AS (SELECT term FROM topic WHERE query_id = 2) SELECT doc_id, round(sum(1 + ln(tf)) / (1 + ln(max(n))), 6) AS score FROM (SELECT tf.*, @long(sum(tf) OVER (PARTITION BY doc_id)) AS n FROM tf) x WHERE term IN (SELECT term FROM a) AND doc_id NOT IN (SELECT doc_id FROM tf WHERE term IN (SELECT term FROM b)) GROUP BY doc_id HAVING count(*) >= 2")
-add("q_cosine", f"WITH {INDEX} SELECT a.doc_id AS a, b.doc_id AS b, round(sum(a.raw * b.raw) / (max(m.norm) * max(o.norm)), 6) AS cosine FROM raw a JOIN raw b ON a.term = b.term AND b.doc_id = a.doc_id + 1 JOIN norm m ON m.doc_id = a.doc_id JOIN norm o ON o.doc_id = b.doc_id WHERE m.norm > 0 AND o.norm > 0 GROUP BY a.doc_id, b.doc_id")
+add("q_cosine", f"WITH {INDEX} SELECT a.doc_id AS a, b.doc_id AS b, round(sum(a.raw * b.raw) / (max(m.norm) * max(o.norm)), 6) AS cosine FROM raw a JOIN raw b ON a.term = b.term AND a.doc_id % 50 = 0 AND b.doc_id <> a.doc_id JOIN norm m ON m.doc_id = a.doc_id JOIN norm o ON o.doc_id = b.doc_id WHERE m.norm > 0 AND o.norm > 0 GROUP BY a.doc_id, b.doc_id")
 add("q_known_item_topics", f"WITH {TF}, lead AS (SELECT doc_id, term, first_pos, row_number() OVER (PARTITION BY doc_id ORDER BY first_pos) AS i FROM tf WHERE first_pos < 100 AND length(term) >= 4) SELECT doc_id, @join(term | ' ' | first_pos) AS topic, count(*) AS terms FROM lead WHERE i <= 7 GROUP BY doc_id HAVING count(*) >= 4")
 add("q_seed_documents", "SELECT url, page_id, coalesce(nullif(html, ''), '-') AS html FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS i FROM pages) WHERE i = 1")
 add("q_doc_filters", "SELECT o_orderkey, o_orderstatus FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' AND o_orderstatus = 'O'")

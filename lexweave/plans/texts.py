@@ -16,19 +16,27 @@ add("q_crawl_gate", "SELECT page_id, CASE WHEN @like(url | '[.](pdf|zip)$') THEN
 add("q_skip_breakdown", "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN url LIKE '%spam%' THEN 'host' WHEN length(html) > 12000 THEN 'too_large' WHEN length(html) < 400 THEN 'too_short' ELSE 'kept' END AS reason FROM pages) GROUP BY reason")
 LINKS = f"links AS (SELECT DISTINCT page_id, {HOST} AS host, @each(@all(html | 'href=\"(/[^\"]*)\"' | 1)) AS path FROM pages)"
 add("q_bfs_frontier", f"WITH {LINKS}, seed AS (SELECT host, '/' AS path, 0 AS depth, 0 AS priority FROM links), l1 AS (SELECT host, path, 1 AS depth, 100 AS priority FROM links WHERE path <> '/') SELECT host, path, min(depth) AS depth, min(priority) AS priority FROM (SELECT * FROM seed UNION ALL SELECT * FROM l1) GROUP BY host, path")
-add("q_frontier_claim", f"WITH {LINKS}, f AS (SELECT host, path, min(page_id) AS id FROM links GROUP BY host, path) SELECT host, path, place FROM (SELECT host, path, row_number() OVER (ORDER BY 100 + length(path), id, host, path) AS place FROM f) WHERE place <= 50")
+add("q_frontier_claim", f"WITH {LINKS}, f AS (SELECT host, path, min(page_id) AS id FROM links GROUP BY host, path) SELECT host, path, row_number() OVER (ORDER BY 100 + length(path), id, host, path) AS place FROM (SELECT * FROM f ORDER BY 100 + length(path), id, host, path LIMIT 50) q")
 add("q_frontier_page", "SELECT page_id, url, total FROM (SELECT page_id, url, count(*) OVER () AS total, row_number() OVER (ORDER BY page_id) AS i FROM pages WHERE url LIKE 'https:%') WHERE i BETWEEN 11 AND 20")
 add("q_clean_paragraphs", "WITH p AS (SELECT page_id, @each(@all(html | '<p>([^<]{40,})' | 1)) AS t FROM pages), c AS (SELECT page_id, trim(@rr(t | '\\[[0-9]+\\]' | '')) AS t FROM p) SELECT page_id, substring(t, 1, 120) AS lead, count(*) AS times FROM c WHERE length(t) - length(replace(t, '|', '')) <= 3 GROUP BY page_id, substring(t, 1, 120)")
 # --- duplicates ------------------------------------------------------------------------------------------------------------
 NORMAL = "trim(@rr(lower(text) | '[ \\t\\r\\n]+' | ' '))"
 add("q_content_hash", f"SELECT doc_id, @sha({NORMAL}) AS hash FROM documents")
 add("q_exact_duplicates", f"SELECT doc_id, first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY @sha({NORMAL})) AS first_id FROM documents) WHERE doc_id <> first_id")
-# 32 votes from md5: a term adds its frequency to a bit, or takes it away
-SIM = f"{TF}, hb AS (SELECT doc_id, tf, @hash(term) AS h FROM tf), bit AS (SELECT @each(@range(0 | 31)) AS i), vote AS (SELECT doc_id, i, sum(CASE WHEN floor(h / pow(2e0, i)) % 2 = 1 THEN tf ELSE -tf END) AS v FROM hb CROSS JOIN bit GROUP BY doc_id, i), sim AS (SELECT doc_id, @long(sum(CASE WHEN v > 0 THEN pow(2e0, i) ELSE 0 END)) AS simhash FROM vote GROUP BY doc_id)"
-add("q_simhash", f"WITH {SIM} SELECT doc_id, simhash FROM sim")
-add("q_hamming", f"WITH {SIM} SELECT a.doc_id AS a, b.doc_id AS b, @long(bit_count(@xor(a.simhash | b.simhash))) AS distance FROM sim a JOIN sim b ON b.doc_id = a.doc_id + 1")
-BANDS = "band AS (SELECT doc_id, simhash, k, @long(floor(simhash / pow(2e0, 8 * k))) % 256 AS part FROM sim CROSS JOIN (SELECT @each(@range(0 | 3)) AS k) q)"
-add("q_near_duplicates", f"WITH {SIM}, {BANDS} SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, @long(bit_count(@xor(a.simhash | b.simhash))) AS distance FROM band a JOIN band b ON a.k = b.k AND a.part = b.part AND a.doc_id < b.doc_id WHERE bit_count(@xor(a.simhash | b.simhash)) <= 3")
+# 64 votes from two hashes of a term: it adds its frequency to a bit, or takes it away
+
+
+def _bits(hashed: str, name: str) -> str:
+    votes = " + ".join(f"CASE WHEN sum(CASE WHEN floor({hashed} / {2**i}e0) % 2 = 1 THEN tf ELSE -tf END) > 0 THEN {2**i}e0 ELSE 0e0 END" for i in range(32))
+    return f"@long({votes}) AS {name}"
+
+
+SIM = f"{TF}, hb AS (SELECT doc_id, tf, @hash(term) AS h, @hash(concat(term, '#')) AS g FROM tf), sim AS (SELECT doc_id, {_bits('h', 'high')}, {_bits('g', 'low')} FROM hb GROUP BY doc_id)"
+APART = "@long(bit_count(@xor(a.high | b.high)) + bit_count(@xor(a.low | b.low)))"
+add("q_simhash", f"WITH {SIM} SELECT doc_id, high, low FROM sim")
+add("q_hamming", f"WITH {SIM} SELECT a.doc_id AS a, b.doc_id AS b, {APART} AS distance FROM sim a JOIN sim b ON a.doc_id % 50 = 0 AND b.doc_id <> a.doc_id")
+BANDS = "band AS (SELECT doc_id, high, low, k, CASE k WHEN 0 THEN floor(high / 65536e0) WHEN 1 THEN high % 65536 WHEN 2 THEN floor(low / 65536e0) ELSE low % 65536 END AS part FROM (SELECT doc_id, high, low, @each(@range(0 | 3)) AS k FROM sim) q)"
+add("q_near_duplicates", f"WITH {SIM}, {BANDS} SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, {APART} AS distance FROM band a JOIN band b ON a.k = b.k AND a.part = b.part AND a.doc_id < b.doc_id WHERE {APART} <= 3")
 # --- strings ---------------------------------------------------------------------------------------------------------------
 add("q_clean_text", "SELECT doc_id, trim(@rr(@rr(text | '[ \\t]+' | ' ') | '\\n{3,}' | '\n\n')) AS text FROM documents")
 add("q_normalize_letters", "SELECT doc_id, trim(@rr(lower(text) | '[^\\p{L}]+' | ' ')) AS text FROM documents")
@@ -41,19 +49,19 @@ add("q_strip_markdown", "SELECT conv_id, turn, @rr(@rr(text | '[*_`#>]+' | '') |
 add("q_utterance_normalize", "SELECT conv_id, turn, trim(@rr(@rr(@rr(lower(text) | '[!?;:,]+' | ' ') | '(^| )(please|uh|um|well|so)( |$)' | ' ') | ' +' | ' ')) AS utterance FROM conversations")
 add("q_detokenise", "WITH t AS (SELECT conv_id, turn, @each(@all(text | '\\p{L}+|[.,!?]' | 0)) AS w FROM conversations) SELECT conv_id, turn, count(*) AS pieces, count(CASE WHEN @like(w | '^[.,!?]$') THEN 1 END) AS marks FROM t GROUP BY conv_id, turn")
 add("q_parse_grade", "SELECT event_id, CASE WHEN @json(props | '$.k') IS NULL THEN NULL ELSE @long(@json(props | '$.k')) % 4 END AS grade FROM events")
-add("q_parse_date", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS DATE) AS d, extract(year FROM o_orderdate) AS y FROM orders WHERE o_orderkey % 7 = 0", part=" WHERE o_orderkey % 7 = 0")
+add("q_parse_date", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS DATE) AS d, extract(year FROM o_orderdate) AS y FROM orders")
 add("q_spoken_numbers", "SELECT doc_id, @size(@all(text | '[0-9]+' | 0)) AS numbers, @size(@all(text | '[0-9]+%' | 0)) AS percents FROM documents")
 add("q_acronyms", "WITH a AS (SELECT doc_id, @each(@all(text | '\\p{Lu}{2,6}' | 0)) AS a FROM documents) SELECT a, count(*) AS n, @like(a | '[AEIOUY]') AS pronounceable FROM a GROUP BY a")
 add("q_scs_identifier", "SELECT source, lang, @rr(lower(concat(source, ' ', lang)) | '[^a-z0-9]+' | '_') AS identifier, count(*) AS n FROM documents GROUP BY source, lang")
 add("q_pitch_factor", "SELECT st, round(pow(2e0, st / 12e0), 6) AS factor, round(least(2e0, greatest(0.5e0, pow(2e0, st / 12e0))), 6) AS clamped FROM (SELECT @each(@range(-24 | 24)) AS st)")
 add("q_pitch_timings", "SELECT event_id, round(value / pow(2e0, (event_id % 13 - 6) / 12e0), 6) AS seconds FROM events")
 add("q_clip_text", "SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE concat(@rr(substring(text, 1, 200) | ' [^ ]*$' | ''), '...') END AS clip FROM documents")
-add("q_homoglyph", "SELECT doc_id, translate(substring(text, 1, 100), 'aceopxyABCEHKMOPTX', 'асеорхуАВСЕНКМОРТХ') AS swapped FROM documents")
-add("q_jaccard", f"WITH {TF}, s AS (SELECT doc_id, count(*) AS n FROM tf GROUP BY doc_id) SELECT a.doc_id AS a, b.doc_id AS b, round(count(*) / CAST(max(x.n) + max(y.n) - count(*) AS DOUBLE), 6) AS jaccard FROM tf a JOIN tf b ON a.term = b.term AND b.doc_id = a.doc_id + 1 JOIN s x ON x.doc_id = a.doc_id JOIN s y ON y.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id")
-add("q_cache_evict", "SELECT event_id, total > 20000 AS evicted FROM (SELECT event_id, sum(value) OVER (ORDER BY ts DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM events)")
+add("q_homoglyph", "SELECT doc_id, translate(text, 'aceopxyABCEHKMOPTX', 'асеорхуАВСЕНКМОРТХ') AS swapped FROM documents")
+add("q_jaccard", f"WITH {TF}, s AS (SELECT doc_id, count(*) AS n FROM tf GROUP BY doc_id) SELECT a.doc_id AS a, b.doc_id AS b, round(count(*) / CAST(max(x.n) + max(y.n) - count(*) AS DOUBLE), 6) AS jaccard FROM tf a JOIN tf b ON a.term = b.term AND a.doc_id % 50 = 0 AND b.doc_id <> a.doc_id JOIN s x ON x.doc_id = a.doc_id JOIN s y ON y.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id")
+add("q_cache_evict", "WITH e AS (SELECT event_id, value, ts, @long(floor(@second(ts) / 3600e0)) AS hour FROM events), h AS (SELECT hour, sum(sum(value)) OVER (ORDER BY hour DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(value) AS newer FROM e GROUP BY hour) SELECT event_id, total > 20000 AS evicted FROM (SELECT e.event_id, h.newer + sum(e.value) OVER (PARTITION BY e.hour ORDER BY e.ts DESC, e.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM e JOIN h ON h.hour = e.hour)")
 add("q_position_clamp", "SELECT event_id, greatest(0, least(@long(event_id * 3 - 100), 20000)) AS position FROM events")
 # --- languages -------------------------------------------------------------------------------------------------------------
-GRAMS = "w AS (SELECT doc_id, lang, concat('_', term, '_') AS w FROM (SELECT d.doc_id, d.lang, t.term FROM @tokens t JOIN documents d ON d.doc_id = t.doc_id)), wc AS (SELECT doc_id, lang, w, count(*) AS c FROM w GROUP BY doc_id, lang, w), k AS (SELECT @each(@range(1 | 3)) AS k), p AS (SELECT @each(@range(1 | 40)) AS p), gram AS (SELECT doc_id, lang, substring(w, p, k) AS gram, @long(sum(c)) AS c FROM wc CROSS JOIN k JOIN p ON p.p <= length(w) - k.k + 1 GROUP BY doc_id, lang, substring(w, p, k))"
+GRAMS = "wc AS (SELECT doc_id, lang, concat('_', term, '_') AS w, count(*) AS c FROM (SELECT doc_id, lang, @each(@words(text)) AS term FROM documents) t WHERE length(term) >= 2 GROUP BY doc_id, lang, concat('_', term, '_')), pc AS (SELECT doc_id, lang, w, c, @each(@range(1 | length(w))) AS p FROM wc), kc AS (SELECT doc_id, lang, w, c, p, @each(@range(1 | least(5, length(w) - p + 1))) AS k FROM pc), gram AS (SELECT doc_id, lang, substring(w, @int(p), @int(k)) AS gram, @long(sum(c)) AS c FROM kc GROUP BY doc_id, lang, substring(w, @int(p), @int(k)))"
 PROFILES = "prof AS (SELECT lang, gram, r FROM (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(c) DESC, gram) - 1 AS r FROM gram WHERE doc_id % 2 = 0 GROUP BY lang, gram) WHERE r < 300), own AS (SELECT doc_id, lang, gram, r FROM (SELECT doc_id, lang, gram, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, gram) - 1 AS r FROM gram WHERE doc_id % 2 = 1) WHERE r < 300)"
 DIST = "dist AS (SELECT o.doc_id, o.lang, l.lang AS guess, @long(sum(coalesce(abs(o.r - p.r), 300))) AS d, count(*) AS n FROM own o CROSS JOIN (SELECT DISTINCT lang FROM prof) l LEFT JOIN prof p ON p.lang = l.lang AND p.gram = o.gram GROUP BY o.doc_id, o.lang, l.lang), best AS (SELECT doc_id, lang, guess, d, n, lead(d) OVER (PARTITION BY doc_id ORDER BY d, guess) AS second, row_number() OVER (PARTITION BY doc_id ORDER BY d, guess) AS i FROM dist)"
 LANGS = f"{GRAMS}, {PROFILES}, {DIST}"
@@ -71,7 +79,6 @@ add("q_lang_report", f"WITH {LANGS} SELECT concat_ws(';', @text(doc_id), lang, g
 add("q_corpus_stats", "SELECT lang, count(*) AS documents, @long(sum(length(text))) AS chars FROM documents GROUP BY lang")
 add("q_script_language", "SELECT doc_id, CASE WHEN length(@rr(text | '[^а-яёА-ЯЁ]' | '')) >= length(@rr(text | '[^a-zA-Z]' | '')) THEN 'ru' ELSE 'en' END AS lang FROM documents")
 # --- summaries -------------------------------------------------------------------------------------------------------------
-SENT = "sent AS (SELECT doc_id, @each(@all(text | '[^.!?\\n]*\\p{L}[^.!?\\n]*[.!?]?' | 0)) AS s FROM documents), sn AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id, s ORDER BY s) AS copy FROM sent)"
 add("q_paragraphs", "WITH p AS (SELECT doc_id, @each(@all(text | '[^\\n]+' | 0)) AS p FROM documents) SELECT doc_id, count(*) AS paragraphs, @long(sum(length(p))) AS chars FROM p GROUP BY doc_id")
 add("q_summary_tokens", "SELECT doc_id, pos, term FROM @tokens x WHERE length(term) >= 3 AND term NOT IN ('the', 'and', 'that', 'for', 'with', 'les', 'des', 'der', 'die', 'und', 'que', 'los')")
 add("q_filter_report", "SELECT doc_id, @size(@all(text | '[^ \\n]+' | 0)) AS words, @size(@all(text | '[0-9]+' | 0)) AS numbers, @size(@all(text | '\\p{L}+' | 0)) AS letters FROM documents")
@@ -80,27 +87,25 @@ AUG = "aug AS (SELECT tf.doc_id, tf.term, tf.tf, tf.first_pos, 0.5e0 * (1 + tf.t
 add("q_tf_max", f"WITH {TF}, {MAX} SELECT doc_id, tf_max FROM mx")
 add("q_augmented_tfidf", f"WITH {TF}, {DF}, {N}, {IDF}, {MAX}, {AUG} SELECT doc_id, term, round(w, 6) AS w FROM aug")
 add("q_summary_keywords", f"WITH {TF}, {DF}, {N}, {IDF}, {MAX}, {AUG} SELECT doc_id, term, k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, tf DESC, term) AS k FROM aug) WHERE k <= 15")
-add("q_frequent_form", "WITH f AS (SELECT lower(s) AS term, s, count(*) AS n FROM (SELECT @each(@all(text | '\\p{L}+' | 0)) AS s FROM documents) GROUP BY lower(s), s) SELECT term, s AS form, n FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY n DESC, s) AS i FROM f) WHERE i = 1 AND n > 1")
-add("q_df_histogram", f"WITH {TF}, {DF}, h AS (SELECT df, count(*) AS terms FROM df GROUP BY df), {N}, b AS (SELECT @each(@range(1 | 200)) AS df) SELECT b.df, coalesce(h.terms, 0) AS terms, round(ln(n.n / CAST(b.df AS DOUBLE)), 6) AS idf FROM b CROSS JOIN n LEFT JOIN h ON h.df = b.df")
+add("q_frequent_form", "WITH f AS (SELECT lower(s) AS term, s, count(*) AS n FROM (SELECT @each(@all(text | '\\p{L}+' | 0)) AS s FROM documents) GROUP BY lower(s), s) SELECT term, s AS form, n FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY n DESC, s) AS i FROM f) WHERE i = 1")
+add("q_df_histogram", f"WITH {TF}, {DF}, h AS (SELECT df, count(*) AS terms FROM df GROUP BY df), {N}, b AS (SELECT @each(@range(1 | n)) AS df FROM n) SELECT b.df, coalesce(h.terms, 0) AS terms, round(ln(n.n / CAST(b.df AS DOUBLE)), 6) AS idf FROM b CROSS JOIN n LEFT JOIN h ON h.df = b.df")
 add("q_zipf", f"WITH {TF}, {DF}, r AS (SELECT cf, row_number() OVER (ORDER BY cf DESC, term) AS r FROM df) SELECT round(-regr_slope(ln(cf), ln(r)), 6) AS slope, count(*) AS points, (SELECT count(*) FROM df WHERE cf = 1) AS hapax FROM r WHERE cf >= 2")
 add("q_collection_statistics", f"WITH {TF}, s AS (SELECT doc_id, @long(sum(tf)) AS words, count(*) AS terms FROM tf GROUP BY doc_id) SELECT count(*) AS documents, @long(sum(words)) AS words, round(avg(terms), 6) AS terms FROM s")
-LINES = "ln0 AS (SELECT doc_id, i, @at(ls | i + 1) AS s FROM (SELECT doc_id, @all(text | '[^.!?\\n]*\\p{L}[^.!?\\n]*[.!?]?' | 0) AS ls FROM documents) q CROSS JOIN (SELECT @each(@range(0 | 199)) AS i) n WHERE i < @size(ls)), ls1 AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(length(s)) OVER (PARTITION BY doc_id) AS whole FROM ln0), st AS (SELECT DISTINCT doc_id, i, term FROM (SELECT doc_id, i, @each(@words(s)) AS term FROM ln0) x WHERE length(term) >= 2)"
-ALL_LINES = {"CROSS JOIN (SELECT @each(@range(0 | 199)) AS i) n WHERE i < @size(ls)": "LATERAL VIEW posexplode(ls) n AS i, e"}
+LINES = "ln0 AS (SELECT doc_id, i, s FROM @lines q), ls1 AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(length(s)) OVER (PARTITION BY doc_id) AS whole FROM ln0), st AS (SELECT DISTINCT doc_id, i, term FROM (SELECT doc_id, i, @each(@words(s)) AS term FROM ln0) x WHERE length(term) >= 2)"
 SCORED = f"{TF}, {DF}, {N}, {IDF}, {MAX}, {AUG}, {LINES}, sc AS (SELECT st.doc_id, st.i, sum(aug.w) AS score, count(*) AS terms FROM st JOIN aug ON aug.doc_id = st.doc_id AND aug.term = st.term GROUP BY st.doc_id, st.i), sw AS (SELECT l.doc_id, l.i, l.s, (1 - l.start / CAST(l.whole AS DOUBLE)) * coalesce(sc.score, 0) AS w FROM ls1 l LEFT JOIN sc ON sc.doc_id = l.doc_id AND sc.i = l.i)"
-add("q_sentence_scores", f"WITH {SCORED} SELECT doc_id, i, round(w, 6) AS w FROM sw", wholes=ALL_LINES)
+add("q_sentence_scores", f"WITH {SCORED} SELECT doc_id, i, round(w, 6) AS w FROM sw")
 SELECTED = "sel AS (SELECT doc_id, i, s, w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, i) AS k FROM sw) WHERE k <= 5)"
-add("q_summary_select", f"WITH {SCORED}, {SELECTED} SELECT doc_id, i FROM sel", wholes=ALL_LINES)
-add("q_summary_text", f"WITH {SCORED}, {SELECTED} SELECT doc_id, @join(trim(s) | ' ' | i) AS summary FROM sel GROUP BY doc_id", wholes=ALL_LINES)
-add("q_summaries", f"WITH {SCORED}, {SELECTED} SELECT doc_id, count(*) AS sentences, @long(sum(length(s))) AS chars FROM sel GROUP BY doc_id", wholes=ALL_LINES)
-add("q_lead", f"WITH {LINES} SELECT doc_id, i, s FROM ln0 WHERE i < 3", wholes=ALL_LINES)
-add("q_sentence_contributions", f"WITH {TF}, {DF}, {N}, {IDF}, {MAX}, {AUG}, {LINES} SELECT doc_id, i, term, round(w, 6) AS w FROM (SELECT st.doc_id, st.i, st.term, aug.w, row_number() OVER (PARTITION BY st.doc_id, st.i ORDER BY round(aug.w, 9) DESC, st.term) AS k FROM st JOIN aug ON aug.doc_id = st.doc_id AND aug.term = st.term) WHERE k <= 6", wholes=ALL_LINES)
-add("q_sentence_edges", f"WITH {LINES}, z AS (SELECT doc_id, i, count(*) AS n FROM st GROUP BY doc_id, i) SELECT a.doc_id, a.i AS a, b.i AS b, round(count(*) / (ln(max(x.n) + 1e0) + ln(max(y.n) + 1e0)), 6) AS sim FROM st a JOIN st b ON a.doc_id = b.doc_id AND a.term = b.term AND a.i < b.i JOIN z x ON x.doc_id = a.doc_id AND x.i = a.i JOIN z y ON y.doc_id = b.doc_id AND y.i = b.i WHERE a.i < 12 AND b.i < 12 GROUP BY a.doc_id, a.i, b.i", part=" WHERE a.i < 12 AND b.i < 12", wholes=ALL_LINES)
-add("q_rouge_n", f"WITH {TF}, b AS (SELECT item_id, term, count(*) AS n FROM (SELECT item_id, @each(@words(text)) AS term FROM benchmark) q GROUP BY item_id, term), z AS (SELECT item_id, sum(n) AS n FROM b GROUP BY item_id) SELECT b.item_id, tf.doc_id, round(sum(least(b.n, tf.tf)) / CAST(max(z.n) AS DOUBLE), 6) AS recall FROM b JOIN tf ON tf.term = b.term JOIN z ON z.item_id = b.item_id WHERE tf.doc_id < 100 GROUP BY b.item_id, tf.doc_id", part=" WHERE tf.doc_id < 100")
-add("q_summary_quality", f"WITH {SCORED}, {SELECTED} SELECT s.doc_id, round(sum(length(s.s)) / CAST(max(d.n_chars) AS DOUBLE), 6) AS compression, round(avg(CASE WHEN s.i = 0 THEN 1e0 ELSE 0e0 END), 6) AS lead_share FROM sel s JOIN documents d ON d.doc_id = s.doc_id WHERE d.n_chars > 0 GROUP BY s.doc_id", wholes=ALL_LINES)
-add("q_batch_report", f"WITH {SCORED}, {SELECTED} SELECT d.lang, count(DISTINCT s.doc_id) AS documents, count(*) AS sentences FROM sel s JOIN documents d ON d.doc_id = s.doc_id GROUP BY d.lang", wholes=ALL_LINES)
-add("q_sentence_csv", f"WITH {SCORED} SELECT concat_ws(';', @text(doc_id), @text(i), @text(@long(round(w, 0)))) AS line FROM sw", wholes=ALL_LINES)
+add("q_summary_select", f"WITH {SCORED}, {SELECTED} SELECT doc_id, i FROM sel")
+add("q_summary_text", f"WITH {SCORED}, {SELECTED} SELECT doc_id, @join(trim(s) | ' ' | i) AS summary FROM sel GROUP BY doc_id")
+add("q_summaries", f"WITH {SCORED}, {SELECTED} SELECT doc_id, count(*) AS sentences, @long(sum(length(s))) AS chars FROM sel GROUP BY doc_id")
+add("q_lead", f"WITH {LINES} SELECT doc_id, i, s FROM ln0 WHERE i < 3")
+add("q_sentence_contributions", f"WITH {TF}, {DF}, {N}, {IDF}, {MAX}, {AUG}, {LINES} SELECT doc_id, i, term, round(w, 6) AS w FROM (SELECT st.doc_id, st.i, st.term, aug.w, row_number() OVER (PARTITION BY st.doc_id, st.i ORDER BY round(aug.w, 9) DESC, st.term) AS k FROM st JOIN aug ON aug.doc_id = st.doc_id AND aug.term = st.term) WHERE k <= 6")
+add("q_sentence_edges", f"WITH {LINES}, z AS (SELECT doc_id, i, count(*) AS n FROM st GROUP BY doc_id, i) SELECT a.doc_id, a.i AS a, b.i AS b, round(count(*) / (ln(max(x.n) + 1e0) + ln(max(y.n) + 1e0)), 6) AS sim FROM st a JOIN st b ON a.doc_id = b.doc_id AND a.term = b.term AND a.i < b.i JOIN z x ON x.doc_id = a.doc_id AND x.i = a.i JOIN z y ON y.doc_id = b.doc_id AND y.i = b.i GROUP BY a.doc_id, a.i, b.i")
+add("q_rouge_n", f"WITH {TF}, b AS (SELECT item_id, term, count(*) AS n FROM (SELECT item_id, @each(@words(text)) AS term FROM benchmark) q GROUP BY item_id, term), z AS (SELECT item_id, sum(n) AS n FROM b GROUP BY item_id) SELECT b.item_id, tf.doc_id, round(sum(least(b.n, tf.tf)) / CAST(max(z.n) AS DOUBLE), 6) AS recall FROM b JOIN tf ON tf.term = b.term JOIN z ON z.item_id = b.item_id GROUP BY b.item_id, tf.doc_id")
+add("q_summary_quality", f"WITH {SCORED}, {SELECTED} SELECT s.doc_id, round(sum(length(s.s)) / CAST(max(d.n_chars) AS DOUBLE), 6) AS compression, round(avg(CASE WHEN s.i = 0 THEN 1e0 ELSE 0e0 END), 6) AS lead_share FROM sel s JOIN documents d ON d.doc_id = s.doc_id WHERE d.n_chars > 0 GROUP BY s.doc_id")
+add("q_batch_report", f"WITH {SCORED}, {SELECTED} SELECT d.lang, count(DISTINCT s.doc_id) AS documents, count(*) AS sentences FROM sel s JOIN documents d ON d.doc_id = s.doc_id GROUP BY d.lang")
+add("q_sentence_csv", f"WITH {SCORED} SELECT concat_ws(';', @text(doc_id), @text(i), @text(@long(round(w, 0)))) AS line FROM sw")
 KEY = "kw AS (SELECT doc_id, term, w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term) AS k FROM aug) WHERE k <= 30), kn AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM kw GROUP BY doc_id)"
 add("q_doc_similarity", f"WITH {TF}, {DF}, {N}, {IDF}, {MAX}, {AUG}, {KEY}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) / (max(x.norm) * max(y.norm)) AS sim FROM kw a JOIN kw b ON a.term = b.term AND a.doc_id < b.doc_id JOIN kn x ON x.doc_id = a.doc_id JOIN kn y ON y.doc_id = b.doc_id WHERE x.norm > 0 AND y.norm > 0 GROUP BY a.doc_id, b.doc_id) SELECT a, b, round(sim, 6) AS sim FROM p WHERE sim >= 0.08")
 add("q_graph_edges", f"WITH {TF}, {DF}, {N}, {IDF}, {MAX}, {AUG}, {KEY} SELECT concat('doc_', @text(doc_id)) AS source, concat('term_', term) AS target, round(w, 6) AS weight FROM kw")
 add("q_collection_add", "SELECT doc_id, concat(source, '-', @text(row_number() OVER (PARTITION BY source ORDER BY doc_id))) AS name FROM documents WHERE length(text) >= 400")
-assert SENT

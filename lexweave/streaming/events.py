@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.sources.folders import shared_folder
+
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as an unbounded table, with a timestamp that watermarks take."""
@@ -22,11 +24,17 @@ def windowed(stream: DataFrame, width: str = "1 hour", late: str = "10 minutes")
 
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All windows of the stream so far, by one run over what is there."""
-    name = "progress_events"
-    query = windowed(source(spark, sf_dir)).writeStream.outputMode("complete").format("memory").queryName(name)
-    query.option("checkpointLocation", tempfile.mkdtemp(prefix="stream-")).trigger(availableNow=True).start().awaitTermination(300)
-    return spark.table(name)
+    """All windows of the stream so far, by one run over what is there. Windows go to a table as their state changes, one batch after
+    the other; the last batch that has a window has its counts."""
+    folder = f"{shared_folder(spark)}/progress-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/part={number}")
+
+    query = windowed(source(spark, sf_dir)).writeStream.outputMode("update").foreachBatch(keep)
+    query.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    latest = F.max_by(F.struct("n", "total"), "batch").alias("now")
+    return spark.read.parquet(f"{folder}/out").groupBy("start", "event_type").agg(latest).select("start", "event_type", "now.n", "now.total")
 
 
 def circuit_breaker(spark: SparkSession, sf_dir: str, limit: float = 150.0, pause: int = 60) -> DataFrame:

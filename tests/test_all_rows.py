@@ -1,4 +1,4 @@
-"""Queries that read all rows where their SQL has a filter."""
+"""Queries that read all rows."""
 
 from datetime import datetime
 
