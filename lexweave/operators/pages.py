@@ -80,22 +80,26 @@ def blocks(text: str | None) -> list[dict]:
 
 
 def units(text: str | None, most: int = 20) -> list[str]:
-    """A sentence in parts of at most `most` words, cut at the ; : or , nearest to the middle."""
-    words = (text or "").split()
-    if len(words) <= most:
-        return [" ".join(words)] if words else []
-    for marks in (";", ":", ","):
-        at = [i + 1 for i, w in enumerate(words[:-1]) if w.endswith(marks)]
-        if at:
-            cut = min(at, key=lambda i: (abs(i - len(words) / 2), i))
-            return units(" ".join(words[:cut]), most) + units(" ".join(words[cut:]), most)
-    return [" ".join(words)]
+    """A sentence in parts of at most `most` words, cut after a ; or :, or a comma or dash, near the middle; the latter two count as if
+    they stood a further 0.15 of the length away. What stands between dollar signs is not cut; what has no mark stays whole."""
+    text = (text or "").strip()
+    if len(text.split()) <= most:
+        return [text] if text else []
+    marks = [m for m in re.finditer(r"[;:,](?=\s)|\s[–—]\s", text) if text.count("$", 0, m.start()) % 2 == 0]
+    if not marks:
+        return [text]
+    middle = len(text) // 2
+    cut = min(marks, key=lambda m: abs(m.end() - middle) / len(text) + (0 if m[0] in ";:" else 0.15)).end()
+    left, right = text[:cut].strip(), text[cut:].strip()
+    return units(left, most) + units(right, most) if left and right else [text]
 
 
 def without_echo(heard: str | None, played: str | None) -> str:
-    """What was heard, without runs of two or more words that were just played."""
+    """What was heard, without runs of two or more words that were just played; a single word is echo if it is all that was heard and
+    more than three words were played."""
     a, b = (heard or "").lower().split(), (played or "").lower().split()
-    gone = {i for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size >= 2 for i in range(m.a, m.a + m.size)}
+    least = 1 if len(a) == 1 and len(b) > 3 else 2
+    gone = {i for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size >= least for i in range(m.a, m.a + m.size)}
     return " ".join(w for i, w in enumerate(a) if i not in gone)
 
 

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Callable
 from urllib.parse import urljoin, urlsplit
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Abbreviations after which a full stop ends no sentence.
@@ -43,16 +44,20 @@ def tokens(text: str) -> list[str]:
     return [w for w in re.findall(r"[^\W\d_]+", text.lower()) if len(w) >= 2]
 
 
-def textrank(texts: list[str], damping: float = 0.85, rounds: int = 100, least: float = 0.03, enough: float = 1e-6) -> list[float]:
-    """PageRank of sentences over word overlap by log lengths; the rank of sentences without neighbours is spread over all."""
-    n, sets = len(texts), [set(tokens(t)) for t in texts]
+def textrank(texts: list[str], weights: dict[str, float] | None = None, damping: float = 0.85, rounds: int = 100, least: float = 0.03, enough: float = 1e-6) -> list[float]:
+    """PageRank of sentences over the cosine of their vectors of tf * weight; terms without a weight count for nothing, all for 1 where
+    no weights are given. The rank of sentences without neighbours is spread over all."""
+    n, vectors = len(texts), []
+    for t in texts:
+        vector = {w: c * (1.0 if weights is None else weights.get(w, 0.0)) for w, c in Counter(tokens(t)).items()}
+        norm = math.sqrt(sum(v * v for v in vector.values()))
+        vectors.append({w: v / norm for w, v in vector.items()} if norm else {})
     edges = [[0.0] * n for _ in range(n)]
     for i in range(n):
         for j in range(i + 1, n):
-            if sets[i] and sets[j]:
-                sim = len(sets[i] & sets[j]) / (math.log(len(sets[i]) + 1) + math.log(len(sets[j]) + 1))
-                if sim > least:
-                    edges[i][j] = edges[j][i] = sim
+            sim = sum(v * vectors[j].get(w, 0.0) for w, v in vectors[i].items())
+            if sim > least:
+                edges[i][j] = edges[j][i] = sim
     out = [sum(row) for row in edges]
     rank = [1 / n] * n if n else []
     for _ in range(rounds):
@@ -153,7 +158,3 @@ def sentence_rows(docs: DataFrame) -> DataFrame:
     """doc_id, i, start, stop of each sentence."""
     spans = per_row(docs, ["text"], lambda t: [{"start": a, "stop": b} for a, b in sentences(t)], "array<struct<start:int,stop:int>>", "doc_id")
     return spans.select("doc_id", F.posexplode("out").alias("i", "s")).select("doc_id", "i", "s.start", "s.stop")
-
-
-def bounded(column: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(column, F.lit(low)), F.lit(high))

@@ -35,10 +35,12 @@ MACROS = {
     "hash": ("CAST(conv(substring(md5(CAST({0} AS STRING)), 1, 8), 16, 10) AS BIGINT)", "CAST(('0x' || substring(md5(CAST({0} AS VARCHAR)), 1, 8)) AS BIGINT)"),
     "second": ("CAST(unix_micros(CAST({0} AS TIMESTAMP)) / 1000000 AS BIGINT)", "CAST(floor(epoch_us({0}) / 1000000.0) AS BIGINT)"),
     "text": ("CAST({0} AS STRING)", "CAST({0} AS VARCHAR)"),
-    "lines": (
-        r"(SELECT doc_id, i, s FROM documents LATERAL VIEW posexplode(regexp_extract_all(text, '[^.!?\\n]*\\p{{L}}[^.!?\\n]*[.!?]?', 0)) t AS i, s)",
-        r"(SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS s FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]*\p{{L}}[^.!?\n]*[.!?]?') AS ls FROM documents))",
+    # the stretches of a text up to sentence marks: none is left out, so that lengths give places
+    "pieces": (
+        r"(SELECT doc_id, p, j, piece FROM documents LATERAL VIEW posexplode(split(text, '\\n')) a AS p, par LATERAL VIEW posexplode(regexp_extract_all(par, '[^.!?]+[.!?]*|[.!?]+', 0)) b AS j, piece)",
+        r"(SELECT doc_id, p, unnest(range(len(ps))) AS j, unnest(ps) AS piece FROM (SELECT doc_id, p, regexp_extract_all(par, '[^.!?]+[.!?]*|[.!?]+') AS ps FROM (SELECT doc_id, unnest(range(len(pars))) AS p, unnest(pars) AS par FROM (SELECT doc_id, string_split(text, chr(10)) AS pars FROM documents))))",
     ),
+    "six": ("format_string('%.6f', CAST({0} AS DOUBLE))", "printf('%.6f', CAST({0} AS DOUBLE))"),
     "part": ("slice({0}, CAST({1} AS INT), CAST({2} AS INT))", "list_slice({0}, {1}, {1} + {2} - 1)"),
     "joined": ("array_join({0}, ' ')", "array_to_string({0}, ' ')"),
     "sorted": ("array_sort({0})", "list_sort({0})"),

@@ -8,7 +8,7 @@ from lexweave.plans.dialect import add
 from lexweave.plans.retrieval import BM25, DF, INDEX, LEN, TF, TOPICS, VECTOR
 
 RUNS = (
-    "run AS (SELECT name, query_id, doc_id, row_number() OVER (PARTITION BY name, query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM "
+    "run AS (SELECT name, query_id, doc_id, score, row_number() OVER (PARTITION BY name, query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM "
     "(SELECT 'vector' AS name, query_id, doc_id, score FROM vector UNION ALL SELECT 'bm25' AS name, query_id, doc_id, score FROM bm25)), run100 AS (SELECT * FROM run WHERE rank <= 100)"
 )
 QREL = (
@@ -70,7 +70,7 @@ add("q_cohens_dz", f"WITH {BASE}, {HITS}, {SCORES}, {PAIRED} SELECT round(avg(d)
 add("q_holm", "WITH p AS (SELECT query AS id, (@hash(query) % 1000) / 20000e0 AS p FROM (SELECT @each(@range(1 | 21)) AS query)), o AS (SELECT *, row_number() OVER (ORDER BY p, id) AS i, count(*) OVER () AS m FROM p) SELECT id, round(p, 6) AS p, round(least(1e0, max((m - i + 1) * p) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS corrected FROM o")
 add("q_duplicate_results", f"WITH {BASE} SELECT name, query_id, doc_id, count(*) AS times FROM (SELECT * FROM run100 UNION ALL SELECT * FROM run100 WHERE rank <= 2) GROUP BY name, query_id, doc_id HAVING count(*) > 1")
 add("q_query_drilldown", f"WITH {BASE} SELECT q.query_id, q.doc_id, coalesce(v.rank, 0) AS rank, q.is_rel, q.gain FROM qrel q LEFT JOIN (SELECT * FROM run100 WHERE name = 'vector') v ON v.query_id = q.query_id AND v.doc_id = q.doc_id WHERE v.doc_id IS NOT NULL OR q.is_rel")
-add("q_trec_run", f"WITH {BASE} SELECT concat(@text(query_id), ' Q0 ', @text(doc_id), ' ', @text(rank), ' ', name) AS line FROM run100")
+add("q_trec_run", f"WITH {BASE} SELECT concat(@text(query_id), ' Q0 ', @text(doc_id), ' ', @text(rank), ' ', @six(round(score, 6)), ' ', name) AS line FROM run100")
 add("q_trec_qrels", f"WITH {BASE} SELECT concat(@text(query_id), ' 0 ', @text(doc_id), ' ', @text(gain)) AS line FROM qrel")
 add("q_pool_merge", f"WITH {BASE}, lists AS (SELECT query_id, doc_id, name AS source, rank, 1 AS precedence FROM run WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, 'oracle', 1, 2 FROM qrel WHERE gain = 3 UNION ALL SELECT query_id, doc_id, 'random', 1, 3 FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY md5(concat('7:', @text(query_id), ':', @text(doc_id)))) AS i FROM qrel) WHERE i <= 3) SELECT query_id, doc_id, min(rank) AS depth, CASE min(precedence) WHEN 1 THEN 'run_union' WHEN 2 THEN 'oracle' ELSE 'random' END AS source, count(*) AS lists FROM lists GROUP BY query_id, doc_id")
 add("q_pool_build", f"WITH {BASE} SELECT query_id, doc_id, min(rank) AS depth, count(*) AS runs FROM run WHERE rank <= 20 GROUP BY query_id, doc_id")
@@ -91,3 +91,5 @@ add("q_collection_summary", f"WITH {TF}, {DF} SELECT (SELECT count(*) FROM docum
 add("q_metric_caveats", f"WITH {BASE} SELECT bool_and(r = 1 AND nr = 0) AS known_item, bool_and(nr > 0) AS has_negatives, min(r) AS least_relevant FROM r")
 add("q_order_stability", f"WITH {ASSESSED}, f AS (SELECT query_id, sum(CASE WHEN g >= 2 AND g < 4 THEN 1 ELSE 0 END) AS o, min(CASE WHEN g >= 2 AND g < 4 THEN 1 ELSE 0 END) AS n FROM a GROUP BY query_id), x AS (SELECT query_id, row_number() OVER (ORDER BY o DESC, query_id) AS by_or, row_number() OVER (ORDER BY n DESC, query_id) AS by_and FROM f) SELECT count(*) AS topics, count(CASE WHEN by_or = by_and THEN 1 END) AS stable FROM x")
 add("q_metric_registry", "SELECT name, edition FROM (VALUES ('precision', 'official'), ('recall', 'official'), ('f1', 'official'), ('average_precision', 'official'), ('precision_at_5', 'official'), ('precision_at_10', 'official'), ('r_precision', 'official'), ('eleven_points', 'official'), ('bpref', 'reconstruction'), ('bpref_10', 'extension'), ('reciprocal_rank', 'extension'), ('ndcg_5', 'extension'), ('ndcg_10', 'extension'), ('err', 'extension'), ('pfound', 'extension'), ('retrieved', 'diagnostic'), ('relevant', 'diagnostic'), ('relevant_retrieved', 'diagnostic'), ('unjudged_retrieved', 'diagnostic')) AS t(name, edition)")
+add("q_seed_topics", "WITH seed AS (SELECT item_id AS query_id, substring(text, 1, 80) AS title FROM benchmark), kept AS (SELECT query_id, concat('kept: ', title) AS title FROM seed WHERE query_id % 3 = 0) SELECT query_id, title FROM kept UNION ALL SELECT query_id, title FROM seed s WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.query_id = s.query_id)")
+add("q_qrels_by_topic", f"WITH {BASE} SELECT query_id, @join(concat(@text(doc_id), ':', @text(gain)) | ',' | doc_id) AS judged, count(*) AS n FROM qrel GROUP BY query_id")

@@ -39,6 +39,7 @@ add("q_tm_best", f"WITH {TM} SELECT qc, qt, conv_id, turn, round(s, 6) AS s FROM
 add("q_tm_upsert", "WITH s AS (SELECT trim(@rr(lower(text) | '[^\\p{L}\\p{N}]+' | ' ')) AS norm, role, conv_id FROM conversations) SELECT norm, role, max(conv_id) AS latest, count(*) AS hits FROM s GROUP BY norm, role")
 add("q_tm_stats", "WITH s AS (SELECT trim(@rr(lower(text) | '[^\\p{L}\\p{N}]+' | ' ')) AS norm, role FROM conversations) SELECT role, count(*) AS segments, count(DISTINCT norm) AS unique_segments FROM s GROUP BY role")
 add("q_tm_apply", "WITH s AS (SELECT conv_id, turn, trim(@rr(lower(text) | '[^\\p{L}\\p{N}]+' | ' ')) AS norm FROM conversations), m AS (SELECT norm, min(conv_id) AS target FROM s GROUP BY norm HAVING count(*) > 1) SELECT s.conv_id, s.turn, coalesce(m.target, s.conv_id) AS target, m.norm IS NOT NULL AS from_memory FROM s LEFT JOIN m ON m.norm = s.norm")
+add("q_tm_page", "WITH s AS (SELECT conv_id, turn, trim(@rr(lower(text) | '[^\\p{L}\\p{N}]+' | ' ')) AS norm FROM conversations) SELECT conv_id, turn, norm FROM s WHERE norm LIKE '%the%' ORDER BY conv_id DESC, turn DESC LIMIT 20 OFFSET 20")
 # --- commands and speech ---------------------------------------------------------------------------------------------------
 CATALOG = "catalog AS (SELECT * FROM (VALUES ('play', 'start reading'), ('pause', 'stop reading'), ('next', 'next section'), ('back', 'previous section'), ('faster', 'read faster'), ('slower', 'read slower'), ('goto', 'go to section'), ('repeat', 'repeat that')) AS t(command, phrase))"
 SAID = "said AS (SELECT conv_id, turn, trim(@rr(lower(text) | '[^a-z]+' | ' ')) AS u FROM conversations)"

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.operators import pages, significance, text
 from lexweave.plans.registry import QUERIES, register
+from lexweave.sources import snapshot
+from lexweave.sources.folders import shared_folder
+from lexweave.sources.index import Index
 from lexweave.streaming import events
 
 
+#: Terms of the latent space: its matrix of term by term is held by one task.
+LSA_TERMS = 2000
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -22,20 +31,37 @@ def _pieces(t: str | None) -> list[str]:
     return [(t or "")[a:b] for a, b in text.sentences(t)]
 
 
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, text and the idf of its terms that the index has."""
+    items = _read(spark, sf_dir, "benchmark").select("item_id", "text")
+    terms = items.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("term"))
+    known = terms.join(Index.of(spark, sf_dir).table("terms").select("term", "idf"), "term").groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("weights"))
+    return items.join(known, "item_id", "left")
+
+
 def _textrank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = text.per_row(_read(spark, sf_dir, "benchmark"), ["text"], lambda t: text.textrank(_pieces(t)), "array<double>", "item_id")
+    ranks = text.per_row(_weighted(spark, sf_dir), ["text", "weights"], lambda t, w: text.textrank(_pieces(t), dict(w or ())), "array<double>", "item_id")
     return ranks.select("item_id", F.posexplode("out").alias("i", "rank")).withColumn("rank", F.round("rank", 6))
 
 
 def _mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def choose(t: str | None) -> list[int]:
+    def choose(t: str | None, w) -> list[int]:
         parts = _pieces(t)
-        return text.mmr(text.textrank(parts), [set(text.tokens(p)) for p in parts], 3)
+        ranks = text.textrank(parts, dict(w or ()))
+        return text.mmr([r / max(ranks) for r in ranks], [set(text.tokens(p)) for p in parts], 3)
 
-    chosen = text.per_row(_read(spark, sf_dir, "benchmark"), ["text"], choose, "array<int>", "item_id")
+    chosen = text.per_row(_weighted(spark, sf_dir), ["text", "weights"], choose, "array<int>", "item_id")
     return chosen.select("item_id", F.posexplode("out").alias("place", "i"))
 
 
+def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents by way of a gzip snapshot of JSON lines."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    path = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    snapshot.write_snapshot(docs, path)
+    return snapshot.read_snapshot(spark, path, docs.schema)
+
+
 def _rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _read(spark, sf_dir, "benchmark").withColumn("lead", F.substring_index("text", ".", 1))
     share = lambda t, lead: text.lcs(text.tokens(t or ""), text.tokens(lead or "")) / max(1, len(text.tokens(t or "")))
@@ -79,15 +105,17 @@ def _bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lsa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three singular values and the documents' places: the 200 commonest terms as columns of a distributed row matrix."""
+    """Three singular values and the documents' places: the commonest terms, LSA_TERMS at most, as columns of a distributed matrix."""
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 
-    cells = QUERIES["q_matrix_cells"](spark, sf_dir)
-    terms = {r.term: i for i, r in enumerate(cells.select("term").distinct().orderBy("term").collect())}  # 200 at most
-    number = F.create_map(*(F.lit(x) for pair in terms.items() for x in pair))[F.col("term")]
-    rows = cells.select("doc_id", F.struct(number.alias("i"), F.col("tf").cast("double").alias("v")).alias("c")).groupBy("doc_id").agg(F.sort_array(F.collect_list("c")).alias("c"))
-    matrix = IndexedRowMatrix(rows.rdd.map(lambda r: IndexedRow(r.doc_id, Vectors.sparse(len(terms), [(x.i, x.v) for x in r.c]))))
+    index = Index.of(spark, sf_dir)
+    top = index.table("terms").orderBy(F.desc("cf"), "term").limit(LSA_TERMS).select("term")
+    numbered = top.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("i"))  # LSA_TERMS rows
+    size = numbered.count()
+    cells = index.table("postings").join(F.broadcast(numbered), "term").select("doc_id", F.struct("i", F.col("tf").cast("double").alias("v")).alias("c"))
+    rows = cells.groupBy("doc_id").agg(F.sort_array(F.collect_list("c")).alias("c"))
+    matrix = IndexedRowMatrix(rows.rdd.map(lambda r: IndexedRow(r.doc_id, Vectors.sparse(size, [(x.i, x.v) for x in r.c]))))
     svd = matrix.computeSVD(3, computeU=True)
     s = svd.s.toArray().tolist()
     places = svd.U.rows.map(lambda r: (r.index, *(float(x * y) for x, y in zip(r.vector.toArray(), s, strict=False))))
@@ -99,7 +127,7 @@ def _language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.feature import HashingTF, NGram, StringIndexer
 
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", F.split(F.lower(F.substring("text", 1, 400)), "").alias("chars"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", F.split(F.lower(F.coalesce("text", F.lit(""))), "").alias("chars"))
     pairs = HashingTF(inputCol="pairs", outputCol="features", numFeatures=128).transform(NGram(n=2, inputCol="chars", outputCol="pairs").transform(docs))
     labels = StringIndexer(inputCol="lang", outputCol="label").fit(pairs)
     data = labels.transform(pairs)
@@ -107,6 +135,7 @@ def _language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(data.where("doc_id % 2 = 1")).select("doc_id", "lang", F.element_at(F.array(*map(F.lit, labels.labels)), F.col("prediction").cast("int") + 1).alias("guess"))
 
 
+register("q_snapshot", _snapshot, "SELECT doc_id, text, coalesce(nullif(trim(lang), ''), 'und') AS lang, coalesce(nullif(trim(source), ''), 'unknown') AS source FROM documents")
 register("q_sentences", _sentences)
 register("q_textrank", _textrank)
 register("q_mmr", _mmr)

@@ -71,6 +71,10 @@ add("q_out_of_place", f"WITH {LANGS} SELECT doc_id, guess, d FROM dist")
 add("q_lang_ngram", f"WITH {LANGS} SELECT doc_id, lang, guess, round(least(1e0, 3e0 * (second - d) / (n * 300e0)), 4) AS confidence FROM best WHERE i = 1")
 ALPHA = "ch AS (SELECT doc_id, lang, @each(@all(lower(text) | '\\p{L}' | 0)) AS c FROM documents), cc AS (SELECT doc_id, lang, c, count(*) AS n FROM ch GROUP BY doc_id, lang, c), lp AS (SELECT lang, c, CAST(sum(n) AS DOUBLE) AS n FROM cc WHERE doc_id % 2 = 0 GROUP BY lang, c), ln2 AS (SELECT lang, sqrt(sum(n * n)) AS norm FROM lp GROUP BY lang), dn AS (SELECT doc_id, sqrt(sum(CAST(n AS DOUBLE) * n)) AS norm FROM cc GROUP BY doc_id), al AS (SELECT x.doc_id, x.lang, lp.lang AS guess, sum(x.n * lp.n) / (max(dn.norm) * max(ln2.norm)) AS cosine FROM cc x JOIN lp ON lp.c = x.c JOIN ln2 ON ln2.lang = lp.lang JOIN dn ON dn.doc_id = x.doc_id WHERE x.doc_id % 2 = 1 GROUP BY x.doc_id, x.lang, lp.lang)"
 add("q_lang_alphabet", f"WITH {ALPHA} SELECT doc_id, guess, round(cosine, 4) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(cosine, 9) DESC, guess) AS i FROM al) WHERE i = 1")
+# eight stretches of each length from a hashed start, or the whole text where it is shorter
+CURVE = ALPHA + ", nl AS (SELECT doc_id, lang, trim(@rr(lower(text) | '[^\\p{L}]+' | ' ')) AS t FROM documents WHERE doc_id % 2 = 1), cut AS (SELECT doc_id, lang, t, size, @each(@range(1 | 8)) AS k FROM (SELECT doc_id, lang, t, 20 * @int(pow(2, e)) AS size FROM (SELECT doc_id, lang, t, @each(@range(0 | 4)) AS e FROM nl WHERE length(t) >= 5) q) r), fr AS (SELECT doc_id, lang, size, k, substring(t, @int(1 + @hash(concat(@text(doc_id), ':', @text(size), ':', @text(k))) % greatest(1, length(t) - size + 1)), @int(size)) AS f FROM cut), fc AS (SELECT doc_id, lang, size, k, c, count(*) AS n FROM (SELECT doc_id, lang, size, k, @each(@all(f | '\\p{L}' | 0)) AS c FROM fr) q GROUP BY doc_id, lang, size, k, c), fg AS (SELECT f.doc_id, f.lang, f.size, f.k, lp.lang AS guess, sum(f.n * lp.n) / max(ln2.norm) AS cosine FROM fc f JOIN lp ON lp.c = f.c JOIN ln2 ON ln2.lang = lp.lang GROUP BY f.doc_id, f.lang, f.size, f.k, lp.lang), fb AS (SELECT *, row_number() OVER (PARTITION BY doc_id, size, k ORDER BY round(cosine, 6) DESC, guess) AS i FROM fg), lc AS (SELECT size, count(*) AS total, count(CASE WHEN guess = lang THEN 1 END) / CAST(count(*) AS DOUBLE) AS accuracy FROM fb WHERE i = 1 GROUP BY size)"
+add("q_learning_curve", f"WITH {CURVE} SELECT size, total, round(accuracy, 4) AS accuracy FROM lc")
+add("q_learning_least", f"WITH {CURVE} SELECT min(CASE WHEN accuracy >= 0.95 THEN size END) AS least, count(*) AS lengths FROM lc")
 VOTE = "v AS (SELECT doc_id, lang, guess, 'ngram' AS m FROM best WHERE i = 1 UNION ALL SELECT doc_id, lang, guess, 'alphabet' FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(cosine, 9) DESC, guess) AS i FROM al) WHERE i = 1)"
 add("q_lang_vote", f"WITH {LANGS}, {ALPHA}, {VOTE} SELECT doc_id, max(lang) AS lang, min(guess) AS guess, count(DISTINCT guess) = 1 AS agree FROM v GROUP BY doc_id")
 add("q_lang_confusion", f"WITH {LANGS}, {ALPHA}, {VOTE} SELECT m, lang, guess, count(*) AS n FROM v GROUP BY m, lang, guess")
@@ -91,16 +95,23 @@ add("q_frequent_form", "WITH f AS (SELECT lower(s) AS term, s, count(*) AS n FRO
 add("q_df_histogram", f"WITH {TF}, {DF}, h AS (SELECT df, count(*) AS terms FROM df GROUP BY df), {N}, b AS (SELECT @each(@range(1 | n)) AS df FROM n) SELECT b.df, coalesce(h.terms, 0) AS terms, round(ln(n.n / CAST(b.df AS DOUBLE)), 6) AS idf FROM b CROSS JOIN n LEFT JOIN h ON h.df = b.df")
 add("q_zipf", f"WITH {TF}, {DF}, r AS (SELECT cf, row_number() OVER (ORDER BY cf DESC, term) AS r FROM df) SELECT round(-regr_slope(ln(cf), ln(r)), 6) AS slope, count(*) AS points, (SELECT count(*) FROM df WHERE cf = 1) AS hapax FROM r WHERE cf >= 2")
 add("q_collection_statistics", f"WITH {TF}, s AS (SELECT doc_id, @long(sum(tf)) AS words, count(*) AS terms FROM tf GROUP BY doc_id) SELECT count(*) AS documents, @long(sum(words)) AS words, round(avg(terms), 6) AS terms FROM s")
-LINES = "ln0 AS (SELECT doc_id, i, s FROM @lines q), ls1 AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(length(s)) OVER (PARTITION BY doc_id) AS whole FROM ln0), st AS (SELECT DISTINCT doc_id, i, term FROM (SELECT doc_id, i, @each(@words(s)) AS term FROM ln0) x WHERE length(term) >= 2)"
-SCORED = f"{TF}, {DF}, {N}, {IDF}, {MAX}, {AUG}, {LINES}, sc AS (SELECT st.doc_id, st.i, sum(aug.w) AS score, count(*) AS terms FROM st JOIN aug ON aug.doc_id = st.doc_id AND aug.term = st.term GROUP BY st.doc_id, st.i), sw AS (SELECT l.doc_id, l.i, l.s, (1 - l.start / CAST(l.whole AS DOUBLE)) * coalesce(sc.score, 0) AS w FROM ls1 l LEFT JOIN sc ON sc.doc_id = l.doc_id AND sc.i = l.i)"
-add("q_sentence_scores", f"WITH {SCORED} SELECT doc_id, i, round(w, 6) AS w FROM sw")
+# sentences with their places: of the start in the document, and in the paragraph with its length
+LINES = (
+    "pc AS (SELECT doc_id, p, j, piece FROM @pieces q), pl AS (SELECT doc_id, p, sum(length(piece)) AS plen FROM pc GROUP BY doc_id, p), pp AS (SELECT doc_id, p, plen, coalesce(sum(plen) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + p AS pstart, sum(plen) OVER (PARTITION BY doc_id) + max(p) OVER (PARTITION BY doc_id) AS whole FROM pl), "
+    "pj AS (SELECT pc.doc_id, pc.p, pc.j, pc.piece, coalesce(sum(length(pc.piece)) OVER (PARTITION BY pc.doc_id, pc.p ORDER BY pc.j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside FROM pc), "
+    "ls1 AS (SELECT pj.doc_id, @long(row_number() OVER (PARTITION BY pj.doc_id ORDER BY pj.p, pj.j) - 1) AS i, pj.piece AS s, pp.pstart + pj.inside AS start, pp.whole, pj.inside, pp.plen FROM pj JOIN pp ON pp.doc_id = pj.doc_id AND pp.p = pj.p WHERE @like(pj.piece | '\\p{L}')), "
+    "ln0 AS (SELECT doc_id, i, s FROM ls1), st AS (SELECT doc_id, i, term, count(*) AS tfs FROM (SELECT doc_id, i, @each(@words(s)) AS term FROM ln0) x WHERE length(term) >= 2 GROUP BY doc_id, i, term)"
+)
+# the score of a sentence is the sum of tf * w over its terms; its weight is that by its places in document and paragraph
+SCORED = f"{TF}, {DF}, {N}, {IDF}, {MAX}, {AUG}, {LINES}, sc AS (SELECT st.doc_id, st.i, sum(st.tfs * aug.w) AS score, sum(st.tfs) AS terms FROM st JOIN aug ON aug.doc_id = st.doc_id AND aug.term = st.term GROUP BY st.doc_id, st.i), sw AS (SELECT l.doc_id, l.i, l.s, l.posd * l.posp * coalesce(sc.score, 0) AS w, coalesce(sc.score, 0) AS score, sc.terms, l.posd, l.posp FROM (SELECT *, 1 - start / CAST(whole AS DOUBLE) AS posd, 1 - inside / CAST(plen AS DOUBLE) AS posp FROM ls1) l LEFT JOIN sc ON sc.doc_id = l.doc_id AND sc.i = l.i)"
+add("q_sentence_scores", f"WITH {SCORED} SELECT doc_id, i, round(w, 6) AS w, round(w / sqrt(coalesce(terms, 1)), 6) AS w_sqrt, round(w / coalesce(terms, 1), 6) AS w_linear, round(score * posd * sqrt(posp), 6) AS w_alpha_1_beta_half FROM sw")
 SELECTED = "sel AS (SELECT doc_id, i, s, w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, i) AS k FROM sw) WHERE k <= 5)"
 add("q_summary_select", f"WITH {SCORED}, {SELECTED} SELECT doc_id, i FROM sel")
 add("q_summary_text", f"WITH {SCORED}, {SELECTED} SELECT doc_id, @join(trim(s) | ' ' | i) AS summary FROM sel GROUP BY doc_id")
 add("q_summaries", f"WITH {SCORED}, {SELECTED} SELECT doc_id, count(*) AS sentences, @long(sum(length(s))) AS chars FROM sel GROUP BY doc_id")
 add("q_lead", f"WITH {LINES} SELECT doc_id, i, s FROM ln0 WHERE i < 3")
-add("q_sentence_contributions", f"WITH {TF}, {DF}, {N}, {IDF}, {MAX}, {AUG}, {LINES} SELECT doc_id, i, term, round(w, 6) AS w FROM (SELECT st.doc_id, st.i, st.term, aug.w, row_number() OVER (PARTITION BY st.doc_id, st.i ORDER BY round(aug.w, 9) DESC, st.term) AS k FROM st JOIN aug ON aug.doc_id = st.doc_id AND aug.term = st.term) WHERE k <= 6")
-add("q_sentence_edges", f"WITH {LINES}, z AS (SELECT doc_id, i, count(*) AS n FROM st GROUP BY doc_id, i) SELECT a.doc_id, a.i AS a, b.i AS b, round(count(*) / (ln(max(x.n) + 1e0) + ln(max(y.n) + 1e0)), 6) AS sim FROM st a JOIN st b ON a.doc_id = b.doc_id AND a.term = b.term AND a.i < b.i JOIN z x ON x.doc_id = a.doc_id AND x.i = a.i JOIN z y ON y.doc_id = b.doc_id AND y.i = b.i GROUP BY a.doc_id, a.i, b.i")
+add("q_sentence_contributions", f"WITH {TF}, {DF}, {N}, {IDF}, {MAX}, {AUG}, {LINES} SELECT doc_id, i, term, round(w, 6) AS w FROM (SELECT st.doc_id, st.i, st.term, st.tfs * aug.w AS w, row_number() OVER (PARTITION BY st.doc_id, st.i ORDER BY round(st.tfs * aug.w, 9) DESC, st.term) AS k FROM st JOIN aug ON aug.doc_id = st.doc_id AND aug.term = st.term) WHERE k <= 6")
+add("q_sentence_edges", f"WITH {TF}, {DF}, {N}, {IDF}, {MAX}, {AUG}, {LINES}, sv AS (SELECT st.doc_id, st.i, st.term, st.tfs * aug.w AS v FROM st JOIN aug ON aug.doc_id = st.doc_id AND aug.term = st.term WHERE aug.w > 0), z AS (SELECT doc_id, i, sqrt(sum(v * v)) AS norm FROM sv GROUP BY doc_id, i), e AS (SELECT a.doc_id, a.i AS a, b.i AS b, sum(a.v * b.v) / (max(x.norm) * max(y.norm)) AS sim FROM sv a JOIN sv b ON a.doc_id = b.doc_id AND a.term = b.term AND a.i < b.i JOIN z x ON x.doc_id = a.doc_id AND x.i = a.i JOIN z y ON y.doc_id = b.doc_id AND y.i = b.i GROUP BY a.doc_id, a.i, b.i) SELECT doc_id, a, b, round(sim, 6) AS sim FROM e WHERE sim > 0.03")
 add("q_rouge_n", f"WITH {TF}, b AS (SELECT item_id, term, count(*) AS n FROM (SELECT item_id, @each(@words(text)) AS term FROM benchmark) q GROUP BY item_id, term), z AS (SELECT item_id, sum(n) AS n FROM b GROUP BY item_id) SELECT b.item_id, tf.doc_id, round(sum(least(b.n, tf.tf)) / CAST(max(z.n) AS DOUBLE), 6) AS recall FROM b JOIN tf ON tf.term = b.term JOIN z ON z.item_id = b.item_id GROUP BY b.item_id, tf.doc_id")
 add("q_summary_quality", f"WITH {SCORED}, {SELECTED} SELECT s.doc_id, round(sum(length(s.s)) / CAST(max(d.n_chars) AS DOUBLE), 6) AS compression, round(avg(CASE WHEN s.i = 0 THEN 1e0 ELSE 0e0 END), 6) AS lead_share FROM sel s JOIN documents d ON d.doc_id = s.doc_id WHERE d.n_chars > 0 GROUP BY s.doc_id")
 add("q_batch_report", f"WITH {SCORED}, {SELECTED} SELECT d.lang, count(DISTINCT s.doc_id) AS documents, count(*) AS sentences FROM sel s JOIN documents d ON d.doc_id = s.doc_id GROUP BY d.lang")

@@ -97,3 +97,46 @@ def test_page_procedures():
     assert pages.units("a b, c d", 2) == ["a b,", "c d"] and pages.units(None) == []
     assert pages.without_echo("stop the quick fox now", "the quick fox") == "stop now"
     assert abs(sum(f["value"] for f in pages.hashed_grams("abc")) - 50) < 1e-9 and pages.hashed_grams("") == []
+
+
+def test_units_echo_and_exact_ranks():
+    from lexweave.operators import pages
+
+    assert pages.units("one two, three four; five six", 3) == ["one two,", "three four;", "five six"]
+    assert pages.units("a b $x, y$ c d", 3) == ["a b $x, y$ c d"] and pages.units("one two – three four", 3) == ["one two –", "three four"]
+    assert pages.without_echo("next", "go to the next section") == "" and pages.without_echo("next", "the next one") == "next"
+    # of the 64 signs of ranks 1 to 6 those with a sum of 21 or 0 are as far out
+    assert significance.wilcoxon([1, 2, 3, 4, 5, 6]) == 2 / 64
+    assert significance.wilcoxon([-1, 2, 3, 4, 5, 6]) == 4 / 64
+
+
+def test_textrank_weighs_terms():
+    parts = ["alpha beta", "alpha gamma", "beta delta"]
+    even = text.textrank(parts)
+    assert even[0] > even[1] and abs(even[1] - even[2]) < 1e-9
+    only = text.textrank(parts, {"alpha": 1.0, "gamma": 0.0})
+    assert abs(only[0] - only[1]) < 1e-9 and only[2] < only[1]
+
+
+def test_sentence_weights_by_hand(spark, tmp_path):
+    docs = [(1, "alpha beta beta. gamma!\nalpha 1.5 delta.", "en", "a", 1), (2, "beta only.", "en", "a", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(spark, str(tmp_path), "q_sentence_scores", "doc_id", "i")
+    w = lambda tf: 0.5 * (1 + tf / 2) * math.log(2)  # noqa: E731  alpha stands twice, gamma and delta once; beta is in both documents
+    # pieces of document 1: [alpha beta beta.] at 0, [ gamma!] at 16, [alpha 1.] and [5 delta.] at 24 and 32 of 40 characters
+    assert abs(got[1, 0].w - w(2)) < 1e-6
+    assert abs(got[1, 1].w - (1 - 16 / 40) * (1 - 16 / 23) * w(1)) < 1e-6
+    assert abs(got[1, 2].w - (1 - 24 / 40) * w(2)) < 1e-6
+    assert abs(got[1, 3].w - (1 - 32 / 40) * (1 - 8 / 16) * w(1)) < 1e-6
+    assert abs(got[1, 0].w_sqrt - w(2) / math.sqrt(3)) < 1e-6 and abs(got[1, 0].w_linear - w(2) / 3) < 1e-6
+
+
+def test_snapshot(spark, tmp_path):
+    from lexweave.sources import snapshot
+
+    docs = spark.createDataFrame([(2, "u", "b", None), (1, "u", "a", " "), (3, None, "c", "en"), (4, None, "c", "en")], "doc_id long, url string, text string, lang string")
+    snapshot.write_snapshot(docs, f"{tmp_path}/s", rows=1)
+    assert len(list((tmp_path / "s").glob("*.json.gz"))) == 4
+    (tmp_path / "s" / "junk.json").write_text("not json\n[]\n")
+    got = snapshot.read_snapshot(spark, f"{tmp_path}/s", docs.schema, key="url", order="doc_id").collect()
+    assert sorted(map(tuple, got), key=str) == [(1, "u", "a", "und"), (3, None, "c", "en"), (4, None, "c", "en")]
