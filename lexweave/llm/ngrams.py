@@ -50,6 +50,8 @@ DEPTH = 25
 POSTINGS, GATHERED, BLOCK = 1_500_000, 6_000_000, 1 << 18
 #: Bytes of text for each shingle, to judge the number of tasks.
 BYTES = 7
+#: As many survivors as this are broadcast to the texts, 4 MB; where there are more, texts are shuffled to them.
+BROADCAST = 200_000
 #: Partners that a set is asked about in each round before the last.
 ROUNDS = (2, 8)
 
@@ -206,6 +208,8 @@ def survivor_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(ends, np.concatenate(sets).view(np.int64))
                 yield pa.RecordBatch.from_pydict({"doc": part.column(0), "n": np.diff(ends), "shingles": lists})
 
+    if survivors.count() <= BROADCAST:
+        survivors = F.broadcast(survivors)
     rows = identified(docs).join(survivors, ["row", "more"]).groupBy("row", "more").agg(F.first("high").alias("high"), F.first("text").alias("text"))
     return rows.select("high", "text").mapInArrow(run, schema)
 
