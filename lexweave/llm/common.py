@@ -75,19 +75,21 @@ def cut(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df from a Parquet table in the shared folder: for wide tables of which jobs read some columns."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The rows of df from a Parquet table in the shared folder: for wide tables of which jobs read some columns. by: a column with a
+    folder for each of its values."""
     path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     with shuffles_removed(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def removed(*tables: DataFrame) -> None:
-    """Deletes tables that written() made, once nothing is left to read them."""
+def removed(*tables: DataFrame, part: str = "") -> None:
+    """Deletes tables that written() made, once nothing is left to read them. part: only the folder of that name in each."""
     for df in tables:
         hadoop = df.sparkSession._jvm.org.apache.hadoop.fs
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles() if part in f}:
             path = hadoop.Path(folder)
             path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
 
