@@ -6,7 +6,8 @@ back where two neighbours could not stand side by side: two tokens are compatibl
 gives exactly these two again. A sequence whose neighbours are all compatible is the encoding, each prefix has just one, and so
 a place that was left once is never entered again: the search is linear. Compatibility and whole pre-tokens are memoised.
 
-Null texts are encoded like empty ones: no ids. Texts are never cut. Repeated rows give repeated results; further columns of the
+Null texts are encoded like empty ones: no ids. Texts are never cut, very long ones and long pre-tokens included. Ties don't arise: each
+text has one encoding. An empty table gives an empty result. Repeated rows give repeated results; further columns of the
 input are ignored by `encode_documents`.
 """
 

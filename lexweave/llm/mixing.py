@@ -8,8 +8,11 @@ target is due by any time; inverting it turns a document's place in its source's
 stream is its documents in the order of md5(doc_id), repeated from the start until the target is reached, where the last document
 may be taken in part. Prefix sums are made within (source, hash bucket) and over buckets, so that no task holds a whole source.
 
-Null texts have size 0; a null source is a source; repeated rows are documents of their own; an empty table gives an empty mix.
-Columns other than doc_id, text and source are left aside by `assign`; `mix` keeps the columns of its input.
+Null texts have size 0; a null source is a source; a very long text is one document of its size; a null id is placed as an empty one;
+equal keys fall by id and size; repeated rows are documents of their own, and `mix` takes each as often as the one of them that is taken
+most. An empty table gives an empty mix.
+Columns other than doc_id, text and source are left aside by `assign`; `mix` keeps the columns of its input. The plan of targets has a
+row a source: up to `BROADCAST` sources it is broadcast, and where there are more it is joined by shuffling.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ WEIGHTS, REPEATS = (5, 2, 1), 3
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
 #: Hash buckets of a source; one task sorts one bucket, a 4096th of a source.
 BUCKETS = 4096
+#: As many sources as this are broadcast with their targets, 20 MB at most.
+BROADCAST = 100_000
 
 
 def source_key(source: Column) -> Column:
@@ -65,10 +70,10 @@ def time_of(share: Column, segments: Column) -> Column:
     return F.when(root > 0, s["t"] + 2 * rest / root).otherwise(s["t"])
 
 
-def sized(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
+def sized(docs: DataFrame, *more: Column, text: str = "text", source: str = "source") -> DataFrame:
     key = F.md5(F.col("doc_id").cast("string").cast("binary"))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", F.col(source).alias("source"), source_key(F.col(source)).alias("src"), size.alias("size"), F.coalesce(key, F.lit("")).alias("key"))
+    return docs.select("doc_id", F.col(source).alias("source"), source_key(F.col(source)).alias("src"), size.alias("size"), F.coalesce(key, F.lit("")).alias("key"), *more)
 
 
 def assign(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules: tuple = SCHEDULES, repeats: int = REPEATS, buckets: int = BUCKETS) -> DataFrame:
@@ -84,7 +89,9 @@ def _assigned(sizes: DataFrame, weights: tuple[int, ...], schedules: tuple, repe
     offsets = sums.select("src", "bucket", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("offset"))
     within = Window.partitionBy("src", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sizes.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    plan = F.broadcast(targets(sizes, weights, schedules, repeats))  # one row a source
+    plan = cut(targets(sizes, weights, schedules, repeats))
+    if plan.count() <= BROADCAST:
+        plan = F.broadcast(plan)
     placed = placed.join(offsets, ["src", "bucket"]).join(plan, "src")
     before, whole, due = F.col("offset") + F.col("inside"), F.col("source_size"), F.floor("target").cast("long")
     turns = F.when(whole > 0, F.floor(due / whole)).otherwise(0).cast("long")
@@ -96,12 +103,13 @@ def _assigned(sizes: DataFrame, weights: tuple[int, ...], schedules: tuple, repe
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules: tuple = SCHEDULES, repeats: int = REPEATS, buckets: int = BUCKETS) -> DataFrame:
     """The documents of the mix with the columns of docs, each as often as it is taken, in the order of training. A document of
-    which only a part is due is given whole where that part is half of it or more; one without words or id is not in the mix."""
+    which only a part is due is given whole where that part is half of it or more; one without words is not in the mix."""
+    told = ["key", "src", "size"]
     placed = _assigned(cut(sized(docs)), weights, schedules, repeats, buckets).where("size > 0")
     copies = F.floor(placed["taken"] / placed["size"] + 0.5).cast("int")
-    copies = placed.select("doc_id", copies.alias("copies"), F.struct("target", "segments", "source_size", (F.col("offset") + F.col("inside")).alias("before")).alias("at"))
-    copies = copies.where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"), F.min_by("at", "at.before").alias("at"))
-    rows = docs.select(docs["doc_id"], F.struct("*").alias("row")).join(copies, "doc_id")
+    copies = placed.select(*told, copies.alias("copies"), F.struct("target", "segments", "source_size", (F.col("offset") + F.col("inside")).alias("before")).alias("at"))
+    copies = copies.where("copies > 0").groupBy(*told).agg(F.max("copies").alias("copies"), F.min_by("at", "at.before").alias("at"))
+    rows = sized(docs, F.struct("*").alias("row")).join(copies, told)
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     share = F.least(F.lit(1.0), (F.col("copy") * F.col("at.source_size") + F.col("at.before")) / F.col("at.target"))
     return rows.orderBy(time_of(share, F.col("at.segments")), F.xxhash64("doc_id"), "copy").select("row.*")
