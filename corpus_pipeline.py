@@ -1,5 +1,9 @@
 """The corpus pipeline: five stages, each over all that the one before kept. No SQL says the same: a model is trained in the first
-stage and the last is byte-level BPE."""
+stage and the last is byte-level BPE.
+
+All stages take null and empty texts (neither toxic nor near copies, without secrets or words, so not in the mix), null ids (rows of their
+own), very long texts whole, repeated rows (one stays at near_duplicates), different texts under one id (each is judged by itself), empty
+tables (they stay empty) and further columns of any name, which they keep."""
 
 from __future__ import annotations
 
