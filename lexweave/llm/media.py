@@ -3,7 +3,7 @@
 `sniff` locates magic bytes with one Aho-Corasick pass over a blob, lets a validator per format confirm the structure and the
 length, corrects the declared type and carves what it confirmed; a signature inside confirmed media is part of it. Bytes that
 merely look like a signature are left alone. Nothing found gives an empty list; null blobs count as empty; a blob that was cut
-short holds no confirmed medium. Of signatures at one place the longest counts. Texts are stored whole, very long ones too, equal texts give equal media, and each row gives one row, an empty
+short holds no confirmed medium. No two signatures fit one place. Texts are stored whole, very long ones too, equal texts give equal media, and each row gives one row, an empty
 table none; columns other than doc_id and text are left aside.
 """
 
