@@ -58,13 +58,13 @@ class Index:
         return index
 
     @classmethod
-    def of(cls, spark: SparkSession, sf_dir: str) -> Index:
-        """The index of a folder's documents, built if the shared folder has none of these very files."""
+    def of(cls, spark: SparkSession, sf_dir: str, anew: bool = False) -> Index:
+        """The index of a folder's documents, built if the shared folder has none of these very files, or if it is to be made anew."""
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
         key = (spark.sparkContext.applicationId, fingerprint(docs))
-        if key not in _built:
+        if anew or key not in _built:
             path = f"{shared_folder(spark)}/index-{VERSION}-{key[1]}"
-            if not exists(spark, f"{path}/stats/_SUCCESS"):
+            if anew or not exists(spark, f"{path}/stats/_SUCCESS"):
                 cls.build(docs, path)
             _built[key] = path
         return cls(spark, _built[key])
