@@ -80,23 +80,30 @@ def coded(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
     return map_batches(vectors.select("vec_id", "label", "embedding"), make, "vec_id long, label string, node long, narrow boolean, vec binary, codes array<int>")
 
 
-def collision_pairs(left: np.ndarray, right: np.ndarray, threshold: float, lines: int = LINES) -> tuple[np.ndarray, np.ndarray]:
+def collision_pairs(left: np.ndarray, right: np.ndarray | None, threshold: float, lines: int = LINES) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs of unit vectors that meet on enough lines, before verification. On each line the vectors of `right` are sorted
-    and each of `left` walks its window; what it meets there is counted by pair."""
+    and each of `left` walks its window; what it meets there is counted by pair. Without `right`, the vectors of `left` meet each other:
+    each walks forward only, and pairs (i, j) have i < j."""
+    other = left if right is None else right
     directions = np.random.default_rng([SEED, 1, left.shape[1]]).standard_normal((left.shape[1], lines))
     reach = REACH * math.sqrt(2 - 2 * threshold)
-    a, b = left @ directions, right @ directions
-    met = np.zeros(len(left) * len(right), np.uint8)
+    a, b = left @ directions, other @ directions
+    met = np.zeros(len(left) * len(other), np.uint8)
+    wide = np.int64 if len(met) > 1 << 30 else np.int32
     for i in range(lines):
-        order = np.argsort(b[:, i])
+        order = np.argsort(b[:, i], kind="stable").astype(wide)
         line = b[order, i]
-        low, high = np.searchsorted(line, a[:, i] - reach, "left"), np.searchsorted(line, a[:, i] + reach, "right")
+        own = order if right is None else np.arange(len(left), dtype=wide)
+        high = np.searchsorted(line, a[own, i] + reach, "right")
+        low = np.arange(1, len(order) + 1) if right is None else np.searchsorted(line, a[own, i] - reach, "left")
         sizes = high - low
         starts = np.cumsum(sizes) - sizes
-        walked = np.repeat(low - starts, sizes) + np.arange(sizes.sum())
-        pair = np.repeat(np.arange(len(left)) * len(right), sizes) + order[walked]
-        met[pair] += 1  # a pair meets once a line
-    return np.divmod(np.flatnonzero(met >= least_collisions(lines)), len(right))
+        walked = order[np.repeat((low - starts).astype(wide), sizes) + np.arange(sizes.sum(), dtype=wide)]
+        walker = np.repeat(own, sizes)
+        if right is None:
+            walker, walked = np.minimum(walker, walked), np.maximum(walker, walked)
+        met[walker * wide(len(other)) + walked] += 1  # a pair meets once a line
+    return np.divmod(np.flatnonzero(met >= least_collisions(lines)), len(other))
 
 
 def tile_links(tile: pd.DataFrame, table: int, one: int, two: int, threshold: float) -> pd.DataFrame:
@@ -115,9 +122,7 @@ def tile_links(tile: pd.DataFrame, table: int, one: int, two: int, threshold: fl
         raw = raw / np.abs(raw).max(axis=1, keepdims=True)
         unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
         a, b = unit[: len(rows)], unit[len(rows) :]
-        i, j = collision_pairs(a, b, threshold)
-        if one == two:
-            i, j = i[i < j], j[i < j]
+        i, j = collision_pairs(a, None if one == two else b, threshold)
         codes = np.array(tile["codes"].tolist(), np.int64).reshape(len(tile), -1)
         new = ~(codes[rows[i], :table] == codes[others[j], :table]).any(axis=1)
         i, j = i[new], j[new]

@@ -136,6 +136,10 @@ def test_collision_counts_equal_a_plain_count():
     met = (np.abs((a @ directions)[:, None] - (b @ directions)[None]) <= reach).sum(2)
     i, j = embeddings.collision_pairs(a, b, 0.93)
     assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(zip(*(x.tolist() for x in np.nonzero(met >= embeddings.least_collisions())), strict=True))
+    met = (np.abs((b @ directions)[:, None] - (b @ directions)[None]) <= reach).sum(2)
+    i, j = embeddings.collision_pairs(b, None, 0.93)
+    truth = [(x, y) for x, y in zip(*(v.tolist() for v in np.nonzero(met >= embeddings.least_collisions())), strict=True) if x < y]
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == truth and truth
 
 
 def test_collision_calibration():
