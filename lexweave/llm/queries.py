@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexweave.llm.audit import OP13_SQL, op13_filter_audit
 from lexweave.llm.bpe import op6_byte_bpe
 from lexweave.llm.embeddings import OP1_SQL, op1_collision_projections
 from lexweave.llm.lm import op4_context_mixing
@@ -30,8 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_compression_quality": op8_compression_quality,
         "op9_secret_entropy": op9_secret_entropy,
         "op10_divide_skip": op10_divide_skip,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_collision_projections": OP1_SQL, "op2_curriculum_mix": OP2_SQL, "op3_link_graph": OP3_SQL, "op10_divide_skip": OP10_SQL}
+    return {"op1_collision_projections": OP1_SQL, "op2_curriculum_mix": OP2_SQL, "op3_link_graph": OP3_SQL, "op10_divide_skip": OP10_SQL, "op13_filter_audit": OP13_SQL}
