@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexweave.llm.alignment import op12_token_alignment
 from lexweave.llm.audit import OP13_SQL, op13_filter_audit
 from lexweave.llm.bpe import op6_byte_bpe
 from lexweave.llm.embeddings import OP1_SQL, op1_collision_projections
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_compression_quality": op8_compression_quality,
         "op9_secret_entropy": op9_secret_entropy,
         "op10_divide_skip": op10_divide_skip,
+        "op12_token_alignment": op12_token_alignment,
         "op13_filter_audit": op13_filter_audit,
     }
 
