@@ -8,9 +8,9 @@ target is due by any time; inverting it turns a document's place in its source's
 stream is its documents in the order of md5(doc_id), repeated from the start until the target is reached, where the last document
 may be taken in part. Prefix sums are made within (source, hash bucket) and over buckets, so that no task holds a whole source.
 
-Null texts have size 0; a null source is a source; a very long text is one document of its size; a null id is placed as an empty one;
-equal keys fall by id and size; repeated rows are documents of their own, and `mix` takes each as often as the one of them that is taken
-most. An empty table gives an empty mix.
+Null texts have size 0; a null source is a source; a very long text is one document of its size; a row without an id is placed by its
+text; equal keys fall by id and size; repeated rows are documents of their own, each taken as often as its own place in the stream says.
+An empty table gives an empty mix.
 Columns other than doc_id, text and source are left aside by `assign`; `mix` keeps the columns of its input. The plan of targets has a
 row a source: up to `BROADCAST` sources it is broadcast, and where there are more it is joined by shuffling.
 """
@@ -71,7 +71,7 @@ def time_of(share: Column, segments: Column) -> Column:
 
 
 def sized(docs: DataFrame, *more: Column, text: str = "text", source: str = "source") -> DataFrame:
-    key = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    key = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.md5(F.concat(F.lit("="), F.col(text))))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     return docs.select("doc_id", F.col(source).alias("source"), source_key(F.col(source)).alias("src"), size.alias("size"), F.coalesce(key, F.lit("")).alias("key"), *more)
 
@@ -81,19 +81,22 @@ def assign(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules: tuple
     return _assigned(cut(sized(docs)), weights, schedules, repeats, buckets).select("doc_id", "size", "source_size", "target", "taken", "position").orderBy(F.col("position").asc_nulls_last(), F.md5(F.col("doc_id").cast("string").cast("binary")))
 
 
-def _assigned(sizes: DataFrame, weights: tuple[int, ...], schedules: tuple, repeats: int, buckets: int) -> DataFrame:
-    bucket = F.floor(F.coalesce(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.lit(0)) * buckets / F.lit(1 << 32)).cast("int")
-    sizes = sizes.withColumn("bucket", bucket)
-    sums = sizes.groupBy("src", "bucket").agg(F.sum("size").alias("in_bucket"))
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.floor(F.coalesce(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.lit(0)) * buckets / F.lit(1 << 32)).cast("int"))
+
+
+def _assigned(sizes: DataFrame, weights: tuple[int, ...], schedules: tuple, repeats: int, buckets: int, rows: DataFrame | None = None) -> DataFrame:
+    """The rows, `sizes` themselves unless given with more columns, and their places: what stands before, what is taken, and when."""
+    sums = _bucketed(sizes, buckets).groupBy("src", "bucket").agg(F.sum("size").alias("in_bucket"))
     earlier = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("src", "bucket", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("offset"))
     within = Window.partitionBy("src", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    placed = _bucketed(sizes if rows is None else rows, buckets).withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     plan = cut(targets(sizes, weights, schedules, repeats))
     if plan.count() <= BROADCAST:
         plan = F.broadcast(plan)
-    placed = placed.join(offsets, ["src", "bucket"]).join(plan, "src")
-    before, whole, due = F.col("offset") + F.col("inside"), F.col("source_size"), F.floor("target").cast("long")
+    placed = placed.join(offsets, ["src", "bucket"]).join(plan, "src").withColumn("before", F.col("offset") + F.col("inside"))
+    before, whole, due = F.col("before"), F.col("source_size"), F.floor("target").cast("long")
     turns = F.when(whole > 0, F.floor(due / whole)).otherwise(0).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), due - turns * whole - before))
     taken = turns * F.col("size") + part
@@ -103,16 +106,14 @@ def _assigned(sizes: DataFrame, weights: tuple[int, ...], schedules: tuple, repe
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules: tuple = SCHEDULES, repeats: int = REPEATS, buckets: int = BUCKETS) -> DataFrame:
     """The documents of the mix with the columns of docs, each as often as it is taken, in the order of training. A document of
-    which only a part is due is given whole where that part is half of it or more; one without words is not in the mix."""
-    told = ["key", "src", "size"]
-    placed = _assigned(cut(sized(docs)), weights, schedules, repeats, buckets).where("size > 0")
-    copies = F.floor(placed["taken"] / placed["size"] + 0.5).cast("int")
-    copies = placed.select(*told, copies.alias("copies"), F.struct("target", "segments", "source_size", (F.col("offset") + F.col("inside")).alias("before")).alias("at"))
-    copies = copies.where("copies > 0").groupBy(*told).agg(F.max("copies").alias("copies"), F.min_by("at", "at.before").alias("at"))
-    rows = sized(docs, F.struct("*").alias("row")).join(copies, told)
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    share = F.least(F.lit(1.0), (F.col("copy") * F.col("at.source_size") + F.col("at.before")) / F.col("at.target"))
-    return rows.orderBy(time_of(share, F.col("at.segments")), F.xxhash64("doc_id"), "copy").select("row.*")
+    which only a part is due is given whole where that part is half of it or more; one without words is not in the mix. The rows are
+    placed with all their columns, so that no row has to be found again by its id."""
+    whole = sized(docs, F.struct("*").alias("row")).where("size > 0")
+    rows = _assigned(cut(sized(docs)), weights, schedules, repeats, buckets, whole)
+    rows = rows.withColumn("copies", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")).where("copies > 0")
+    rows = rows.select("row", "segments", "source_size", "target", "before", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    share = F.least(F.lit(1.0), (F.col("copy") * F.col("source_size") + F.col("before")) / F.col("target"))
+    return rows.orderBy(time_of(share, F.col("segments")), F.xxhash64("row.doc_id"), "copy").select("row.*")
 
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +122,7 @@ def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS k,
+  SELECT doc_id, source, coalesce(md5(CAST(doc_id AS VARCHAR)), md5('=' || text), '') AS k,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),

@@ -1,6 +1,7 @@
 """Near copies among rows with null and shared ids."""
 
 import math
+from collections import Counter
 
 from lexweave.llm import mixing, ngrams
 from tests.llm.fixtures import corpus, frame
@@ -41,3 +42,19 @@ def test_the_mix_keeps_rows_without_id(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST", 0)
     assert sorted(map(str, mixing.assign(frame(spark)).collect())) == sorted(map(str, mixing.assign(frame(spark, corpus())).collect()))
     assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, mixed))
+
+
+def test_the_mix_takes_no_more_than_its_target_of_rows_without_id(spark):
+    rows = [(None, f"four words in {i % 7}", None, "a", *[None] * 5) for i in range(50)] + [(1000 + i, "one two three four", None, "b", *[None] * 5) for i in range(40)]
+    docs = frame(spark, rows)
+    taken, targets = Counter(), {}
+    for r in mixing.assign(docs).collect():
+        source = "a" if r.doc_id is None else "b"
+        taken[source] += r.taken
+        targets[source] = r.target
+    assert taken["a"] == math.floor(targets["a"]) and taken["b"] == math.floor(targets["b"])
+    got = Counter(r.source for r in mixing.mix(docs).collect())
+    for source, target in targets.items():
+        assert abs(4 * got[source] - target) <= 4
+    whole = mixing.sized(docs).where("doc_id IS NULL")
+    assert mixing._bucketed(whole, 4096).select("bucket").distinct().count() == 7
