@@ -10,6 +10,7 @@ from lexweave.llm.alignment import op12_token_alignment
 from lexweave.llm.audit import OP13_SQL, op13_filter_audit
 from lexweave.llm.bpe import op6_byte_bpe
 from lexweave.llm.embeddings import OP1_SQL, op1_collision_projections
+from lexweave.llm.lines import op11_line_labelling
 from lexweave.llm.lm import op4_context_mixing
 from lexweave.llm.media import op7_media_sniffing
 from lexweave.llm.mixing import OP2_SQL, op2_curriculum_mix
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_compression_quality": op8_compression_quality,
         "op9_secret_entropy": op9_secret_entropy,
         "op10_divide_skip": op10_divide_skip,
+        "op11_line_labelling": op11_line_labelling,
         "op12_token_alignment": op12_token_alignment,
         "op13_filter_audit": op13_filter_audit,
     }
