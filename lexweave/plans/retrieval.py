@@ -2,10 +2,20 @@
 
 Terms are lower-cased runs of letters, two or more. Counts are the stored facts; weights are derived: idf = ln(N / df), 0 where a
 term is in every document; raw weight tf * idf; normalised weight raw / norm of the document. Ties fall to the smaller document id.
-Spark reads counts, weights and norms from the stored index (`sources/index.py`); the SQL beside each query derives them from the texts.
+Spark reads counts, weights and norms from the stored index (`sources/index.py`) and ranks by `operators/ranking.py` and
+`operators/fulltext.py`; the SQL beside each query derives everything from the texts.
 """
 
-from lexweave.plans.dialect import STORED, add
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexweave.operators import fulltext, ranking
+from lexweave.plans import topics
+from lexweave.plans.dialect import STORED, add, render
+from lexweave.plans.registry import register
+from lexweave.sources.index import Index
 
 # the facts, as common table expressions
 TF = "tf AS (SELECT doc_id, term, count(*) AS tf, min(pos) AS first_pos FROM @tokens GROUP BY doc_id, term)"
@@ -15,18 +25,20 @@ IDF = "idf AS (SELECT term, df, cf, CASE WHEN df >= n OR df <= 0 THEN 0.0 ELSE l
 RAW = "raw AS (SELECT tf.doc_id, tf.term, tf.tf, idf.idf, tf.tf * idf.idf AS raw FROM tf JOIN idf ON tf.term = idf.term)"
 NORM = "norm AS (SELECT doc_id, sqrt(sum(raw * raw)) AS norm FROM raw GROUP BY doc_id)"
 INDEX = ", ".join([TF, DF, N, IDF, RAW, NORM])
-# queries: the ten commonest terms and ten that a hash picks, dealt to five topics
+# queries: the thirty commonest terms and sixty that a hash picks, dealt to thirty topics
 TOPICS = (
-    "common AS (SELECT term FROM df WHERE length(term) >= 4 ORDER BY df DESC, term LIMIT 10), picked AS (SELECT term FROM df WHERE length(term) >= 4 AND term NOT IN (SELECT term FROM common) ORDER BY @hash(term), term LIMIT 10), "
-    "topic AS (SELECT 1 + (row_number() OVER (ORDER BY @hash(term), term) - 1) % 5 AS query_id, term FROM common UNION ALL SELECT 1 + (row_number() OVER (ORDER BY @hash(term), term) - 1) % 5 AS query_id, term FROM picked)"
+    "common AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) AS place FROM (SELECT term, df FROM df WHERE length(term) >= 4 ORDER BY df DESC, term LIMIT 30)), "
+    "picked AS (SELECT term FROM df WHERE length(term) >= 4 AND term NOT IN (SELECT term FROM common) ORDER BY @hash(term), term LIMIT 60), "
+    "topic AS (SELECT 1 + (row_number() OVER (ORDER BY @hash(term), term) - 1) % 30 AS query_id, term FROM common UNION ALL SELECT 1 + (row_number() OVER (ORDER BY @hash(term), term) - 1) % 30 AS query_id, term FROM picked)"
 )
+PAIRS = "pair AS (SELECT a.place AS query_id, x.term FROM common a JOIN common x ON x.place IN (a.place, a.place + 1) WHERE a.place < (SELECT max(place) FROM common))"
 LEN = "len AS (SELECT d.doc_id, coalesce(t.len, 0) AS len FROM documents d LEFT JOIN (SELECT doc_id, @long(sum(tf)) AS len FROM tf GROUP BY doc_id) t ON t.doc_id = d.doc_id)"
 STORED.update({
-    TF: "tf AS (SELECT doc_id, term, tf, first_pos FROM stored_postings)",
+    TF: "tf AS (SELECT doc_id, term, tf, positions[0] AS first_pos FROM stored_postings)",
     DF: "df AS (SELECT term, df, cf FROM stored_terms)",
     N: "n AS (SELECT documents AS n FROM stored_stats)",
     IDF: "idf AS (SELECT term, df, cf, idf FROM stored_terms)",
-    RAW: "raw AS (SELECT doc_id, term, tf, idf, raw FROM stored_postings)",
+    RAW: "raw AS (SELECT p.doc_id, p.term, p.tf, t.idf, p.tf * t.idf AS raw FROM stored_postings p JOIN stored_terms t ON t.term = p.term)",
     NORM: "norm AS (SELECT doc_id, norm FROM stored_documents WHERE norm IS NOT NULL)",
     LEN: "len AS (SELECT doc_id, len FROM stored_documents)",
 })
@@ -45,7 +57,28 @@ def ranked(scores: str, k: int, more: str = "") -> str:
     return f"SELECT query_id, doc_id, round(score, 6) AS score, rank, total{more} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM {scores}) WHERE rank <= {k}"
 
 
-add("q_postings", f"WITH {TF} SELECT doc_id, term, tf, @long(first_pos) AS first_pos FROM tf")
+def asked(name: str, model: str, sql: str, columns: tuple[str, ...] = (), **options) -> None:
+    """Registers a ranker over the topics, with its SQL."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index = Index.of(spark, sf_dir)
+        given = {n: {t: 1.0 / len(t) for t in terms} for n, terms in topics.topics(index).items()}
+        found = ranking.rank(index, given, model, **options)
+        return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank", "total", *columns)
+
+    register(name, query, render(sql, 1))
+
+
+def by_index(name: str, function, sql: str | None = None) -> None:
+    """Registers what a function makes of the index of the folder."""
+    register(name, lambda spark, sf_dir: function(Index.of(spark, sf_dir)), None if sql is None else render(sql, 1))
+
+
+by_index(
+    "q_postings",
+    lambda index: index.postings().select("doc_id", "term", "tf", F.array_join("positions", " ").alias("places")),
+    "SELECT doc_id, term, count(*) AS tf, string_agg(@text(pos), ' ' ORDER BY pos) AS places FROM @tokens GROUP BY doc_id, term",
+)
 add("q_document_frequencies", f"WITH {TF}, {DF} SELECT term, df, cf FROM df")
 add("q_collection_frequencies", f"WITH {TF}, {DF} SELECT term, cf FROM df")
 add("q_idf", f"WITH {TF}, {DF}, {N}, {IDF} SELECT term, df, round(idf, 6) AS idf FROM idf")
@@ -59,20 +92,25 @@ add("q_index_stale", f"WITH {TF}, {N} SELECT n.n AS live, (SELECT count(DISTINCT
 add("q_matrix_cells", f"WITH {TF}, {DF}, top AS (SELECT term FROM df ORDER BY cf DESC, term LIMIT 20000) SELECT tf.doc_id, tf.term, tf.tf FROM tf JOIN top ON top.term = tf.term")
 add("q_delete_reweight", f"WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM @tokens WHERE doc_id % 10 <> 3 GROUP BY doc_id, term), {DF}, n AS (SELECT count(*) AS n FROM documents WHERE doc_id % 10 <> 3), {IDF} SELECT term, df, round(idf, 6) AS idf FROM idf")
 add("q_parse_query", f"WITH {TF}, {DF}, q AS (SELECT item_id, @each(@distinct(@words(text))) AS term FROM benchmark) SELECT q.item_id, q.term, df.df, df.term IS NULL AS unknown FROM q LEFT JOIN df ON df.term = q.term WHERE length(q.term) >= 2")
-add("q_vector_rank", f"WITH {INDEX}, {TOPICS}, {VECTOR} {ranked('vector', 20, ', matched')}")
-add("q_bm25", f"WITH {TF}, {DF}, {N}, {TOPICS}, {LEN}, {BM25} {ranked('bm25', 20, ', matched')}")
-add("q_all_words_together", f"WITH {INDEX}, {TOPICS}, {VECTOR} SELECT v.query_id, v.doc_id FROM vector v JOIN known k ON k.query_id = v.query_id WHERE v.matched = k.known")
+asked("q_vector_rank", "vector", f"WITH {INDEX}, {TOPICS}, {VECTOR} {ranked('vector', 20, ', matched')}", ("matched",))
+asked("q_bm25", "bm25", f"WITH {TF}, {DF}, {N}, {TOPICS}, {LEN}, {BM25} {ranked('bm25', 20, ', matched')}", ("matched",))
+def _together(index: Index) -> DataFrame:
+    return fulltext.search(index, {n: " ".join(two) for n, two in topics.pairs(index).items()}, stems=False).select("query_id", "doc_id")
+
+
+TOGETHER = "together AS (SELECT p.query_id, t.doc_id FROM pair p JOIN tf t ON t.term = p.term GROUP BY p.query_id, t.doc_id HAVING count(*) = 2)"
+by_index("q_all_words_together", _together, f"WITH {TF}, {DF}, {TOPICS}, {PAIRS}, {TOGETHER} SELECT query_id, doc_id FROM together")
 VIDF = (
     "q AS (SELECT t.query_id, t.term, i.idf AS w FROM topic t JOIN idf i ON i.term = t.term WHERE i.idf > 0), qn AS (SELECT query_id, sqrt(sum(w * w)) AS qn FROM q GROUP BY query_id), "
     "vector_idf AS (SELECT q.query_id, r.doc_id, sum(q.w * r.raw) / (max(m.norm) * max(qn.qn)) AS score FROM q JOIN raw r ON r.term = q.term JOIN norm m ON m.doc_id = r.doc_id JOIN qn ON qn.query_id = q.query_id GROUP BY q.query_id, r.doc_id HAVING sum(q.w * r.raw) > 0)"
 )
-add("q_vector_idf", f"WITH {INDEX}, {TOPICS}, {VIDF} {ranked('vector_idf', 20)}")
-add("q_sparse_query", f"WITH {INDEX}, {TOPICS}, q AS (SELECT query_id, term, 1.0 / length(term) AS w FROM topic), qn AS (SELECT query_id, sqrt(sum(w * w)) AS qn FROM q GROUP BY query_id), s AS (SELECT q.query_id, r.doc_id, sum(q.w * r.raw) / (max(m.norm) * max(qn.qn)) AS score FROM q JOIN raw r ON r.term = q.term JOIN norm m ON m.doc_id = r.doc_id JOIN qn ON qn.query_id = q.query_id GROUP BY q.query_id, r.doc_id HAVING sum(q.w * r.raw) > 0) {ranked('s', 20)}")
+asked("q_vector_idf", "vector_idf", f"WITH {INDEX}, {TOPICS}, {VIDF} {ranked('vector_idf', 20)}")
+asked("q_sparse_query", "sparse", f"WITH {INDEX}, {TOPICS}, q AS (SELECT query_id, term, 1.0 / length(term) AS w FROM topic), qn AS (SELECT query_id, sqrt(sum(w * w)) AS qn FROM q GROUP BY query_id), s AS (SELECT q.query_id, r.doc_id, sum(q.w * r.raw) / (max(m.norm) * max(qn.qn)) AS score FROM q JOIN raw r ON r.term = q.term JOIN norm m ON m.doc_id = r.doc_id JOIN qn ON qn.query_id = q.query_id GROUP BY q.query_id, r.doc_id HAVING sum(q.w * r.raw) > 0) {ranked('s', 20)}")
 SEM = "sem AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, @dot(q.embedding | e.embedding) / (sqrt(@dot(q.embedding | q.embedding)) * sqrt(@dot(e.embedding | e.embedding))) AS score FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q JOIN embeddings e ON q.vec_id <> e.vec_id)"
 add("q_semantic_topk", f"WITH {SEM} {ranked('sem', 10)}")
 add("q_semantic_conj", f"WITH {TF}, {DF}, {TOPICS}, ok AS (SELECT tf.doc_id FROM tf JOIN (SELECT term FROM topic WHERE query_id = 1) t ON t.term = tf.term GROUP BY tf.doc_id HAVING count(*) >= 1), {SEM} SELECT query_id, doc_id, round(score, 5) AS score FROM sem WHERE doc_id IN (SELECT doc_id FROM ok)")
 RRF = "parts AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM vector UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM bm25), hybrid AS (SELECT query_id, doc_id, sum(1e0 / (60 + r)) AS score FROM parts WHERE r <= 60 GROUP BY query_id, doc_id)"
-add("q_hybrid_rrf", f"WITH {INDEX}, {TOPICS}, {LEN}, {VECTOR}, {BM25}, {RRF} {ranked('hybrid', 20)}")
+asked("q_hybrid_rrf", "hybrid", f"WITH {INDEX}, {TOPICS}, {LEN}, {VECTOR}, {BM25}, {RRF} {ranked('hybrid', 20)}")
 PRF = (
     "fb AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM vector) WHERE r <= 5), "
     "fn AS (SELECT query_id, count(*) AS fn FROM fb GROUP BY query_id), "
@@ -80,14 +118,63 @@ PRF = (
     "SELECT fb.query_id, r.term, 0.75 * r.raw / m.norm / fn.fn AS w FROM fb JOIN raw r ON r.doc_id = fb.doc_id JOIN norm m ON m.doc_id = fb.doc_id JOIN fn ON fn.query_id = fb.query_id) GROUP BY query_id, term), "
     "cutq AS (SELECT query_id, term, w FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(w, 9) DESC, term) AS r FROM roc WHERE w > 0) WHERE r <= 20)"
 )
-add("q_rocchio", f"WITH {INDEX}, {TOPICS}, {VECTOR}, {PRF} SELECT query_id, term, round(w, 6) AS w FROM cutq")
-add("q_vector_prf", f"WITH {INDEX}, {TOPICS}, {VECTOR}, {PRF}, pn AS (SELECT query_id, sqrt(sum(w * w)) AS qn FROM cutq GROUP BY query_id), prf AS (SELECT q.query_id, r.doc_id, sum(q.w * r.raw) / (max(m.norm) * max(pn.qn)) AS score FROM cutq q JOIN raw r ON r.term = q.term JOIN norm m ON m.doc_id = r.doc_id JOIN pn ON pn.query_id = q.query_id GROUP BY q.query_id, r.doc_id HAVING sum(q.w * r.raw) > 0) {ranked('prf', 20)}")
+def _expanded(index: Index) -> DataFrame:
+    found = ranking.expanded(index, {n: dict.fromkeys(t, 1.0) for n, t in topics.topics(index).items()})
+    return index.spark.createDataFrame([(n, t, round(w, 6)) for n, own in found.items() for t, w in own.items()], "query_id long, term string, w double")
+
+
+by_index("q_rocchio", _expanded, f"WITH {INDEX}, {TOPICS}, {VECTOR}, {PRF} SELECT query_id, term, round(w, 6) AS w FROM cutq")
+asked("q_vector_prf", "vector_prf", f"WITH {INDEX}, {TOPICS}, {VECTOR}, {PRF}, pn AS (SELECT query_id, sqrt(sum(w * w)) AS qn FROM cutq GROUP BY query_id), prf AS (SELECT q.query_id, r.doc_id, sum(q.w * r.raw) / (max(m.norm) * max(pn.qn)) AS score FROM cutq q JOIN raw r ON r.term = q.term JOIN norm m ON m.doc_id = r.doc_id JOIN pn ON pn.query_id = q.query_id GROUP BY q.query_id, r.doc_id HAVING sum(q.w * r.raw) > 0) {ranked('prf', 20)}")
 add("q_vector_diff", f"WITH {INDEX}, {TOPICS}, {VECTOR}, {PRF}, old AS (SELECT t.query_id, t.term, 1.0 / sqrt(k.known) AS w FROM topic t JOIN known k ON k.query_id = t.query_id) SELECT coalesce(o.query_id, c.query_id) AS query_id, coalesce(o.term, c.term) AS term, CASE WHEN o.term IS NULL THEN 'added' WHEN c.term IS NULL THEN 'dropped' WHEN abs(o.w - c.w) > 1e-9 THEN 'changed' ELSE 'same' END AS kind FROM old o FULL OUTER JOIN cutq c ON c.query_id = o.query_id AND c.term = o.term")
 add("q_explain_score", f"WITH {INDEX}, {TOPICS}, {VECTOR}, top AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM vector) WHERE r <= 3), part AS (SELECT top.query_id, top.doc_id, t.term, r.raw / (m.norm * sqrt(k.known)) AS c, top.score FROM top JOIN topic t ON t.query_id = top.query_id JOIN raw r ON r.term = t.term AND r.doc_id = top.doc_id JOIN norm m ON m.doc_id = top.doc_id JOIN known k ON k.query_id = top.query_id) SELECT query_id, doc_id, term, round(c, 6) AS contribution, round(sum(c) OVER (PARTITION BY query_id, doc_id ORDER BY round(c, 9) DESC, term ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS running, round(c / score, 6) AS share FROM part")
-add("q_search_page", f"WITH {TF}, {DF}, {N}, {TOPICS}, {LEN}, {BM25} SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm25) WHERE rank BETWEEN 11 AND 20")
+by_index(
+    "q_search_page",
+    lambda index: ranking.rank(index, {n: dict.fromkeys(t, 1.0) for n, t in topics.topics(index).items()}, "bm25", k=10, offset=10).select("query_id", "doc_id", "rank"),
+    f"WITH {TF}, {DF}, {N}, {TOPICS}, {LEN}, {BM25} SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm25) WHERE rank BETWEEN 11 AND 20",
+)
 add("q_search_hits", f"WITH {TF}, {DF}, {N}, {TOPICS}, {LEN}, {BM25} SELECT b.query_id, b.rank, d.doc_id, d.lang, d.source, substring(d.text, 1, 80) AS lead FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm25) b JOIN documents d ON d.doc_id = b.doc_id WHERE b.rank <= 10")
 add("q_document_detail", f"WITH {INDEX} SELECT raw.doc_id, raw.term, raw.tf, round(raw, 6) AS raw_weight, round(raw / norm, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(raw, 9) DESC, term) AS k FROM raw) raw JOIN norm ON norm.doc_id = raw.doc_id WHERE k <= 5 AND norm > 0")
-add("q_fts_match", f"WITH {TF}, {DF}, {TOPICS}, a AS (SELECT term FROM topic WHERE query_id = 1), b AS (SELECT term FROM topic WHERE query_id = 2) SELECT doc_id, round(sum(1 + ln(tf)) / (1 + ln(max(n))), 6) AS score FROM (SELECT tf.*, @long(sum(tf) OVER (PARTITION BY doc_id)) AS n FROM tf) x WHERE term IN (SELECT term FROM a) AND doc_id NOT IN (SELECT doc_id FROM tf WHERE term IN (SELECT term FROM b)) GROUP BY doc_id HAVING count(*) >= 2")
+def _websearch(stems: bool):
+    def query(index: Index) -> DataFrame:
+        found = fulltext.search(index, {n: topics.websearch(n, t) for n, t in topics.topics(index).items()}, stems)
+        return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "matched")
+
+    return query
+
+
+# the five forms of topics.websearch, by number modulo 5: a b; a or b -c; "a b"; a -b; a b or c
+FTS = (
+    "word AS (SELECT * FROM (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY @hash(term), term) AS i FROM topic) w WHERE i <= CASE WHEN query_id % 5 IN (1, 4) THEN 3 ELSE 2 END), "
+    "occ AS (SELECT w.query_id, w.i, t.doc_id, t.pos, row_number() OVER (PARTITION BY w.query_id, w.i, t.doc_id ORDER BY t.pos) AS j FROM word w JOIN @tokens t ON t.term = w.term), "
+    "flag AS (SELECT query_id, doc_id, bool_or(i = 1) AS a, bool_or(i = 2) AS b, bool_or(i = 3) AS c, count(DISTINCT i) AS matched, sum(CASE WHEN j <= 256 THEN 1e0 / (j * j) ELSE 0e0 END) AS alone FROM occ GROUP BY query_id, doc_id), "
+    "two AS (SELECT x.query_id, x.doc_id, bool_or(y.pos = x.pos + 1) AS phrase, exp(sum(CASE WHEN x.j > 256 OR y.j > 256 OR abs(x.pos - y.pos) > 100 THEN 0e0 ELSE ln(1e0 - 0.1e0 / sqrt(1.005e0 + 0.05e0 * exp(abs(x.pos - y.pos) / 1.5e0 - 2e0))) END)) AS missed "
+    "FROM occ x JOIN occ y ON x.query_id = y.query_id AND x.doc_id = y.doc_id AND x.i = 1 AND y.i = 2 GROUP BY x.query_id, x.doc_id), "
+    "hit AS (SELECT f.*, CASE WHEN f.query_id % 5 IN (1, 4) THEN f.alone * 0.1e0 / 1.64493406685e0 / 3 ELSE 1e0 - coalesce(t.missed, 1e0) END / (ln(greatest(l.len, 1) + 1e0) / ln(2e0)) AS s FROM flag f LEFT JOIN two t ON t.query_id = f.query_id AND t.doc_id = f.doc_id JOIN len l ON l.doc_id = f.doc_id "
+    "WHERE CASE f.query_id % 5 WHEN 0 THEN a AND b WHEN 1 THEN a OR (b AND NOT c) WHEN 2 THEN coalesce(t.phrase, false) WHEN 3 THEN a AND NOT b ELSE (a AND b) OR c END)"
+)
+by_index("q_fts_match", _websearch(False), f"WITH {TF}, {DF}, {TOPICS}, {LEN}, {FTS} SELECT query_id, doc_id, round(s / (s + 1), 6) AS score, matched FROM hit")
+by_index("q_fts_stems", _websearch(True))
+
+
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third to fifth word of every fiftieth document, wherever they stand together."""
+    from lexweave.sources.index import tokens
+
+    lead = tokens(spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 50 = 0")).where("pos BETWEEN 2 AND 4")
+    asked = lead.select(F.col("doc_id").alias("query_id"), "term", (F.col("pos") - 2).alias("at"))
+    whole = asked.groupBy("query_id").count().where("count = 3").select("query_id")
+    return fulltext.phrases(Index.of(spark, sf_dir), asked.join(whole, "query_id"))
+
+
+register(
+    "q_fts_phrases",
+    _phrases,
+    render(
+        "WITH t AS (SELECT * FROM @tokens), lead AS (SELECT a.doc_id AS query_id, a.term AS a, b.term AS b, c.term AS c FROM t a JOIN t b ON b.doc_id = a.doc_id AND b.pos = 3 JOIN t c ON c.doc_id = a.doc_id AND c.pos = 4 WHERE a.pos = 2 AND a.doc_id % 50 = 0) "
+        "SELECT l.query_id, x.doc_id, count(*) AS times FROM lead l JOIN t x ON x.term = l.a JOIN t y ON y.doc_id = x.doc_id AND y.pos = x.pos + 1 AND y.term = l.b JOIN t z ON z.doc_id = x.doc_id AND z.pos = x.pos + 2 AND z.term = l.c GROUP BY l.query_id, x.doc_id",
+        1,
+    ),
+)
 add("q_cosine", f"WITH {INDEX} SELECT a.doc_id AS a, b.doc_id AS b, round(sum(a.raw * b.raw) / (max(m.norm) * max(o.norm)), 6) AS cosine FROM raw a JOIN raw b ON a.term = b.term AND a.doc_id % 50 = 0 AND b.doc_id <> a.doc_id JOIN norm m ON m.doc_id = a.doc_id JOIN norm o ON o.doc_id = b.doc_id WHERE m.norm > 0 AND o.norm > 0 GROUP BY a.doc_id, b.doc_id")
 add("q_known_item_topics", f"WITH {TF}, lead AS (SELECT doc_id, term, first_pos, row_number() OVER (PARTITION BY doc_id ORDER BY first_pos) AS i FROM tf WHERE first_pos < 100 AND length(term) >= 4) SELECT doc_id, @join(term | ' ' | first_pos) AS topic, count(*) AS terms FROM lead WHERE i <= 7 GROUP BY doc_id HAVING count(*) >= 4")
 add("q_seed_documents", "SELECT url, page_id, coalesce(nullif(html, ''), '-') AS html FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS i FROM pages) WHERE i = 1")

@@ -1,26 +1,42 @@
-"""The stored inverted index: built once for a document table, read by all rankers.
+"""The stored inverted index: segments of documents, added to and deleted from, read as one.
 
-Four Parquet tables: `postings` (term, doc_id, tf, first_pos, idf, raw), range-partitioned and sorted by term, so that a query's terms
-prune row groups; `terms` (term, df, cf, idf); `documents` (doc_id, len, norm); `stats`, one row, written last. Terms are lower-cased
-runs of letters, two or more; idf = ln(N / df), 0 where a term is in every document; raw = tf * idf; norm is that of a document's raw
-weights, null where it has no terms. A null text has no terms; an id that several rows have is one document of all their terms.
+A segment holds the documents of one addition in three Parquet tables: `forward` (doc_id, term, tf, len, positions), in runs of
+documents; `postings`, the same rows range-partitioned and sorted by (term, doc_id), so that a query's terms prune row groups and a
+common term is many tasks' work; `documents` (doc_id, len). `gone` (doc_id) names what a segment deletes from those before it; a document that is added again
+replaces the earlier one. Terms are lower-cased runs of letters, two or more; positions count all runs of letters of the text.
+
+A version is a list of segments and what depends on the whole collection: `documents` (doc_id, segment, len, norm) of those alive,
+`terms` (term, stem, df, cf, idf), and the counts. idf = ln(N / df), 0 where a term is in every document; a raw weight is tf * idf; norm
+is that of a document's raw weights, null where it has no terms. Everything is written under new names; the manifest that makes it a version is
+renamed into place last, so that a crash at any step leaves the version before. Reading merges: rows of a segment count if the document
+is alive in that very segment. `compact` merges on disk, `vacuum` deletes what no version needs.
+
+A null text has no terms; rows without an id are not indexed; an id that several rows of one addition have is one document of their
+texts, in order of the texts, a line apart.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexweave.sources.folders import exists, fingerprint, shared_folder
+from lexweave.operators.stemming import with_stems
+from lexweave.sources.folders import create, delete, exists, fingerprint, listed, read_text, shared_folder
 
-VERSION = 1
-K1, B = 1.2, 0.75
+VERSION = 2
 _built: dict[tuple[str, str], str] = {}
 
 
+class Conflict(RuntimeError):
+    """Another writer has made the next version meanwhile."""
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, pos, term."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
@@ -28,70 +44,141 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 
 class Index:
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, number: int | None = None):
+        """The index at a path, in its latest version unless a number is given."""
         self.spark, self.path = spark, path
+        self.number = max(self.versions(spark, path), default=0) if number is None else number
+        self.manifest = json.loads(read_text(spark, f"{path}/manifest-{self.number:08d}")) if self.number else {"segments": [], "tables": None}
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+    @staticmethod
+    def versions(spark: SparkSession, path: str) -> list[int]:
+        return sorted(int(m[1]) for name in listed(spark, path) if (m := re.fullmatch(r"manifest-(\d{8})", name)))
+
+    # ---- writing
 
     @classmethod
     def build(cls, docs: DataFrame, path: str) -> Index:
-        """Writes the tables of docs (doc_id, text)."""
+        """A version of docs (doc_id, text) alone, whatever there was before."""
         index = cls(docs.sparkSession, path)
-        tf = tokens(docs).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
-        tf.write.mode("overwrite").parquet(f"{path}/counts")
-        tf = index.table("counts")
-        n = docs.count()
-        terms = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
+        return index._committed([index._segment(docs)])
+
+    def add(self, docs: DataFrame) -> Index:
+        """A version with docs too; those whose id is there already are replaced."""
+        return self._committed([*self.manifest["segments"], self._segment(docs)])
+
+    def delete(self, ids: DataFrame) -> Index:
+        """A version without the documents of ids (doc_id)."""
+        name = uuid.uuid4().hex
+        ids.select("doc_id").where("doc_id IS NOT NULL").distinct().write.parquet(f"{self.path}/segments/{name}/gone")
+        return self._committed([*self.manifest["segments"], {"name": name, "gone": True}])
+
+    def compact(self) -> Index:
+        """The same documents in one segment; nothing is analysed again."""
+        return self._committed([self._stored(self._alive("forward"), self.table("documents").select("doc_id"))])
+
+    def vacuum(self) -> None:
+        """Deletes the folders and manifests that this version doesn't need."""
+        kept = {s["name"] for s in self.manifest["segments"]} | {self.manifest["tables"], f"manifest-{self.number:08d}"}
+        for folder in ("segments", "versions", ""):
+            for name in listed(self.spark, f"{self.path}/{folder}"):
+                if name not in kept and (folder or name.startswith(("manifest-", "."))):
+                    delete(self.spark, f"{self.path}/{folder}/{name}")
+
+    def _segment(self, docs: DataFrame) -> dict:
+        """Analyses docs. Rows are dealt by id once; terms and lengths are counted where the texts then are."""
+        texts = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.coalesce("text", F.lit("")))), "\n").alias("text"))
+        found = tokens(texts).groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+        found = found.withColumn("tf", F.size("positions")).withColumn("len", F.sum("tf").over(Window.partitionBy("doc_id")))
+        return self._stored(found.select("doc_id", "term", "tf", "len", "positions"), docs.select("doc_id").where("doc_id IS NOT NULL").distinct())
+
+    def _stored(self, forward: DataFrame, ids: DataFrame) -> dict:
+        name = uuid.uuid4().hex
+        base = f"{self.path}/segments/{name}"
+        forward.sortWithinPartitions("doc_id", "term").write.parquet(f"{base}/forward")
+        forward = self.spark.read.parquet(f"{base}/forward")
+        forward.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{base}/postings")
+        sizes = forward.groupBy("doc_id").agg(F.first("len").alias("len"))
+        ids.join(sizes, "doc_id", "left").select("doc_id", F.coalesce("len", F.lit(0)).alias("len")).write.parquet(f"{base}/documents")
+        return {"name": name, "gone": False}
+
+    def _committed(self, segments: list[dict]) -> Index:
+        """Writes what depends on the whole collection, then the manifest."""
+        name = uuid.uuid4().hex
+        base, read = f"{self.path}/versions/{name}", self.spark.read.parquet
+        entries = []
+        for i, s in enumerate(segments):
+            table = read(f"{self.path}/segments/{s['name']}/{'gone' if s['gone'] else 'documents'}")
+            entries.append(table.select("doc_id", F.lit(i).alias("segment"), (F.lit(None).cast("long") if s["gone"] else F.col("len")).alias("len")))
+        alive = reduce(DataFrame.unionByName, entries)
+        if len(segments) > 1:
+            alive = alive.groupBy("doc_id").agg(F.max_by(F.struct("segment", "len"), "segment").alias("s")).select("doc_id", "s.*")
+        alive.where("len IS NOT NULL").write.parquet(f"{base}/alive")
+        alive = read(f"{base}/alive")
+        counts = alive.agg(F.count("*").alias("documents"), F.avg("len").alias("avgdl")).first()
+        forward = self._alive("forward", segments, alive).select("doc_id", "term", "tf")
+        n = counts.documents
+        terms = forward.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
         idf = F.when((F.col("df") >= n) | (F.col("df") <= 0), 0.0).otherwise(F.ln(F.lit(n) / F.col("df")))
-        terms.withColumn("idf", idf).write.mode("overwrite").parquet(f"{path}/terms")
-        terms = index.table("terms")
-        postings = tf.join(terms.select("term", "idf"), "term").select("term", "doc_id", "tf", "first_pos", "idf", (F.col("tf") * F.col("idf")).alias("raw"))
-        postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        postings = index.table("postings")
-        sizes = postings.groupBy("doc_id").agg(F.sum("tf").cast("long").alias("len"), F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-        sizes = docs.select("doc_id").join(sizes, "doc_id", "left").select("doc_id", F.coalesce("len", F.lit(0)).alias("len"), "norm")
-        sizes.write.mode("overwrite").parquet(f"{path}/documents")
-        counted = index.table("documents").agg(F.count("*").alias("documents"), F.avg("len").alias("avgdl"))
-        of_terms = terms.agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
-        counted.join(of_terms).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-        return index
+        with_stems(terms.withColumn("idf", idf)).select("term", "stem", "df", "cf", "idf").sortWithinPartitions("term").write.parquet(f"{base}/terms")
+        terms = read(f"{base}/terms")
+        raw = F.col("tf") * F.col("idf")
+        norms = forward.join(terms.select("term", "idf"), "term").groupBy("doc_id").agg(F.sqrt(F.sum(raw * raw)).alias("norm"))
+        alive.join(norms, "doc_id", "left").select("doc_id", "segment", "len", "norm").write.parquet(f"{base}/documents")
+        of_terms = terms.agg(F.count("*").alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings")).first()
+        delete(self.spark, f"{base}/alive")
+        told = {"segments": segments, "tables": name, "documents": n, "avgdl": counts.avgdl, "terms": of_terms.terms, "postings": of_terms.postings}
+        number = self.number + 1
+        if not create(self.spark, f"{self.path}/manifest-{number:08d}", json.dumps(told)):
+            raise Conflict(f"version {number} of {self.path} is there already")
+        return Index(self.spark, self.path, number)
+
+    # ---- reading
+
+    def _alive(self, kind: str, segments: list[dict] | None = None, alive: DataFrame | None = None, terms: list[str] | None = None) -> DataFrame:
+        """Rows of a kind of table of all segments, of living documents only."""
+        segments = self.manifest["segments"] if segments is None else segments
+        parts = []
+        for i, s in enumerate(segments):
+            if not s["gone"]:
+                part = self.spark.read.parquet(f"{self.path}/segments/{s['name']}/{kind}")
+                parts.append((part if terms is None else part.where(F.col("term").isin(terms))).withColumn("segment", F.lit(i)))
+        if not parts:
+            return self.spark.createDataFrame([], "doc_id long, term string, tf int, len long, positions array<int>")
+        rows = reduce(DataFrame.unionByName, parts)
+        if len(segments) > 1:
+            alive = self.table("documents") if alive is None else alive
+            rows = rows.join(alive.select("doc_id", "segment"), ["doc_id", "segment"])
+        return rows.drop("segment")
+
+    def postings(self, terms: Iterable[str] | None = None) -> DataFrame:
+        """doc_id, term, tf, len, positions: of some terms, or of all."""
+        return self._alive("postings", terms=None if terms is None else sorted(set(terms)))
+
+    def forward(self) -> DataFrame:
+        """The same rows in runs of documents."""
+        return self._alive("forward")
+
+    def table(self, name: str) -> DataFrame:
+        """`postings`, `documents`, `terms` or `stats`, a row of documents, terms, postings and avgdl."""
+        if name == "postings":
+            return self.postings()
+        if name == "stats":
+            told = [tuple(self.manifest[k] for k in ("documents", "terms", "postings", "avgdl"))]
+            return self.spark.createDataFrame(told, "documents long, terms long, postings long, avgdl double")
+        return self.spark.read.parquet(f"{self.path}/versions/{self.manifest['tables']}/{name}")
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str, anew: bool = False) -> Index:
         """The index of a folder's documents, built if the shared folder has none of these very files, or if it is to be made anew."""
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
         key = (spark.sparkContext.applicationId, fingerprint(docs))
-        if anew or key not in _built:
-            path = f"{shared_folder(spark)}/index-{VERSION}-{key[1]}"
-            if anew or not exists(spark, f"{path}/stats/_SUCCESS"):
-                cls.build(docs, path)
-            _built[key] = path
-        return cls(spark, _built[key])
+        path = _built.get(key, f"{shared_folder(spark)}/index-{VERSION}-{key[1]}")
+        if anew or (key not in _built and not cls.versions(spark, path)):
+            cls.build(docs, path).vacuum()
+        _built[key] = path
+        return cls(spark, path)
 
     def views(self) -> None:
         """Temporary views stored_postings, stored_terms, stored_documents, stored_stats."""
         for name in ("postings", "terms", "documents", "stats"):
             self.table(name).createOrReplaceTempView(f"stored_{name}")
-
-    def search(self, query: str | Iterable[str], model: str = "vector", k: int = 20) -> DataFrame:
-        """doc_id, score, matched, rank of the k best documents for a text or for terms: `vector` is the cosine with a binary query,
-        `bm25` has k1 1.2 and b 0.75. Only the query's terms are read; ties fall to the smaller id."""
-        terms = sorted(set(re.findall(r"[^\W\d_]{2,}", query.lower()) if isinstance(query, str) else query))
-        found = self.table("postings").where(F.col("term").isin(terms))
-        if model == "vector":
-            known = self.table("terms").where(F.col("term").isin(terms)).count()
-            sums = found.groupBy("doc_id").agg(F.sum("raw").alias("dot"), F.count("*").alias("matched")).where("dot > 0")
-            scored = sums.join(self.table("documents"), "doc_id").withColumn("score", F.col("dot") / (F.col("norm") * F.lit(max(1, known)) ** 0.5))
-        elif model == "bm25":
-            stats = self.table("stats").first()
-            of_terms = self.table("terms").where(F.col("term").isin(terms)).select("term", "df")
-            weight = F.ln(1 + (F.lit(stats.documents) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-            rest = K1 * (1 - B + B * F.col("len") / F.lit(stats.avgdl or 1.0))
-            parts = found.join(F.broadcast(of_terms), "term").join(self.table("documents"), "doc_id")  # a row for each query term
-            scored = parts.groupBy("doc_id").agg(F.sum(weight * F.col("tf") * (K1 + 1) / (F.col("tf") + rest)).alias("score"), F.count("*").alias("matched"))
-        else:
-            raise ValueError(f"no such model: {model}")
-        best = scored.orderBy(F.desc(F.round("score", 9)), "doc_id").limit(k).collect()  # k rows
-        rows = [(r.doc_id, float(r.score), int(r.matched), i) for i, r in enumerate(best, start=1)]
-        return self.spark.createDataFrame(rows, "doc_id long, score double, matched long, rank int")
