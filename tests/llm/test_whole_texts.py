@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from lexweave.llm import lm
 
@@ -166,6 +167,20 @@ def test_lm_repeats_equal_plain_counts():
     assert np.array_equal(every[1], np.bincount(gate[mine], hit[mine], minlength=lm.NO_GATE + 1))
 
 
+def test_lm_counts_of_repeats_are_whole():
+    """Counts over a byte in a block and over two bytes in the corpus come back as they are."""
+    text = "p q r " * 70_000 + "p q s " * 400 + "u v w " * 300
+    texts = [pa.table({"block": [i], "doc_id": [i], "held": [False], "text": [text]}) for i in range(2)]
+    back = lm._answered_pairs(pa.concat_tables([lm._sent(t, (1, 1, 1)) for t in texts]).filter(pc.field("kind") == 1))
+    keys, _, words, counts, total = lm._block(texts[0]).pairs()
+    (told,) = [c for block, c in zip(back["block"].to_pylist(), lm.blobs(back, "counts"), strict=True) if block == 0]
+    size = -(-len(keys) // 8)
+    at = np.unpackbits(np.frombuffer(told, np.uint8, size))[: len(keys)] > 0
+    numbers = lm.unplaned(told[size:], 4, np.uint32).reshape(3, -1).T.astype(int).tolist()
+    assert numbers == [[2 * t, 2 * a, 2 * b] for t, (a, b) in zip(total[at].tolist(), counts[at].tolist(), strict=True)]
+    assert [140_800, 140_000, 800] in numbers and [600, 598, 2] in numbers or [600, 600, 0] in numbers
+
+
 def test_lm_online_update_equals_a_plain_loop():
     r = np.random.default_rng(7)
     texts = [" ".join("w" for _ in range(n)) for n in (0, 5, 15, 16, 70)]
