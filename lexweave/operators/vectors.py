@@ -29,6 +29,8 @@ SAMPLE, ROUNDS, CELLS = 20_000, 12, 1024
 #: Rows and queries of a cell that one task compares.
 DEALT, ASKED = 8192, 4096
 BLOCK = 2048
+#: Bytes of queries that are broadcast to all rows; beyond, every one of some shares of the rows, SHARES a core, gets them by shuffle.
+SENT, SHARES = 32 << 20, 4
 #: Queries that the number of probed cells is calibrated on, and the recall asked for.
 CALIBRATED, RECALL = 128, 0.97
 
@@ -111,10 +113,37 @@ def exact(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
             for r in b.to_pylist():
                 yield top(np.array(r["q_ids"]), np.array(r["q_v"]).reshape(-1, r["q_dim"]), np.array(r["x_ids"]), np.array(r["x_v"]).reshape(-1, r["x_dim"]), k)
 
-    blocks = packed(queries, "q").join(packed(vectors, "x"), F.col("q_dim") == F.col("x_dim"))
+    asked, rows = packed(queries, "q"), packed(vectors, "x")
+    size = queries.agg(F.sum(F.coalesce(F.size("v"), F.lit(0))).alias("n")).first().n or 0
+    if 8 * size <= SENT:
+        blocks = rows.join(F.broadcast(asked), F.col("q_dim") == F.col("x_dim"))
+    else:  # each share of the rows gets all queries
+        shares = asked.sparkSession.sparkContext.defaultParallelism * SHARES
+        asked = asked.withColumn("q_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+        rows = rows.withColumn("x_share", F.pmod(F.xxhash64("x_ids"), F.lit(shares)).cast("int"))
+        blocks = rows.join(asked, (F.col("q_dim") == F.col("x_dim")) & (F.col("q_share") == F.col("x_share")))
     return best(blocks.mapInArrow(run, FOUND_SQL), k)
 
 
+def exact_within(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id, score, rank where a query is compared with the rows of its own set only, from queries and vectors (pair, doc_id, v).
+    A set's rows are dealt to shares of DEALT, and its queries go to each of them."""
+    large = vectors.groupBy("pair").count().select("pair", F.ceil(F.col("count") / DEALT).cast("int").alias("shares"))
+    of = lambda df: df.join(units(df.select("doc_id", "v")).dropDuplicates(["doc_id"]).withColumnRenamed("v", "u"), "doc_id").select("pair", "doc_id", F.col("u").alias("v"))
+    rows = of(vectors).join(large, "pair").withColumn("share", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int")).drop("shares")
+    asked = of(queries).join(large.withColumnRenamed("pair", "in_pair"), F.col("pair") == F.col("in_pair"))
+    asked = asked.withColumn("in_share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("in_pair", "in_share", F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+
+    def run(q: pa.Table, x: pa.Table) -> pa.Table:
+        parts = []
+        for dim in {len(v) for v in q["q"]} & {len(v) for v in x["v"]}:
+            one, other = q.filter(pa.array([len(v) == dim for v in q["q"]])), x.filter(pa.array([len(v) == dim for v in x["v"]]))
+            parts.append(top(one["query_id"].to_numpy(), matrix(one["q"]), other["doc_id"].to_numpy(), matrix(other["v"]), k))
+        return pa.Table.from_batches(parts, FOUND)
+
+    return best(asked.groupBy("in_pair", "in_share").cogroup(rows.groupBy("pair", "share")).applyInArrow(run, FOUND_SQL), k)
+
+
 def fitted(rows: np.ndarray, cells: int, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
     """Unit centroids of unit rows, by spherical k-means; a cell that loses all its rows is put on the row that fits its own cell worst."""
     chosen = rows[np.random.default_rng(seed).permutation(len(rows))[:cells]].copy()

@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.operators import fulltext, ranking
+from lexweave.operators import feedback, fulltext, ranking, stemming, vectors
+from lexweave.operators.vectors import VectorIndex
 from lexweave.plans import topics
 from lexweave.plans.dialect import STORED, add, render
 from lexweave.plans.registry import register
+from lexweave.sources.folders import exists, fingerprint, shared_folder
 from lexweave.sources.index import Index
 
 # the facts, as common table expressions
@@ -107,10 +109,79 @@ VIDF = (
 asked("q_vector_idf", "vector_idf", f"WITH {INDEX}, {TOPICS}, {VIDF} {ranked('vector_idf', 20)}")
 asked("q_sparse_query", "sparse", f"WITH {INDEX}, {TOPICS}, q AS (SELECT query_id, term, 1.0 / length(term) AS w FROM topic), qn AS (SELECT query_id, sqrt(sum(w * w)) AS qn FROM q GROUP BY query_id), s AS (SELECT q.query_id, r.doc_id, sum(q.w * r.raw) / (max(m.norm) * max(qn.qn)) AS score FROM q JOIN raw r ON r.term = q.term JOIN norm m ON m.doc_id = r.doc_id JOIN qn ON qn.query_id = q.query_id GROUP BY q.query_id, r.doc_id HAVING sum(q.w * r.raw) > 0) {ranked('s', 20)}")
 SEM = "sem AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, @dot(q.embedding | e.embedding) / (sqrt(@dot(q.embedding | q.embedding)) * sqrt(@dot(e.embedding | e.embedding))) AS score FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q JOIN embeddings e ON q.vec_id <> e.vec_id)"
-add("q_semantic_topk", f"WITH {SEM} {ranked('sem', 10)}")
-add("q_semantic_conj", f"WITH {TF}, {DF}, {TOPICS}, ok AS (SELECT tf.doc_id FROM tf JOIN (SELECT term FROM topic WHERE query_id = 1) t ON t.term = tf.term GROUP BY tf.doc_id HAVING count(*) >= 1), {SEM} SELECT query_id, doc_id, round(score, 5) AS score FROM sem WHERE doc_id IN (SELECT doc_id FROM ok)")
-RRF = "parts AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM vector UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM bm25), hybrid AS (SELECT query_id, doc_id, sum(1e0 / (60 + r)) AS score FROM parts WHERE r <= 60 GROUP BY query_id, doc_id)"
-asked("q_hybrid_rrf", "hybrid", f"WITH {INDEX}, {TOPICS}, {LEN}, {VECTOR}, {BM25}, {RRF} {ranked('hybrid', 20)}")
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+
+
+def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    found = vectors.exact(rows.where("doc_id % 50 = 0"), rows, 10)
+    totals = vectors.units(rows).count() - 1
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank", F.lit(totals).alias("total"))
+
+
+register("q_semantic_topk", _semantic, render(f"WITH {SEM} {ranked('sem', 10)}", 1))
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The stored inverted file of the folder's vectors, made once for these very files."""
+    rows = _vectors(spark, sf_dir)
+    path = f"{shared_folder(spark)}/vectors-{fingerprint(rows)}"
+    return VectorIndex(spark, path) if exists(spark, f"{path}/manifest") else VectorIndex.build(rows, path)
+
+
+def _semantic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_index(spark, sf_dir).search(_vectors(spark, sf_dir).where("doc_id % 50 = 0"), 10)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+register("q_semantic_ann", _semantic_ann)
+
+
+def _semantic_conj(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest among the documents that have both words of a pair. The queries take the pairs in turn and are compared with the
+    documents of their own pair only."""
+    index, rows = Index.of(spark, sf_dir), _vectors(spark, sf_dir)
+    pairs = topics.pairs(index)
+    if not pairs:
+        return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+    allowed = fulltext.search(index, {n: " ".join(two) for n, two in pairs.items()}, stems=False).select(F.col("query_id").alias("pair"), "doc_id")
+    own = rows.join(allowed, "doc_id").select("pair", "doc_id", "v")
+    asked = rows.where("doc_id % 50 = 0").withColumn("pair", 1 + (F.floor(F.col("doc_id") / 50) % len(pairs)))
+    found = vectors.exact_within(asked, own, 10)
+    return found.select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
+
+
+register(
+    "q_semantic_conj",
+    _semantic_conj,
+    render(
+        f"WITH {TF}, {DF}, {TOPICS}, {PAIRS}, {TOGETHER}, {SEM}, ok AS (SELECT s.* FROM sem s JOIN together t ON t.doc_id = s.doc_id AND t.query_id = 1 + (s.query_id // 50) % (SELECT max(place) - 1 FROM common)) "
+        "SELECT query_id, doc_id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ok) WHERE rank <= 10",
+        1,
+    ),
+)
+BY_SCORE = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r"
+RRF = (
+    f"parts AS (SELECT query_id, doc_id, {BY_SCORE} FROM vector UNION ALL SELECT query_id, doc_id, {BY_SCORE} FROM bm25 UNION ALL SELECT query_id // 50, doc_id, {BY_SCORE} FROM sem WHERE query_id BETWEEN 50 AND 1500), "
+    "hybrid AS (SELECT query_id, doc_id, sum(1e0 / (60 + r)) AS score FROM parts WHERE r <= 60 GROUP BY query_id, doc_id)"
+)
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector, bm25 and the nearest of a vector: topic n asks with vector 50 * n."""
+    index, rows = Index.of(spark, sf_dir), _vectors(spark, sf_dir)
+
+    def nearest() -> DataFrame:
+        asked = rows.where("doc_id % 50 = 0 AND doc_id BETWEEN 50 AND 1500")
+        return vectors.exact(asked, rows, ranking.DEPTH).select((F.col("query_id") / 50).cast("long").alias("query_id"), "doc_id", "score")
+
+    given = {n: dict.fromkeys(t, 1.0) for n, t in topics.topics(index).items()}
+    return ranking.best(ranking.fused(index, given, (nearest,)), 20).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank", "total")
+
+
+register("q_hybrid_rrf", _hybrid, render(f"WITH {INDEX}, {TOPICS}, {LEN}, {VECTOR}, {BM25}, {SEM}, {RRF} {ranked('hybrid', 20)}", 1))
 PRF = (
     "fb AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM vector) WHERE r <= 5), "
     "fn AS (SELECT query_id, count(*) AS fn FROM fb GROUP BY query_id), "
@@ -125,6 +196,36 @@ def _expanded(index: Index) -> DataFrame:
 
 by_index("q_rocchio", _expanded, f"WITH {INDEX}, {TOPICS}, {VECTOR}, {PRF} SELECT query_id, term, round(w, 6) AS w FROM cutq")
 asked("q_vector_prf", "vector_prf", f"WITH {INDEX}, {TOPICS}, {VECTOR}, {PRF}, pn AS (SELECT query_id, sqrt(sum(w * w)) AS qn FROM cutq GROUP BY query_id), prf AS (SELECT q.query_id, r.doc_id, sum(q.w * r.raw) / (max(m.norm) * max(pn.qn)) AS score FROM cutq q JOIN raw r ON r.term = q.term JOIN norm m ON m.doc_id = r.doc_id JOIN pn ON pn.query_id = q.query_id GROUP BY q.query_id, r.doc_id HAVING sum(q.w * r.raw) > 0) {ranked('prf', 20)}")
+JUDGED = "@hash(k.query_id * 100003 + k.doc_id) % 5"
+
+
+def feedback_sql(count: int = 3) -> str:
+    """Rounds of feedback, each the ranking of the vector that the one before leads to."""
+    out = ["v0 AS (SELECT t.query_id, t.term, 1e0 AS w FROM topic t JOIN idf i ON i.term = t.term)", "none AS (SELECT 0 AS query_id, 0 AS doc_id, 0 AS rank WHERE false)"]
+    for n in range(count):
+        out.append(f"n{n} AS (SELECT query_id, sqrt(sum(w * w)) AS qn FROM v{n} GROUP BY query_id)")
+        out.append(f"s{n} AS (SELECT v.query_id, r.doc_id, sum(v.w * r.raw) / (max(m.norm) * max(n.qn)) AS score FROM v{n} v JOIN raw r ON r.term = v.term JOIN norm m ON m.doc_id = r.doc_id JOIN n{n} n ON n.query_id = v.query_id GROUP BY v.query_id, r.doc_id HAVING sum(v.w * r.raw) > 0)")
+        out.append(f"k{n} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s{n}) WHERE rank <= 20)")
+        out.append(f"m{n} AS (SELECT k.query_id, k.doc_id, {JUDGED} >= 2 AS rel, count(*) OVER (PARTITION BY k.query_id, {JUDGED} >= 2) AS c FROM k{n} k WHERE {JUDGED} < 4)")
+        out.append(
+            f"v{n + 1} AS (SELECT query_id, term, w FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(w, 9) DESC, term) AS i FROM (SELECT query_id, term, sum(w) AS w FROM ("
+            f"SELECT query_id, term, w FROM v{n} UNION ALL SELECT m.query_id, r.term, CASE WHEN m.rel THEN 0.75e0 ELSE -0.15e0 END / m.c * r.raw / o.norm AS w FROM m{n} m JOIN raw r ON r.doc_id = m.doc_id JOIN norm o ON o.doc_id = m.doc_id) GROUP BY query_id, term) WHERE w > 0) WHERE i <= 20)"
+        )
+    rounds = " UNION ALL ".join(f"SELECT k.query_id, {n} AS round, k.rank, k.doc_id, round(k.score, 6) AS score, p.rank AS previous_rank FROM k{n} k LEFT JOIN {f'k{n - 1}' if n else 'none'} p ON p.query_id = k.query_id AND p.doc_id = k.doc_id" for n in range(count))
+    return f"WITH {INDEX}, {TOPICS}, {', '.join(out)} {rounds}"
+
+
+def _feedback(index: Index) -> DataFrame:
+    """Three rounds for every topic, judged by a hash of topic and document."""
+    given = {n: dict.fromkeys(t, 1.0) for n, t in topics.topics(index).items()}
+    grade = F.conv(F.substring(F.md5((F.col("query_id") * 100003 + F.col("doc_id")).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 5
+    pairs = index.table("documents").select("doc_id", F.explode(F.array(*(F.lit(n).cast("long") for n in given)) if given else F.expr("cast(array() as array<bigint>)")).alias("query_id"))
+    judged = pairs.where(grade < 4).select("query_id", "doc_id", (grade >= 2).alias("relevant"))
+    found = feedback.rounds(index, given, judged)
+    return found.select("query_id", "round", "rank", "doc_id", F.round("score", 6).alias("score"), "previous_rank")
+
+
+by_index("q_feedback_rounds", _feedback, feedback_sql())
 add("q_vector_diff", f"WITH {INDEX}, {TOPICS}, {VECTOR}, {PRF}, old AS (SELECT t.query_id, t.term, 1.0 / sqrt(k.known) AS w FROM topic t JOIN known k ON k.query_id = t.query_id) SELECT coalesce(o.query_id, c.query_id) AS query_id, coalesce(o.term, c.term) AS term, CASE WHEN o.term IS NULL THEN 'added' WHEN c.term IS NULL THEN 'dropped' WHEN abs(o.w - c.w) > 1e-9 THEN 'changed' ELSE 'same' END AS kind FROM old o FULL OUTER JOIN cutq c ON c.query_id = o.query_id AND c.term = o.term")
 add("q_explain_score", f"WITH {INDEX}, {TOPICS}, {VECTOR}, top AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM vector) WHERE r <= 3), part AS (SELECT top.query_id, top.doc_id, t.term, r.raw / (m.norm * sqrt(k.known)) AS c, top.score FROM top JOIN topic t ON t.query_id = top.query_id JOIN raw r ON r.term = t.term AND r.doc_id = top.doc_id JOIN norm m ON m.doc_id = top.doc_id JOIN known k ON k.query_id = top.query_id) SELECT query_id, doc_id, term, round(c, 6) AS contribution, round(sum(c) OVER (PARTITION BY query_id, doc_id ORDER BY round(c, 9) DESC, term ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS running, round(c / score, 6) AS share FROM part")
 by_index(
@@ -182,3 +283,14 @@ add("q_doc_filters", "SELECT o_orderkey, o_orderstatus FROM orders WHERE CAST(o_
 add("q_list_documents", "SELECT doc_id, source FROM documents WHERE lower(text) LIKE '%tion%' OR source LIKE 'src1%' ORDER BY doc_id LIMIT 20 OFFSET 40")
 add("q_prefix_page", f"WITH {TF}, {DF} SELECT term, df, (SELECT count(*) FROM df WHERE term LIKE 'th%') AS total FROM df WHERE term LIKE 'th%' ORDER BY length(term), term LIMIT 20 OFFSET 20")
 add("q_temp_document", f"WITH tf0 AS (SELECT doc_id, term, count(*) AS tf FROM @tokens GROUP BY doc_id, term), tf AS (SELECT * FROM tf0 UNION ALL SELECT -1, term, tf FROM tf0 WHERE doc_id = 0), {DF}, n AS (SELECT count(*) + 1 AS n FROM documents), {IDF} SELECT tf.term, tf.tf, idf.df, round(tf.tf * idf.idf, 6) AS raw FROM tf JOIN idf ON idf.term = tf.term WHERE tf.doc_id = -1")
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang and word of all distinct words of the documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
+    return docs.select("lang", F.explode(words).alias("word")).where(F.length("word") >= 2).distinct()
+
+
+register("q_stems", lambda spark, sf_dir: stemming.stems(_words(spark, sf_dir)))
+register("q_stem_conflation", lambda spark, sf_dir: stemming.conflated(stemming.stems(_words(spark, sf_dir))))

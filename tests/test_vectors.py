@@ -51,6 +51,10 @@ def test_exact_search(spark, monkeypatch):
     rows = clusters() + BAD
     asked = rows[:40] + BAD
     same(got(vectors.exact(table(spark, asked), table(spark, rows), 7)), plain(asked, rows, 7))
+    monkeypatch.setattr(vectors, "SENT", 0)  # too many queries to broadcast
+    same(got(vectors.exact(table(spark, asked), table(spark, rows), 7)), plain(asked, rows, 7))
+    plan = vectors.exact(table(spark, asked), table(spark, rows), 7)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_recall_of_the_inverted_file(spark, tmp_path, monkeypatch):
