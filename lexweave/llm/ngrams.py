@@ -32,7 +32,6 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -164,10 +163,10 @@ def first_pass(docs: DataFrame, parts: int, owners: int, percent: int) -> DataFr
     return identified(docs).mapInArrow(run, schema)
 
 
-def _shared(pdf: pd.DataFrame, owners: int) -> pd.DataFrame:
+def _shared(sent: pa.Table, owners: int) -> pa.Table:
     """How many shingles of a hash range each set shares with others, packed by what its key leaves modulo `owners`."""
-    shingle = np.frombuffer(b"".join(pdf["shingles"]), np.uint32)
-    key = np.concatenate([np.r_[0, np.frombuffer(t, np.int64)][np.frombuffer(w, np.uint16)] for w, t in zip(pdf["whose"], pdf["table"], strict=True)])
+    shingle = np.frombuffer(b"".join(sent["shingles"].to_pylist()), np.uint32)
+    key = np.concatenate([np.r_[0, np.frombuffer(t, np.int64)][np.frombuffer(w, np.uint16)] for w, t in zip(sent["whose"].to_pylist(), sent["table"].to_pylist(), strict=True)])
     order = np.argsort(shingle, kind="stable")
     shingle, key = shingle[order], key[order]
     first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
@@ -175,23 +174,24 @@ def _shared(pdf: pd.DataFrame, owners: int) -> pd.DataFrame:
     shared = key[np.repeat(several, np.diff(np.r_[first, len(key)]))]
     found, times = np.unique(shared[shared != 0], return_counts=True)
     to = found % owners
-    rows = [(int(p), times[to == p].astype(np.uint32).tobytes(), found[to == p].tobytes()) for p in np.unique(to)]
-    return pd.DataFrame(rows, columns=["part", "shingles", "table"])
+    parts = np.unique(to)
+    columns = [parts, [times[to == p].astype(np.uint32).tobytes() for p in parts], [found[to == p].tobytes() for p in parts]]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "shingles", "table"])
 
 
 def shared_in_beginnings(passed: DataFrame, owners: int) -> DataFrame:
     """high, shared: how many shingles of a set's beginning occur in other sets' beginnings, never too few. Postings and counts go
     packed, by hash range there and by set back."""
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(b, np.int64) for b in pdf["table"]])
+    def total(sent: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(b, np.int64) for b in sent["table"].to_pylist()])
         found, at = np.unique(keys, return_inverse=True)
-        times = np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["shingles"]])
-        return pd.DataFrame({"high": found, "shared": np.bincount(at, times, len(found)).astype(np.int64)})
+        times = np.concatenate([np.frombuffer(b, np.uint32) for b in sent["shingles"].to_pylist()])
+        return pa.table({"high": found, "shared": np.bincount(at, times, len(found)).astype(np.int64)})
 
-    counts = passed.where("kind = 0").select("part", "shingles", "whose", "table").groupBy("part").applyInPandas(lambda pdf: _shared(pdf, owners), "part int, shingles binary, table binary")
+    counts = passed.where("kind = 0").select("part", "shingles", "whose", "table").groupBy("part").applyInArrow(lambda t: _shared(t, owners), "part int, shingles binary, table binary")
     counts = counts.union(passed.where("kind = 1").select("part", "shingles", "table"))
-    return counts.groupBy("part").applyInPandas(total, "high long, shared long")
+    return counts.groupBy("part").applyInArrow(total, "high long, shared long")
 
 
 def survivor_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
