@@ -9,7 +9,7 @@ from collections import Counter
 from html.parser import HTMLParser
 from urllib.robotparser import RobotFileParser
 
-#: Elements whose text is not content, and elements that end a paragraph.
+#: Our own choice: elements whose text is not content, and elements that end a paragraph.
 HIDDEN = {"script", "style", "noscript", "template", "head", "nav", "footer", "aside", "form"}
 BLOCKS = {"p", "div", "article", "section", "li", "h1", "h2", "h3", "h4", "h5", "h6", "br", "td", "blockquote"}
 

@@ -14,7 +14,7 @@ from urllib.parse import urljoin, urlsplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Abbreviations after which a full stop ends no sentence.
+#: Our own choice: abbreviations after which a full stop ends no sentence.
 ABBREVIATIONS = {"e.g", "i.e", "etc", "fig", "eq", "al", "dr", "mr", "mrs", "prof", "vs", "cf", "no", "vol", "pp"}
 #: English number words.
 UNITS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}

@@ -9,11 +9,31 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexweave.operators.text import ABBREVIATIONS
 from lexweave.plans.registry import register
 from lexweave.sources.index import Index
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+
+
+def sentence_sql(words: str, joined: str, escaped) -> str:
+    """Sentences from a statement that gives (doc_id, p, i, tok), tok being a word with the blanks after it. A sentence ends at a mark with
+    its closers, unless a full stop stands after an abbreviation, a letter or a number, or a small letter follows."""
+    mark = escaped(r"([.!?…]+)[\x22\x27”»)\]]*[ \t\r\f]*$")
+    word = escaped(r"^[ \t\r\f]*(.*?)[.!?…]+[\x22\x27”»)\]]*[ \t\r\f]*$")
+    edges, short = escaped(r"^[(\x22\x27]+"), escaped(r"^(\p{L}|[0-9]+)$")
+    short = short.replace("{", "{{").replace("}", "}}")  # the macro is formatted
+    known = ", ".join(f"'{a}'" for a in sorted(ABBREVIATIONS))
+    like = f"word RLIKE '{short}'" if "listagg" in joined else f"regexp_matches(word, '{short}')"
+    small = "lower(substring(nxt, 1, 1)) = substring(nxt, 1, 1) AND upper(substring(nxt, 1, 1)) <> substring(nxt, 1, 1)"
+    window = "PARTITION BY doc_id, p ORDER BY i"
+    read = f"SELECT doc_id, p, i, tok, regexp_extract(tok, '{mark}', 1) AS mark, regexp_replace(lower(regexp_extract(tok, '{word}', 1)), '{edges}', '') AS word, coalesce(ltrim(lead(tok) OVER ({window})), '') AS nxt FROM ({words}) _w"
+    ends = f"SELECT *, CASE WHEN mark <> '' AND NOT (substring(mark, 1, 1) = '.' AND (word IN ({known}) OR {like})) AND NOT ({small}) THEN 1 ELSE 0 END AS e FROM ({read}) _r"
+    numbered = f"SELECT *, CAST(coalesce(sum(e) OVER ({window} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS j FROM ({ends}) _e"
+    return f"(SELECT doc_id, p, j, {joined} AS piece FROM ({numbered}) _n GROUP BY doc_id, p, j)"
+
+
 #: macro -> (Spark, DuckDB); {0}, {1}, ... are the arguments
 MACROS = {
     "words": (r"regexp_extract_all(lower({0}), '\\p{{L}}+', 0)", r"regexp_extract_all(lower({0}), '\p{{L}}+')"),
@@ -35,10 +55,18 @@ MACROS = {
     "hash": ("CAST(conv(substring(md5(CAST({0} AS STRING)), 1, 8), 16, 10) AS BIGINT)", "CAST(('0x' || substring(md5(CAST({0} AS VARCHAR)), 1, 8)) AS BIGINT)"),
     "second": ("CAST(unix_micros(CAST({0} AS TIMESTAMP)) / 1000000 AS BIGINT)", "CAST(floor(epoch_us({0}) / 1000000.0) AS BIGINT)"),
     "text": ("CAST({0} AS STRING)", "CAST({0} AS VARCHAR)"),
-    # the stretches of a text up to sentence marks: none is left out, so that lengths give places
+    # the sentences of a text by the rules of operators/text.py, each with the blanks after it: none is left out, so that lengths give places
     "pieces": (
-        r"(SELECT doc_id, p, j, piece FROM documents LATERAL VIEW posexplode(split(text, '\\n')) a AS p, par LATERAL VIEW posexplode(regexp_extract_all(par, '[^.!?]+[.!?]*|[.!?]+', 0)) b AS j, piece)",
-        r"(SELECT doc_id, p, unnest(range(len(ps))) AS j, unnest(ps) AS piece FROM (SELECT doc_id, p, regexp_extract_all(par, '[^.!?]+[.!?]*|[.!?]+') AS ps FROM (SELECT doc_id, unnest(range(len(pars))) AS p, unnest(pars) AS par FROM (SELECT doc_id, string_split(text, chr(10)) AS pars FROM documents))))",
+        sentence_sql(
+            r"SELECT doc_id, p, i, tok FROM documents LATERAL VIEW posexplode(split(text, '\\n')) a AS p, par LATERAL VIEW posexplode(regexp_extract_all(par, '[ \\t\\r\\f]*[^ \\t\\r\\f]+[ \\t\\r\\f]*|[ \\t\\r\\f]+', 0)) b AS i, tok",
+            "listagg(tok) WITHIN GROUP (ORDER BY i)",
+            lambda pattern: pattern.replace("\\", "\\\\"),
+        ),
+        sentence_sql(
+            r"SELECT doc_id, p, unnest(range(len(ts))) AS i, unnest(ts) AS tok FROM (SELECT doc_id, p, regexp_extract_all(par, '[ \t\r\f]*[^ \t\r\f]+[ \t\r\f]*|[ \t\r\f]+') AS ts FROM (SELECT doc_id, unnest(range(len(pars))) AS p, unnest(pars) AS par FROM (SELECT doc_id, string_split(text, chr(10)) AS pars FROM documents)))",
+            "string_agg(tok, '' ORDER BY i)",
+            lambda pattern: pattern,
+        ),
     ),
     "six": ("format_string('%.6f', CAST({0} AS DOUBLE))", "printf('%.6f', CAST({0} AS DOUBLE))"),
     "part": ("slice({0}, CAST({1} AS INT), CAST({2} AS INT))", "list_slice({0}, {1}, {1} + {2} - 1)"),

@@ -4,7 +4,14 @@ Segments are the turns of `conversations`; the dictionary is made of the terms o
 they stand as senses.
 """
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexweave.operators import commands, units
 from lexweave.plans.dialect import add
+from lexweave.plans.registry import register
 from lexweave.plans.retrieval import DF, TF
 
 # --- dictionary ------------------------------------------------------------------------------------------------------------
@@ -19,8 +26,39 @@ add("q_domain_affinity", f"WITH {DICT}, t AS (SELECT hw, sum(n) AS n FROM sense
 add("q_direct_translation", f"WITH {DICT}, first AS (SELECT hw, concat(lang, ':', hw) AS target FROM sense WHERE idx = 0) SELECT t.doc_id, @join(coalesce(f.target, t.term) | ' ' | t.pos) AS target FROM @tokens t LEFT JOIN first f ON f.hw = t.term GROUP BY t.doc_id")
 add("q_gloss_labels", "SELECT item_id, regexp_extract(text, '^([^ ]+)', 1) AS label, @size(@distinct(@words(text))) AS content FROM benchmark")
 add("q_candidate_ngrams", "WITH t AS (SELECT doc_id, @words(text) AS w FROM documents), i AS (SELECT doc_id, w, @each(@range(1 | @size(w))) AS i FROM t WHERE @size(w) > 0), k AS (SELECT doc_id, w, i, @each(@range(2 | 7)) AS k FROM i) SELECT doc_id, i - 1 AS pos, k AS n, @joined(@part(w | i | k)) AS gram FROM k WHERE i + k - 1 <= @size(w)")
-MULTI = "t AS (SELECT doc_id, pos, term FROM @tokens x), bi AS (SELECT a.doc_id, a.pos, concat(a.term, ' ', b.term) AS gram FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1), known AS (SELECT gram FROM bi GROUP BY gram HAVING count(DISTINCT doc_id) >= 5)"
-add("q_multiword_units", f"WITH {MULTI} SELECT bi.doc_id, bi.gram, count(*) AS n FROM bi JOIN known ON known.gram = bi.gram GROUP BY bi.doc_id, bi.gram")
+
+
+def _phrases(found: DataFrame) -> DataFrame:
+    """key: runs of two to four words that five documents or more have."""
+    places = found.select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at")).select("doc_id", "words", "at", F.explode(F.array(*map(F.lit, (2, 3, 4)))).alias("n"))
+    grams = places.where(F.col("at") + F.col("n") <= F.size("words")).select("doc_id", F.array_join(F.slice("words", F.col("at") + 1, F.col("n")), " ").alias("key"))
+    return grams.distinct().groupBy("key").count().where("count >= 5").select("key")
+
+
+def _multiword_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = units.units(docs, _phrases(units.runs(docs)))
+    return found.where("known").select("doc_id", "run", F.col("at").alias("place"), "size", "key")
+
+
+register(
+    "q_multiword_units",
+    _multiword_units,
+    r"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, run, string_split(ws, ' ') AS w FROM (
+    SELECT doc_id, unnest(range(len(rs))) AS run, unnest(rs) AS ws FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+(?: \p{L}+)*') AS rs FROM documents))),
+g AS (SELECT doc_id, run, w, unnest(range(len(w))) AS place FROM r),
+k AS (SELECT doc_id, run, place, n AS size, array_to_string(w[place + 1:place + n], ' ') AS key FROM g, (SELECT unnest([2, 3, 4]) AS n) WHERE place + n <= len(w)),
+known AS (SELECT key FROM k GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+best AS (SELECT doc_id, run, place, max(size) AS size, max_by(key, size) AS key FROM k JOIN known USING (key) GROUP BY doc_id, run, place),
+walk AS (
+  SELECT doc_id, run, CAST(0 AS BIGINT) AS place, len(w) AS len FROM r
+  UNION ALL
+  SELECT x.doc_id, x.run, x.place + coalesce(b.size, 1), x.len FROM walk x LEFT JOIN best b ON b.doc_id = x.doc_id AND b.run = x.run AND b.place = x.place WHERE x.place + coalesce(b.size, 1) < x.len)
+SELECT b.doc_id, b.run, b.place, b.size, b.key FROM walk x JOIN best b ON b.doc_id = x.doc_id AND b.run = x.run AND b.place = x.place
+""",
+)
 add("q_derivation", f"WITH {DICT}, suffix AS (SELECT * FROM (VALUES ('ly', 0.75e0), ('ed', 0.75e0), ('ing', 0.75e0), ('er', 0.4e0), ('tion', 0.4e0)) AS s(ending, confidence)) SELECT e.hw, b.hw AS base, s.ending, s.confidence FROM entry e JOIN suffix s ON right(e.hw, length(s.ending)) = s.ending JOIN entry b ON b.hw = substring(e.hw, 1, length(e.hw) - length(s.ending))")
 add("q_preposition_map", "SELECT word, kase FROM (VALUES ('of', 'gen'), ('to', 'dat'), ('with', 'ins'), ('in', 'loc'), ('on', 'loc'), ('for', 'gen'), ('by', 'ins'), ('from', 'gen')) AS t(word, kase)")
 add("q_reorder", "SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN term LIKE '%ly' THEN pos + 1.5e0 ELSE pos END, pos) AS place FROM @tokens x")
@@ -42,21 +80,26 @@ add("q_tm_apply", "WITH s AS (SELECT conv_id, turn, trim(@rr(lower(text) | '[^\\
 add("q_tm_page", "WITH s AS (SELECT conv_id, turn, trim(@rr(lower(text) | '[^\\p{L}\\p{N}]+' | ' ')) AS norm FROM conversations) SELECT conv_id, turn, norm FROM s WHERE norm LIKE '%the%' ORDER BY conv_id DESC, turn DESC LIMIT 20 OFFSET 20")
 # --- commands and speech ---------------------------------------------------------------------------------------------------
 CATALOG = "catalog AS (SELECT * FROM (VALUES ('play', 'start reading'), ('pause', 'stop reading'), ('next', 'next section'), ('back', 'previous section'), ('faster', 'read faster'), ('slower', 'read slower'), ('goto', 'go to section'), ('repeat', 'repeat that')) AS t(command, phrase))"
-SAID = "said AS (SELECT conv_id, turn, trim(@rr(lower(text) | '[^a-z]+' | ' ')) AS u FROM conversations)"
 add("q_command_catalog", f"WITH {CATALOG} SELECT command, phrase, length(phrase) AS len FROM catalog")
-add("q_command_template", f"WITH {CATALOG}, {SAID} SELECT s.conv_id, s.turn, c.command, round(length(c.phrase) / CAST(length(s.u) AS DOUBLE), 6) AS coverage FROM said s JOIN catalog c ON concat(' ', s.u, ' ') LIKE concat('% ', c.phrase, ' %')")
-# the best of three ratios over sorted token sets: what both have, that with the rest of either, and those two
-SETS = "ts AS (SELECT s.conv_id, s.turn, c.command, @sorted(@distinct(@all(s.u | '[^ ]+' | 0))) AS a, @sorted(@distinct(@all(c.phrase | '[^ ]+' | 0))) AS b FROM said s CROSS JOIN catalog c), tj AS (SELECT conv_id, turn, command, @joined(@sorted(@common(a | b))) AS shared, @joined(@sorted(@except(a | b))) AS x, @joined(@sorted(@except(b | a))) AS y FROM ts), tr AS (SELECT conv_id, turn, command, shared, trim(concat(shared, ' ', x)) AS p, trim(concat(shared, ' ', y)) AS q FROM tj)"
 
 
-def _ratio(a: str, b: str) -> str:
-    return f"CASE WHEN greatest(length({a}), length({b})) = 0 THEN 0e0 ELSE 100e0 * (1 - levenshtein({a}, {b}) / CAST(greatest(length({a}), length({b})) AS DOUBLE)) END"
+def _commands(spark: SparkSession, sf_dir: str, strict: bool = False) -> DataFrame:
+    """The turns matched with the catalogue and the thirty commonest openings of turns, each a command of its own."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    opening = F.regexp_extract(F.lower("text"), r"^\P{L}*(\p{L}+ \p{L}+)", 1).alias("opening")
+    common = [r.opening for r in turns.select(opening).where("opening <> ''").groupBy("opening").count().orderBy(F.desc("count"), "opening").limit(30).collect()]
+    return commands.matched(turns, (*commands.CATALOGUE, *((f"open {o}", o) for o in common)), strict=strict)
+
+
+def _likest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likest phrase of the catalogue alone, and how like it is."""
+    return commands.likest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-FUZZY = f"{CATALOG}, {SAID}, {SETS}, f AS (SELECT conv_id, turn, command, greatest({_ratio('p', 'q')}, CASE WHEN shared = '' THEN 0e0 ELSE greatest({_ratio('shared', 'p')}, {_ratio('shared', 'q')}) END) AS ratio FROM tr), b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(ratio, 9) DESC, command) AS i FROM f)"
-add("q_command_fuzzy", f"WITH {FUZZY} SELECT conv_id, turn, command, round(ratio, 4) AS ratio FROM b WHERE i = 1")
-add("q_command_match", f"WITH {FUZZY} SELECT conv_id, turn, CASE WHEN ratio >= 82 THEN command WHEN ratio >= 30 THEN concat('maybe:', command) END AS command FROM b WHERE i = 1")
-add("q_recognize_flow", f"WITH {FUZZY} SELECT CASE WHEN ratio >= 90 THEN 'strict' WHEN ratio >= 82 THEN 'match' WHEN ratio >= 30 THEN 'suggest' ELSE 'reject' END AS outcome, count(*) AS n FROM b WHERE i = 1 GROUP BY 1")
+register("q_command_template", lambda spark, sf_dir: _commands(spark, sf_dir).where("method = 'template'").select("conv_id", "turn", "command", F.col("score").alias("coverage"), F.to_json("slots").alias("slots")))
+register("q_command_fuzzy", _likest)
+register("q_command_match", lambda spark, sf_dir: _commands(spark, sf_dir).select("conv_id", "turn", "command", "method", "score", F.array_join("others", ",").alias("others")))
+register("q_recognize_flow", lambda spark, sf_dir: _commands(spark, sf_dir, strict=True).groupBy("method").count().withColumnRenamed("count", "n"))
 add("q_macro_validate", f"WITH {CATALOG}, step AS (SELECT * FROM (VALUES (1, 'play'), (1, 'faster'), (2, 'next'), (2, 'fly')) AS t(macro, command)) SELECT s.macro, bool_and(c.command IS NOT NULL) AS valid FROM step s LEFT JOIN catalog c ON c.command = s.command GROUP BY s.macro")
 add("q_asr_filter", "WITH w AS (SELECT conv_id, turn, @words(text) AS w FROM conversations) SELECT conv_id, turn, CASE WHEN @size(w) = 0 THEN 'empty' WHEN @size(w) >= 6 AND @size(@distinct(w)) * 3 <= @size(w) THEN 'repetition' ELSE 'kept' END AS outcome FROM w")
 add("q_align_offsets", "SELECT conv_id, turn, @long(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS start FROM conversations")

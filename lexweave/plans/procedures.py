@@ -7,18 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexweave.operators import pages, significance, text
+from lexweave.operators import latent, pages, significance, spoken, text, timing, transcription
 from lexweave.plans.registry import QUERIES, register
 from lexweave.sources import snapshot
 from lexweave.sources.folders import shared_folder
-from lexweave.sources.index import Index
+from lexweave.sources.index import Index, tokens
 from lexweave.streaming import events
 
 
-#: Terms of the latent space: its matrix of term by term is held by one task.
-LSA_TERMS = 2000
-
-
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -105,21 +101,44 @@ def _bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lsa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three singular values and the documents' places: the commonest terms, LSA_TERMS at most, as columns of a distributed matrix."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    index = Index.of(spark, sf_dir)
-    top = index.table("terms").orderBy(F.desc("cf"), "term").limit(LSA_TERMS).select("term")
-    numbered = top.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("i"))  # LSA_TERMS rows
-    size = numbered.count()
-    cells = index.table("postings").join(F.broadcast(numbered), "term").select("doc_id", F.struct("i", F.col("tf").cast("double").alias("v")).alias("c"))
-    rows = cells.groupBy("doc_id").agg(F.sort_array(F.collect_list("c")).alias("c"))
-    matrix = IndexedRowMatrix(rows.rdd.map(lambda r: IndexedRow(r.doc_id, Vectors.sparse(size, [(x.i, x.v) for x in r.c]))))
-    svd = matrix.computeSVD(3, computeU=True)
-    s = svd.s.toArray().tolist()
-    places = svd.U.rows.map(lambda r: (r.index, *(float(x * y) for x, y in zip(r.vector.toArray(), s, strict=False))))
-    return spark.createDataFrame(places, "doc_id long, x double, y double, z double")
+    """The documents' places on three latent axes, and what share of the counts each axis explains."""
+    counts = Index.of(spark, sf_dir).forward().select("doc_id", "term", "tf")
+    loadings, _, shares = latent.axes(counts)
+    return latent.folded(counts, loadings).select("doc_id", *(F.round(c, 6).alias(c) for c in ("c0", "c1", "c2")), *(F.lit(round(x, 9)).alias(f"share_{i}") for i, x in enumerate(shares)))
+
+
+def _lsa_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's items, which the axes weren't made from, folded in."""
+    loadings, _, _ = latent.axes(Index.of(spark, sf_dir).forward().select("doc_id", "term", "tf"))
+    items = tokens(_read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return latent.folded(items, loadings).select(F.col("doc_id").alias("item_id"), *(F.round(c, 6).alias(c) for c in ("c0", "c1", "c2")))
+
+
+def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as it is read aloud, and how many stretches of it are said in other words."""
+
+    def said(t: str | None) -> dict:
+        own = spoken.speak(t)
+        return {"spoken": own.text, "replaced": sum(words is not None for *_, words in spoken.stretches(t or "", spoken.Options()))}
+
+    found = text.per_row(_read(spark, sf_dir, "documents"), ["text"], said, "struct<spoken: string, replaced: int>", "doc_id")
+    return found.select("doc_id", "out.*")
+
+
+def _transcribed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct words of English documents in Cyrillic."""
+    docs = _read(spark, sf_dir, "documents").where("lang = 'en'")
+    return transcription.transcribed(docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)))).alias("word")))
+
+
+def _align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as one spoken text whose turns are read in chunks: when its words are heard, if a word lasts as long as it has
+    letters and the reader says digits by name."""
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    spoken = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]).alias("chunks"))
+    spans = "array<struct<begin: int, stop: int, start: double, end: double>>"
+    found = text.per_row(spoken, ["chunks"], timing.read_aloud, spans, "conv_id")
+    return found.select("conv_id", F.posexplode("out").alias("i", "s")).select("conv_id", "i", "s.begin", "s.stop", F.round("s.start", 3).alias("start"), F.round("s.end", 3).alias("end"))
 
 
 def _language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,6 +166,10 @@ register("q_permutation", _permutation)
 register("q_wilcoxon", _wilcoxon)
 register("q_bootstrap", _bootstrap)
 register("q_lsa", _lsa)
+register("q_spoken_text", _spoken)
+register("q_transcribe", _transcribed)
+register("q_lsa_project", _lsa_project)
+register("q_align", _align)
 register("q_mlp_lang", _language_model)
 register("q_stream_progress", events.progress)
 register("q_circuit_breaker", events.circuit_breaker)

@@ -4,7 +4,19 @@ from lexweave.plans.dialect import add
 from lexweave.plans.retrieval import DF, IDF, N, TF
 
 # --- pages -----------------------------------------------------------------------------------------------------------------
-VISIBLE = r"trim(@rr(@rr(@rr(@rr(html | '(?is)<(script\|style\|noscript\|template\|head)[^>]*>.*?</(script\|style\|noscript\|template\|head)>' | ' ') | '(?s)<!--.*?-->' | ' ') | '<[^>]*>' | ' ') | '[ \t\r\n]+' | ' '))".replace("\\|", "|")
+#: Named entities that are decoded, each once, the ampersand last.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "#39": "''", "apos": "''", "nbsp": " ", "middot": "·", "copy": "©", "reg": "®", "mdash": "—", "ndash": "–", "hellip": "…", "laquo": "«", "raquo": "»", "amp": "&"}
+
+
+def decoded(text: str) -> str:
+    for name, sign in ENTITIES.items():
+        text = f"replace({text}, '&{name};', '{sign}')" if sign != "''" else f"replace({text}, '&{name};', chr(39))"
+    return text
+
+
+VISIBLE = r"trim(@rr(@DECODED | '[ \t\r\n]+' | ' '))"
+STRIPPED = r"@rr(@rr(@rr(html | '(?is)<(script\|style\|noscript\|template\|head)[^>]*>.*?</(script\|style\|noscript\|template\|head)>' | ' ') | '(?s)<!--.*?-->' | ' ') | '<[^>]*>' | ' ')".replace("\\|", "|")
+VISIBLE = VISIBLE.replace("@DECODED", decoded(STRIPPED))
 add("q_html_to_text", f"SELECT page_id, {VISIBLE} AS text FROM pages")
 add("q_html_title", "SELECT page_id, trim(coalesce(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), regexp_extract(html, '<h1>([^<]*)</h1>', 1))) AS title FROM pages")
 add("q_looks_html", "SELECT doc_id, @like(lower(substring(text, 1, 500)) | '<(html|body|p|div|!doctype)') AS html FROM documents UNION ALL SELECT -page_id - 1, @like(lower(substring(html, 1, 500)) | '<(html|body|p|div|!doctype)') FROM pages")
@@ -62,7 +74,13 @@ add("q_cache_evict", "WITH e AS (SELECT event_id, value, ts, @long(floor(@second
 add("q_position_clamp", "SELECT event_id, greatest(0, least(@long(event_id * 3 - 100), 20000)) AS position FROM events")
 # --- languages -------------------------------------------------------------------------------------------------------------
 GRAMS = "wc AS (SELECT doc_id, lang, concat('_', term, '_') AS w, count(*) AS c FROM (SELECT doc_id, lang, @each(@words(text)) AS term FROM documents) t WHERE length(term) >= 2 GROUP BY doc_id, lang, concat('_', term, '_')), pc AS (SELECT doc_id, lang, w, c, @each(@range(1 | length(w))) AS p FROM wc), kc AS (SELECT doc_id, lang, w, c, p, @each(@range(1 | least(5, length(w) - p + 1))) AS k FROM pc), gram AS (SELECT doc_id, lang, substring(w, @int(p), @int(k)) AS gram, @long(sum(c)) AS c FROM kc GROUP BY doc_id, lang, substring(w, @int(p), @int(k)))"
-PROFILES = "prof AS (SELECT lang, gram, r FROM (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(c) DESC, gram) - 1 AS r FROM gram WHERE doc_id % 2 = 0 GROUP BY lang, gram) WHERE r < 300), own AS (SELECT doc_id, lang, gram, r FROM (SELECT doc_id, lang, gram, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, gram) - 1 AS r FROM gram WHERE doc_id % 2 = 1) WHERE r < 300)"
+# profiles need the words of a language once, however many documents have them; only the documents that are told need grams of their own
+PROFILES = (
+    "lw AS (SELECT lang, w, sum(c) AS c FROM wc WHERE doc_id % 2 = 0 GROUP BY lang, w), lp1 AS (SELECT lang, w, c, @each(@range(1 | length(w))) AS p FROM lw), lk AS (SELECT lang, w, c, p, @each(@range(1 | least(5, length(w) - p + 1))) AS k FROM lp1), "
+    "lg AS (SELECT lang, substring(w, @int(p), @int(k)) AS gram, @long(sum(c)) AS c FROM lk GROUP BY lang, substring(w, @int(p), @int(k))), "
+    "prof AS (SELECT lang, gram, i - 1 AS r FROM (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY c DESC, gram) AS i FROM lg) WHERE i <= 300), "
+    "own AS (SELECT doc_id, lang, gram, i - 1 AS r FROM (SELECT doc_id, lang, gram, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, gram) AS i FROM gram WHERE doc_id % 2 = 1) WHERE i <= 300)"
+)
 DIST = "dist AS (SELECT o.doc_id, o.lang, l.lang AS guess, @long(sum(coalesce(abs(o.r - p.r), 300))) AS d, count(*) AS n FROM own o CROSS JOIN (SELECT DISTINCT lang FROM prof) l LEFT JOIN prof p ON p.lang = l.lang AND p.gram = o.gram GROUP BY o.doc_id, o.lang, l.lang), best AS (SELECT doc_id, lang, guess, d, n, lead(d) OVER (PARTITION BY doc_id ORDER BY d, guess) AS second, row_number() OVER (PARTITION BY doc_id ORDER BY d, guess) AS i FROM dist)"
 LANGS = f"{GRAMS}, {PROFILES}, {DIST}"
 add("q_ngrams", f"WITH {GRAMS} SELECT lang, gram, @long(sum(c)) AS n FROM gram GROUP BY lang, gram")

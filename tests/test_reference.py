@@ -2,6 +2,8 @@
 
 import math
 
+import duckdb
+
 import pytest
 
 from lexweave.operators import significance, text
@@ -119,18 +121,40 @@ def test_textrank_weighs_terms():
 
 
 def test_sentence_weights_by_hand(spark, tmp_path):
-    docs = [(1, "alpha beta beta. gamma!\nalpha 1.5 delta.", "en", "a", 1), (2, "beta only.", "en", "a", 1)]
+    docs = [(1, "alpha beta beta. Gamma!\nalpha 1.5 delta.", "en", "a", 1), (2, "beta only.", "en", "a", 1)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = rows(spark, str(tmp_path), "q_sentence_scores", "doc_id", "i")
     w = lambda tf: 0.5 * (1 + tf / 2) * math.log(2)  # noqa: E731  alpha stands twice, gamma and delta once; beta is in both documents
-    # pieces of document 1: [alpha beta beta.] at 0, [ gamma!] at 16, [alpha 1.] and [5 delta.] at 24 and 32 of 40 characters
+    # sentences of document 1: [alpha beta beta. ] at 0, [Gamma!] at 17, [alpha 1.5 delta.] at 24 of 40 characters
     assert abs(got[1, 0].w - w(2)) < 1e-6
-    assert abs(got[1, 1].w - (1 - 16 / 40) * (1 - 16 / 23) * w(1)) < 1e-6
-    assert abs(got[1, 2].w - (1 - 24 / 40) * w(2)) < 1e-6
-    assert abs(got[1, 3].w - (1 - 32 / 40) * (1 - 8 / 16) * w(1)) < 1e-6
+    assert abs(got[1, 1].w - (1 - 17 / 40) * (1 - 17 / 23) * w(1)) < 1e-6
+    assert abs(got[1, 2].w - (1 - 24 / 40) * (w(2) + w(1))) < 1e-6 and (1, 3) not in got
     assert abs(got[1, 0].w_sqrt - w(2) / math.sqrt(3)) < 1e-6 and abs(got[1, 0].w_linear - w(2) / 3) < 1e-6
 
 
+TEXTS = [
+    "One. Two! Three? Four", "See e.g. this. And i.e. that.", "It is 1.5 m. A. S. Pushkin wrote. Done", 'He said "Go." Then (left.) Now', "a. small. letters. Big.", "No end\n\nNew line. \t Tail  ",
+    "", "   ", "Wait... what? Wait... What?", "Mr. Smith met Dr. Jones. They left.", "No. 5 is alive. Version 2. Next", "x! y! Z", "Fin…  Ende", "(e.g. Foo) \"vol. Two\". End.", "\n lead. Ok",
+]
+
+
+def test_sentences_of_the_plans_are_those_of_the_splitter(spark):
+    from lexweave.plans.dialect import render
+
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").createOrReplaceTempView("documents")
+    base = duckdb.connect()
+    base.execute("CREATE TABLE documents AS SELECT * FROM (VALUES " + ", ".join(["(?, ?)"] * len(TEXTS)) + ") t(doc_id, text)", [x for row in enumerate(TEXTS) for x in row])
+    query = "SELECT doc_id, p, j, piece FROM @pieces q"
+    for found in (sorted(map(tuple, spark.sql(render(query, 0)).collect())), sorted(base.execute(render(query, 1)).fetchall())):
+        own = {}
+        for i, p, _, piece in found:
+            own.setdefault(i, []).append((p, piece))
+        for i, t in enumerate(TEXTS):
+            pieces = own.get(i, [])
+            assert [x.strip() for _, x in pieces if x.strip()] == [t[a:b] for a, b in text.sentences(t)], t
+            assert ["".join(x for p, x in pieces if p == n) for n in range(t.count("\n") + 1)] == t.split("\n")
+
+
 def test_snapshot(spark, tmp_path):
     from lexweave.sources import snapshot
 
