@@ -46,7 +46,7 @@ PERCENT = 75
 #: l as a share of the set, in percent: more sends more shingles and leaves fewer survivors.
 DEPTH = 25
 #: Postings of a task of step 1, and those a task gathers before it sends them on; shingles in a block of candidates.
-POSTINGS, GATHERED, BLOCK = 1_500_000, 6_000_000, 1 << 18
+POSTINGS, GATHERED, BLOCK = 1_500_000, 3_000_000, 1 << 18
 #: Bytes of text for each shingle, to judge the number of tasks.
 BYTES = 7
 #: As many survivors as this are broadcast to the texts, 4 MB; where there are more, texts are shuffled to them.
