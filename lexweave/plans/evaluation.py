@@ -1,11 +1,21 @@
 """Retrieval evaluation: judgments, metrics as window expressions, pooling, tests of significance.
 
-Topics are five groups of three terms; two runs rank their documents by tf and by BM25-like saturation. A document's grade, 0 to 3,
+Topics are thirty groups of three terms; two runs rank their documents by tf and by BM25-like saturation. A document's grade, 0 to 3,
 comes from a hash of topic and document, so that judgments are fixed and independent of any ranking; a fifth is unjudged.
 """
 
-from lexweave.plans.dialect import add
-from lexweave.plans.retrieval import BM25, DF, INDEX, LEN, TF, TOPICS, VECTOR
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from lexweave.operators import ranking, significance
+from lexweave.plans import topics
+from lexweave.plans.dialect import add, render
+from lexweave.plans.registry import register
+from lexweave.plans.retrieval import BM25, DF, EXPANDED, INDEX, LEN, PRF, TF, TOPICS, VECTOR, VIDF
+from lexweave.sources.folders import checkpointed
+from lexweave.sources.index import Index
 
 RUNS = (
     "run AS (SELECT name, query_id, doc_id, score, row_number() OVER (PARTITION BY name, query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM "
@@ -67,13 +77,72 @@ add("q_compare_runs", f"WITH {BASE}, {HITS}, {SCORES}, {PAIRED} SELECT count(*)
 add("q_compare_baseline", f"WITH {BASE}, {HITS}, {SCORES} SELECT name, query_id, round(ap, 6) AS ap, round(ap - max(CASE WHEN name = 'vector' THEN ap END) OVER (PARTITION BY query_id), 6) AS delta FROM sc")
 add("q_ttest_stat", f"WITH {BASE}, {HITS}, {SCORES}, {PAIRED} SELECT round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t, count(*) AS n FROM d")
 add("q_cohens_dz", f"WITH {BASE}, {HITS}, {SCORES}, {PAIRED} SELECT round(avg(d) / stddev_samp(d), 6) AS dz FROM d")
-add("q_holm", "WITH p AS (SELECT query AS id, (@hash(query) % 1000) / 20000e0 AS p FROM (SELECT @each(@range(1 | 21)) AS query)), o AS (SELECT *, row_number() OVER (ORDER BY p, id) AS i, count(*) OVER () AS m FROM p) SELECT id, round(p, 6) AS p, round(least(1e0, max((m - i + 1) * p) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS corrected FROM o")
+MODELS = ("vector", "vector_idf", "vector_prf", "bm25", "hybrid")
+
+
+def runs(index: Index, models: tuple[str, ...] = MODELS, depth: int = 100) -> DataFrame:
+    """name, query_id, doc_id, rank of the rankers over the topics."""
+    given = {n: dict.fromkeys(t, 1.0) for n, t in topics.topics(index).items()}
+    out = None
+    for model in models:
+        own = ranking.rank(index, given, model, depth).select(F.lit(model).alias("name"), "query_id", "doc_id", "rank")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def precisions(index: Index) -> dict[str, dict[int, float]]:
+    """Average precision by ranker and topic, for topics with a relevant document: rankers times topics of numbers."""
+    grade = F.conv(F.substring(F.md5((F.col("query_id") * 100003 + F.col("doc_id")).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 5
+    found = checkpointed(runs(index)).withColumn("rel", grade.isin(2, 3).cast("int"))
+    all_of = found.where("rel = 1").groupBy("query_id").agg(F.countDistinct("doc_id").alias("r"))
+    hits = F.sum("rel").over(Window.partitionBy("name", "query_id").orderBy("rank"))
+    rows = found.withColumn("hits", hits).groupBy("name", "query_id").agg(F.sum(F.col("rel") * F.col("hits") / F.col("rank")).alias("s")).join(all_of, "query_id").collect()
+    out: dict[str, dict[int, float]] = {}
+    for r in rows:
+        out.setdefault(r.name, {})[r.query_id] = r.s / r.r
+    return out
+
+
+def _compared(index: Index) -> DataFrame:
+    """All pairs of rankers on the topics that both have: difference, ties, permutation p and its correction over all pairs, t and effect."""
+    found, rows = precisions(index), []
+    names = [m for m in MODELS if m in found]
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            both = sorted(found[a].keys() & found[b].keys())
+            d = [found[a][q] - found[b][q] for q in both]
+            t, p_t = significance.student(d)
+            rows.append((a, b, len(d), sum(d) / len(d) if d else 0.0, sum(abs(x) < 1e-12 for x in d), significance.permutation(d) if d else 1.0, significance.wilcoxon(d), t, p_t, significance.effect(d)))
+    corrected = significance.holm([r[5] for r in rows])
+    schema = "a string, b string, topics int, delta double, ties int, p double, p_wilcoxon double, t double, p_t double, d_z double, corrected double"
+    return index.spark.createDataFrame([(*r, c) for r, c in zip(rows, corrected, strict=True)], schema)
+
+
+register("q_compare_all", lambda spark, sf_dir: _compared(Index.of(spark, sf_dir)))
+register("q_holm", lambda spark, sf_dir: _compared(Index.of(spark, sf_dir)).select("a", "b", "p", "corrected"))
 add("q_duplicate_results", f"WITH {BASE} SELECT name, query_id, doc_id, count(*) AS times FROM (SELECT * FROM run100 UNION ALL SELECT * FROM run100 WHERE rank <= 2) GROUP BY name, query_id, doc_id HAVING count(*) > 1")
 add("q_query_drilldown", f"WITH {BASE} SELECT q.query_id, q.doc_id, coalesce(v.rank, 0) AS rank, q.is_rel, q.gain FROM qrel q LEFT JOIN (SELECT * FROM run100 WHERE name = 'vector') v ON v.query_id = q.query_id AND v.doc_id = q.doc_id WHERE v.doc_id IS NOT NULL OR q.is_rel")
 add("q_trec_run", f"WITH {BASE} SELECT concat(@text(query_id), ' Q0 ', @text(doc_id), ' ', @text(rank), ' ', @six(round(score, 6)), ' ', name) AS line FROM run100")
 add("q_trec_qrels", f"WITH {BASE} SELECT concat(@text(query_id), ' 0 ', @text(doc_id), ' ', @text(gain)) AS line FROM qrel")
 add("q_pool_merge", f"WITH {BASE}, lists AS (SELECT query_id, doc_id, name AS source, rank, 1 AS precedence FROM run WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, 'oracle', 1, 2 FROM qrel WHERE gain = 3 UNION ALL SELECT query_id, doc_id, 'random', 1, 3 FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY md5(concat('7:', @text(query_id), ':', @text(doc_id)))) AS i FROM qrel) WHERE i <= 3) SELECT query_id, doc_id, min(rank) AS depth, CASE min(precedence) WHEN 1 THEN 'run_union' WHEN 2 THEN 'oracle' ELSE 'random' END AS source, count(*) AS lists FROM lists GROUP BY query_id, doc_id")
-add("q_pool_build", f"WITH {BASE} SELECT query_id, doc_id, min(rank) AS depth, count(*) AS runs FROM run WHERE rank <= 20 GROUP BY query_id, doc_id")
+POOLED = ("vector", "vector_idf", "vector_prf", "bm25")
+
+
+def _pooled(index: Index) -> DataFrame:
+    """The twenty best of four rankers for every topic: how many have each document, and its best rank."""
+    return runs(index, POOLED, 20).groupBy("query_id", "doc_id").agg(F.min("rank").alias("depth"), F.count("*").alias("runs"))
+
+
+_BY = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r"
+register(
+    "q_pool_build",
+    lambda spark, sf_dir: _pooled(Index.of(spark, sf_dir)),
+    render(
+        f"WITH {INDEX}, {TOPICS}, {LEN}, {VECTOR}, {BM25}, {VIDF}, {PRF}, {EXPANDED}, lists AS ({' UNION ALL '.join(f'SELECT query_id, doc_id, {_BY} FROM {t}' for t in ('vector', 'bm25', 'vector_idf', 'prf'))}) "
+        "SELECT query_id, doc_id, min(r) AS depth, count(*) AS runs FROM lists WHERE r <= 20 GROUP BY query_id, doc_id",
+        1,
+    ),
+)
 add("q_pool_upsert", f"WITH {BASE}, old AS (SELECT query_id, doc_id, rank AS depth, 1 AS src FROM run WHERE name = 'vector' AND rank <= 10), new AS (SELECT query_id, doc_id, rank AS depth, 2 AS src FROM run WHERE name = 'bm25' AND rank <= 10) SELECT query_id, doc_id, min(depth) AS depth, min(src) AS src FROM (SELECT * FROM old UNION ALL SELECT * FROM new) GROUP BY query_id, doc_id")
 add("q_pool_stats", f"WITH {BASE}, p AS (SELECT DISTINCT name, query_id, doc_id FROM run WHERE rank <= 10) SELECT p.name, count(*) AS entries, count(CASE WHEN q.is_rel THEN 1 END) AS relevant, round(count(CASE WHEN q.is_rel THEN 1 END) / CAST(count(*) AS DOUBLE), 6) AS relevant_rate FROM p LEFT JOIN qrel q ON q.query_id = p.query_id AND q.doc_id = p.doc_id GROUP BY p.name")
 ASSESSED = "a AS (SELECT doc_id % 40 AS query_id, doc_id, x.assessor, @hash(doc_id * 31 + x.assessor) % 5 AS g FROM documents CROSS JOIN (SELECT @each(@range(1 | 3)) AS assessor) x WHERE @hash(doc_id * 7 + x.assessor) % 3 > 0)"

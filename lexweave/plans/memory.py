@@ -83,12 +83,12 @@ CATALOG = "catalog AS (SELECT * FROM (VALUES ('play', 'start reading'), ('pause'
 add("q_command_catalog", f"WITH {CATALOG} SELECT command, phrase, length(phrase) AS len FROM catalog")
 
 
-def _commands(spark: SparkSession, sf_dir: str, strict: bool = False) -> DataFrame:
+def _commands(spark: SparkSession, sf_dir: str, strict: bool = False, covered: float = commands.COVERED) -> DataFrame:
     """The turns matched with the catalogue and the thirty commonest openings of turns, each a command of its own."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     opening = F.regexp_extract(F.lower("text"), r"^\P{L}*(\p{L}+ \p{L}+)", 1).alias("opening")
     common = [r.opening for r in turns.select(opening).where("opening <> ''").groupBy("opening").count().orderBy(F.desc("count"), "opening").limit(30).collect()]
-    return commands.matched(turns, (*commands.CATALOGUE, *((f"open {o}", o) for o in common)), strict=strict)
+    return commands.matched(turns, (*commands.CATALOGUE, *((f"open {o}", o) for o in common)), strict=strict, covered=covered)
 
 
 def _likest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,8 @@ def _likest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.likest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-register("q_command_template", lambda spark, sf_dir: _commands(spark, sf_dir).where("method = 'template'").select("conv_id", "turn", "command", F.col("score").alias("coverage"), F.to_json("slots").alias("slots")))
+# the turns are long, so that a phrase anywhere in one counts here, however little it covers
+register("q_command_template", lambda spark, sf_dir: _commands(spark, sf_dir, covered=0.0).where("method = 'template'").select("conv_id", "turn", "command", F.col("score").alias("coverage"), F.to_json("slots").alias("slots")))
 register("q_command_fuzzy", _likest)
 register("q_command_match", lambda spark, sf_dir: _commands(spark, sf_dir).select("conv_id", "turn", "command", "method", "score", F.array_join("others", ",").alias("others")))
 register("q_recognize_flow", lambda spark, sf_dir: _commands(spark, sf_dir, strict=True).groupBy("method").count().withColumnRenamed("count", "n"))

@@ -195,7 +195,8 @@ def _expanded(index: Index) -> DataFrame:
 
 
 by_index("q_rocchio", _expanded, f"WITH {INDEX}, {TOPICS}, {VECTOR}, {PRF} SELECT query_id, term, round(w, 6) AS w FROM cutq")
-asked("q_vector_prf", "vector_prf", f"WITH {INDEX}, {TOPICS}, {VECTOR}, {PRF}, pn AS (SELECT query_id, sqrt(sum(w * w)) AS qn FROM cutq GROUP BY query_id), prf AS (SELECT q.query_id, r.doc_id, sum(q.w * r.raw) / (max(m.norm) * max(pn.qn)) AS score FROM cutq q JOIN raw r ON r.term = q.term JOIN norm m ON m.doc_id = r.doc_id JOIN pn ON pn.query_id = q.query_id GROUP BY q.query_id, r.doc_id HAVING sum(q.w * r.raw) > 0) {ranked('prf', 20)}")
+EXPANDED = "pn AS (SELECT query_id, sqrt(sum(w * w)) AS qn FROM cutq GROUP BY query_id), prf AS (SELECT q.query_id, r.doc_id, sum(q.w * r.raw) / (max(m.norm) * max(pn.qn)) AS score FROM cutq q JOIN raw r ON r.term = q.term JOIN norm m ON m.doc_id = r.doc_id JOIN pn ON pn.query_id = q.query_id GROUP BY q.query_id, r.doc_id HAVING sum(q.w * r.raw) > 0)"
+asked("q_vector_prf", "vector_prf", f"WITH {INDEX}, {TOPICS}, {VECTOR}, {PRF}, {EXPANDED} {ranked('prf', 20)}")
 JUDGED = "@hash(k.query_id * 100003 + k.doc_id) % 5"
 
 

@@ -68,6 +68,10 @@ def test_significance():
     assert significance.permutation([0.0] * 5, 100) == 1.0
     assert significance.permutation([1.0] * 12, 2000) < 0.01
     assert significance.wilcoxon([1, 2, 3]) == 1.0 and significance.wilcoxon([i + 0.5 for i in range(12)]) < 0.01
+    t, p = significance.student([1.0, 2.0, 3.0, 4.0])
+    assert abs(t - 3.872983346) < 1e-8 and abs(p - 0.030466291) < 1e-8 and abs(significance.effect([1.0, 2.0, 3.0, 4.0]) - 1.936491673) < 1e-8
+    assert significance.student([1.0, 1.0]) == (None, 1.0) == significance.student([]) and abs(significance.beta_share(2, 3, 0.4) - 0.5248) < 1e-12
+    assert [round(x, 9) for x in significance.holm([0.01, 0.04, 0.03, 0.005])] == [0.03, 0.06, 0.06, 0.02] and significance.holm([]) == [] and significance.holm([0.9, 0.8]) == [1.0, 1.0]
     low, high = significance.bootstrap([0.0, 1.0] * 20)
     assert low < 0.5 < high
 
