@@ -12,17 +12,23 @@ have more words than `most` are left out. Rows that share an id are joined to on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 MOST = 7
-RUN = r"\p{L}+(?: \p{L}+)*"
+UNITS = pa.schema([("doc_id", pa.int64()), ("run", pa.int32()), ("at", pa.int32()), ("size", pa.int32()), ("key", pa.string()), ("known", pa.bool_())])
+#: What parts runs. Without repeated groups, which long texts would overflow the stack of the JVM's matcher with.
+BREAK = r"[^\p{L} ]+|  +"
 
 
 def runs(docs: DataFrame) -> DataFrame:
     """doc_id, run (its number), words."""
     docs = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.coalesce("text", F.lit("")))), "\n").alias("text"))
-    found = F.regexp_extract_all(F.lower("text"), F.lit(RUN), F.lit(0))
+    found = F.filter(F.transform(F.split(F.lower("text"), BREAK), lambda x: F.trim(x)), lambda x: x != "")
     return docs.select("doc_id", F.posexplode(found).alias("run", "words")).select("doc_id", "run", F.split("words", " ").alias("words"))
 
 
@@ -51,14 +57,17 @@ def longest(found: DataFrame, entries: DataFrame, most: int = MOST) -> DataFrame
 def units(docs: DataFrame, entries: DataFrame, most: int = MOST) -> DataFrame:
     """doc_id, run, at, size, key, known: all units of the texts in order; a word that begins no entry is a unit of its own, not known."""
     found = runs(docs)
-    tops = longest(found, entries, most).groupBy("doc_id", "run").agg(F.map_from_entries(F.collect_list(F.struct("at", "size"))).alias("sizes"))
-    joined = found.join(tops, ["doc_id", "run"], "left").withColumn("sizes", F.coalesce("sizes", F.expr("cast(map() as map<int, int>)")))
-    start = F.struct(F.lit(0).alias("next"), F.expr("cast(array() as array<struct<at: int, size: int, known: boolean>>)").alias("taken"))
+    tops = longest(found, entries, most).groupBy("doc_id", "run").agg(F.collect_list("at").alias("ats"), F.collect_list("size").alias("sizes"))
 
-    def step(acc, at):
-        size = F.coalesce(F.try_element_at("sizes", at), F.lit(1))
-        one = F.struct(at.alias("at"), size.alias("size"), F.map_contains_key("sizes", at).alias("known"))
-        return F.when(at < acc["next"], acc).otherwise(F.struct((at + size).alias("next"), F.concat(acc["taken"], F.array(one)).alias("taken")))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for doc, run, words, ats, sizes in zip(*(b[c].to_pylist() for c in ("doc_id", "run", "words", "ats", "sizes")), strict=True):
+                known, at = dict(zip(ats or (), sizes or (), strict=True)), 0
+                while at < len(words):
+                    size = known.get(at, 1)
+                    rows.append((doc, run, at, size, " ".join(words[at : at + size]), at in known))
+                    at += size
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), UNITS, strict=True)] if rows else [pa.array([], f.type) for f in UNITS], schema=UNITS)
 
-    folded = joined.select("doc_id", "run", "words", F.explode(F.aggregate(F.sequence(F.lit(0), F.size("words") - 1), start, step)["taken"]).alias("u"))
-    return folded.select("doc_id", "run", "u.at", "u.size", F.array_join(F.slice("words", F.col("u.at") + 1, F.col("u.size")), " ").alias("key"), "u.known")
+    return found.join(tops, ["doc_id", "run"], "left").mapInArrow(fold, from_arrow_schema(UNITS))

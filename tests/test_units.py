@@ -28,7 +28,7 @@ def check(spark, texts, entries, most=7):
 def test_units_equal_a_greedy_walk(spark):
     r = random.Random(7)
     text = lambda n: "".join(r.choice(["a", "b", "c", "Öl"]) + r.choice([" ", " ", " ", " ", ", ", "  ", "-"]) for _ in range(n))
-    texts = [(i, text(r.randint(0, 60))) for i in range(25)] + [(30, None), (31, ""), (32, "Machine learning, system. The machine learning system works"), (33, "a b c a b c a b")]
+    texts = [(i, text(r.randint(0, 60))) for i in range(25)] + [(30, None), (31, ""), (32, "Machine learning, system. The machine learning system works"), (33, "a b c a b c a b"), (34, " a  b   c , a b "), (35, "c a " * 20_000)]
     entries = [" ".join(r.choice(["a", "b", "c", "öl"]) for _ in range(r.randint(1, 7))) for _ in range(40)]
     entries += ["machine learning", "machine", "learning", "machine learning system of the world in", None, "", "a b c a b c a b", "a b c a b c a", "a b"]
     check(spark, texts, entries)
