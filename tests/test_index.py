@@ -208,3 +208,8 @@ def test_ngrams_of_whole_texts(spark, tmp_path):
     assert grams == truth
     rows = {(r.pos, r.n): r.gram for r in all_queries()["q_candidate_ngrams"](spark, str(tmp_path)).collect()}
     assert rows[0, 4] == f"{long} a b c" and len(rows) == 6
+
+
+def test_texts_stay_where_they_are_read_unless_an_id_is_met_twice(spark):
+    plan = lambda rows: index_module.analysed(frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan([(1, "one two"), (2, None)]) and "Exchange" in plan([(1, "one two"), (1, "two")])
