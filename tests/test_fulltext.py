@@ -85,3 +85,11 @@ def test_phrases_of_many_rows(spark, tmp_path):
             if times:
                 truth[n, i] = times
     assert got == truth
+
+
+def test_phrases_of_rows_travel_nowhere(spark):
+    docs = spark.createDataFrame([(1, "a bc de fg, bc de fg"), (2, "bc de. FG"), (3, None), (4, "bc de"), (5, "bc"), (5, "de fg")], "doc_id long, text string")
+    found = fulltext.phrases_of(docs, spark.createDataFrame([(7, "bc de fg"), (8, "bc de fg")], "query_id long, phrase string"), 3)
+    assert {(r.query_id, r.doc_id): r.times for r in found.collect()} == {(q, d): n for q in (7, 8) for d, n in ((1, 2), (2, 1), (5, 1))}
+    plan = fulltext.phrases_of(docs.where("doc_id < 5"), spark.createDataFrame([(7, "bc de fg")], "query_id long, phrase string"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(phrase" not in plan
