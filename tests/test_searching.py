@@ -90,3 +90,17 @@ def test_rounds_of_many_queries_are_those_of_sessions(spark, collection, tmp_pat
             assert own == sorted((r.rank, r.doc_id, round(r.score, 9), r.previous_rank) for r in session.ranking(number).collect())
             seen = {d for _, d, *_ in own}
             session.mark([d for n, d, yes in dict.fromkeys(judged) if n == q and yes is True and d in seen], [d for n, d, yes in judged if n == q and yes is False and d in seen])
+
+
+def test_feedback_moves_queries_without_fetching_vectors(spark, tmp_path, monkeypatch):
+    from lexweave.operators import feedback, ranking
+    from lexweave.sources.index import Index
+
+    docs = [(1, "alpha beta beta"), (2, "alpha gamma"), (3, "alpha delta delta"), (4, "tau")]
+    index = Index.build(spark.createDataFrame(docs, "doc_id long, text string"), f"{tmp_path}/index")
+    before = {1: {"alpha": 1.0}, 2: {"tau": 1.0}}
+    own = ranking.document_vectors(index, [1, 2, 3])
+    truth = {1: ranking.heaviest(ranking.rocchio(before[1], [own[1], own[2]], [own[3]])), 2: {"tau": 1.0}}
+    monkeypatch.setattr(ranking, "document_vectors", None)
+    got = feedback.moved(index, before, [(1, 1, True), (1, 2, True), (1, 3, False), (1, 99, True)], ranking.ALPHA, ranking.BETA, ranking.GAMMA)
+    assert {q: {t: round(w, 9) for t, w in v.items()} for q, v in got.items()} == {q: {t: round(w, 9) for t, w in v.items()} for q, v in truth.items()}
