@@ -20,3 +20,16 @@ def test_no_words_travel_for_sentences(spark, tmp_path):
         plan = all_queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert "tok" not in plan and "posexplode" not in plan
     assert [tuple(r) for r in all_queries()["q_summaries"](spark, str(tmp_path)).collect()] == [(1, 3, 36)]
+
+
+def test_hamming_keeps_no_side_of_its_product_on_disk(spark, tmp_path):
+    rows = [(i, f"words number w{i}", "en", "a", 10) for i in (1, 50, 100)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = all_queries()["q_hamming"](spark, str(tmp_path))
+        assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
+        assert {(r.a, r.b) for r in df.collect()} == {(50, 1), (50, 100), (100, 1), (100, 50)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
