@@ -40,3 +40,10 @@ def test_the_longest_wins_over_its_beginnings(spark):
     docs = spark.createDataFrame([(1, "the machine learning system works"), (1, "Machine, learning")], "doc_id long, text string")
     keys = [(r["key"], r.known) for r in units.units(docs.limit(1), spark.createDataFrame([("machine learning",), ("machine",), ("system",)], "key string")).orderBy("run", "at").collect()]
     assert keys == [("the", False), ("machine learning", True), ("system", True), ("works", False)]
+
+
+def test_grams_of_documents_are_found_where_texts_are(spark):
+    docs = spark.createDataFrame([(1, "a b c. a b"), (2, None), (3, "a")], "doc_id long, text string")
+    found = units.grams(docs, (2, 3))
+    assert sorted(map(tuple, found.collect())) == [(1, "a b"), (1, "a b c"), (1, "b c")]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
