@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexweave.llm.bpe import digest_documents
-from lexweave.llm.common import documents, written
+from lexweave.llm.common import documents, small_batches, written
 from lexweave.llm.mixing import mix
 from lexweave.llm.ngrams import one_of_each
 from lexweave.llm.secrets import masked
@@ -49,6 +49,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written as Parquet in the shared folder and read again."""
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    with small_batches(spark):
+        for name, stage in STAGES[:-1]:
+            docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -31,7 +31,9 @@ SAMPLE, WORDS = 2000, 1 << 16
 CUTOFF = 0.7
 _END = re.compile(r"[.!?\n]+")
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_REMEMBERED = 1_000_000
+#: Words whose features a task remembers, some 10 MB; those the model has nothing of share one empty answer.
+_REMEMBERED = 1 << 16
+_NOTHING: dict[int, float] = {}
 
 
 class Model(NamedTuple):
@@ -162,7 +164,7 @@ class Scorer:
             if len(self.known) >= _REMEMBERED:
                 self.known.clear()
             own = self.model.weights
-            found = self.known[word] = {f: own[f] for f in features(word) if f in own} if own else {}
+            found = self.known[word] = own and {f: own[f] for f in features(word) if f in own} or _NOTHING
         return found
 
     def logits(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
@@ -236,8 +238,8 @@ def without_toxic(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> Data
     def run(batches):
         own = Scorer(model)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([own.score(t) < cutoff for t in texts], pa.bool_()))
+            texts = batch.column(batch.schema.get_field_index("text"))  # each becomes a string only while it is scored
+            yield batch.filter(pa.array([own.score(t.as_py()) < cutoff for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, schema)
 

@@ -215,3 +215,14 @@ def test_lm_empty_tables(spark):
     (row,) = lm.score_documents(spark.createDataFrame([(1000, "all held out")], SCHEMA)).collect()
     assert row.held_out and row.train_tokens == 0 and math.isfinite(row.score)
     assert lm._table([], lm._OUT).num_rows == 0 and isinstance(lm._table([], lm._SENT), pa.Table)
+
+
+def test_toxicity_remembers_a_bounded_number_of_words():
+    from lexweave.llm import toxicity
+
+    known = toxicity.features("bad")[0]
+    scorer = toxicity.Scorer(toxicity.Model(-2.0, {known: 5.0}, -4.0))
+    text = ". ".join(f"word{i}" for i in range(150_000)) + ". bad"
+    assert scorer.logits(text) == (150_000, [(len(text) - 4, len(text), 3.0)])
+    assert len(scorer.known) <= 1 << 16
+    assert len({id(x) for w, x in scorer.known.items() if w != "bad"}) == 1
