@@ -213,3 +213,23 @@ def test_ngrams_of_whole_texts(spark, tmp_path):
 def test_texts_stay_where_they_are_read_unless_an_id_is_met_twice(spark):
     plan = lambda rows: index_module.analysed(frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan([(1, "one two"), (2, None)]) and "Exchange" in plan([(1, "one two"), (1, "two")])
+
+
+@pytest.mark.parametrize("common", [1, 5, 1 << 20])
+def test_norms_of_common_and_rare_terms(spark, tmp_path, monkeypatch, common):
+    texts = [(i, " ".join(["every"] * 3 + ["second"] * (i % 2) + ["third"] * (2 if i % 3 == 0 else 0) + [f"own{'abcdefghij'[i % 10]}{'klmnop'[i // 10]}"])) for i in range(60)]
+    monkeypatch.setattr(index_module, "COMMON", common)
+    index = Index.build(frame(spark, texts), str(tmp_path / "index"))
+    counts = {i: Counter(w for _, w in found) for i, found in counts_of(texts).items()}
+    df = Counter(w for c in counts.values() for w in c)
+    norms = {r.doc_id: r.norm for r in index.table("documents").collect()}
+    assert norms == pytest.approx({i: math.sqrt(sum((t * math.log(60 / df[w])) ** 2 for w, t in c.items())) for i, c in counts.items()})
+    assert {(r.doc_id, r.term): (r.tf, len(r.positions)) for r in index.postings().collect()} == {(i, w): (t, t) for i, c in counts.items() for w, t in c.items()}
+
+
+def test_norms_send_only_the_postings_of_rare_terms(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index_module, "COMMON", 5)
+    index = Index.build(frame(spark, [(i, f"every {'second' if i % 2 else ''} own{'abcdefghij'[i]}") for i in range(10)]), str(tmp_path / "index"))
+    counts = index.forward().select("doc_id", "term", "tf")
+    plan = index._norms(counts, index.table("terms"), index.manifest["postings"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "LeftAnti" in plan and plan.count("Exchange hashpartitioning(term") == 2  # rare postings, rare terms
