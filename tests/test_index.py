@@ -233,3 +233,16 @@ def test_norms_send_only_the_postings_of_rare_terms(spark, tmp_path, monkeypatch
     counts = index.forward().select("doc_id", "term", "tf")
     plan = index._norms(counts, index.table("terms"), index.manifest["postings"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 2 and "LeftAnti" in plan and plan.count("Exchange hashpartitioning(term") == 2  # rare postings, rare terms
+
+
+def test_measures_do_not_shuffle_postings_to_weigh_them(spark, tmp_path):
+    from lexweave.plans import all_queries
+
+    spark.createDataFrame([(i, f"every word number{'abc'[i % 3]}", "en", "s", 9) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = all_queries()["q_trec_qrels"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "strategy=broadcast" in plan
