@@ -25,7 +25,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm.common import documents, map_batches
+from lexweave.llm.common import documents, map_batches, remembers
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Chunks and token pairs kept in memory by one worker; beyond that the memory is emptied and filled again.
@@ -140,6 +140,9 @@ def coder(vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN
         return BytePairCoder({base64.b64decode(token): int(rank) for token, rank in pairs}, pattern)
 
 
+remembers(__name__, coder.cache_clear)
+
+
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, ids (array<int>) and the decoded text, decoded from the ids."""
 

@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from lexweave.llm.common import documents, removed, written
+from lexweave.llm import shingles
+from lexweave.llm.common import documents, forget, removed, small_batches, written
 from lexweave.llm.components import components
 from lexweave.llm.shingles import set_key, shingle_set
 
@@ -142,6 +143,7 @@ def first_pass(docs: DataFrame, parts: int, owners: int, percent: int) -> DataFr
             yield batch_of(dict(zip(names, map(list, zip(*part, strict=True)), strict=True)), len(part))
 
     def run(batches):
+        forget(shingles.__name__)
         beginnings: dict[int, np.ndarray] = {}
         held = 0
         for batch in batches:
@@ -200,6 +202,7 @@ def survivor_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
     schema = "doc long, n int, shingles array<long>"
 
     def run(batches):
+        forget(shingles.__name__)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
@@ -300,7 +303,13 @@ def asked(lists: DataFrame, sets: DataFrame, partners: int | None, turn: int, pe
 
 
 def linked_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, row, more, n, group of each row: rows with equal groups are linked, directly or by others; null for empty sets."""
+    """doc_id, row, more, n, group of each row: rows with equal groups are linked, directly or by others; null for empty sets. Texts and
+    blocks of candidates go to Python in small batches, whatever the session's own."""
+    with small_batches(docs.sparkSession):
+        return _linked_rows(docs, percent)
+
+
+def _linked_rows(docs: DataFrame, percent: int) -> DataFrame:
     parts = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, parts * (100 - percent + DEPTH) // 100 // BYTES // POSTINGS)
     owners = -(-parts // 8)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from lexweave.llm.common import remembers
+
 WIDTH = 5
 _REMEMBERED = 200_000
 #: Odd multipliers that mix the hashes of a shingle's words.
@@ -20,6 +22,7 @@ class _Words(dict):
 
 
 _words = _Words()
+remembers(__name__, _words.clear)
 
 
 def shingle_set(text: str | None) -> np.ndarray:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import cut, documents, map_batches
+from lexweave.llm.common import cut, documents, forget, map_batches
 from lexweave.llm.labelled import held_out, sample
 
 #: Labelled documents of a class that are fitted to, words that a model keeps.
@@ -236,6 +236,7 @@ def without_toxic(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> Data
     schema = docs.schema
 
     def run(batches):
+        forget(__name__)
         own = Scorer(model)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))  # each becomes a string only while it is scored

@@ -1,9 +1,11 @@
 """The pipeline, stage by stage, against plain Python."""
 
 import hashlib
+from types import SimpleNamespace
 
 import corpus_pipeline
-from lexweave.llm import bpe, toxicity
+import pyarrow as pa
+from lexweave.llm import bpe, ngrams, toxicity
 from tests.llm.test_corpus_operators import jaccard_truth
 from tests.llm.test_text_operators import labelled
 
@@ -58,3 +60,28 @@ def test_stages_bear_nulls_repeats_secrets_and_empty_tables(spark, tmp_path):
         stage(spark, docs, folder).write.parquet(str(tmp_path / f"none-{name}"))
         docs = spark.read.parquet(str(tmp_path / f"none-{name}"))
         assert docs.count() == 0
+
+
+def test_a_worker_forgets_what_the_stage_before_remembered(spark):
+    from lexweave.llm import common, shingles
+
+    run, names = [], ["doc_id", "text"]
+    batch = pa.RecordBatch.from_pydict(dict(zip(names, ([1], ["some words to be remembered here"]), strict=True)))
+    bpe.coder().encode("some words"), shingles.shingle_set("some words")
+    frame = SimpleNamespace(mapInArrow=lambda function, schema: run.append(function), schema=None)
+    toxicity.without_toxic(frame, toxicity.Model(-6.0, {}, -9.0))
+    assert [b.num_rows for b in run[0](iter([batch]))] == [1]
+    assert bpe.coder.cache_info().currsize == 0 and not shingles._words
+    bpe.coder().encode("some words"), shingles.shingle_set("some words")
+    common.map_batches(frame, lambda: lambda columns: columns, "doc_id long, text string")
+    assert [b.num_rows for b in run[1](iter([batch]))] == [1]
+    assert bpe.coder.cache_info().currsize == 0 and not shingles._words
+
+
+def test_near_duplicates_go_to_python_in_small_batches(spark, monkeypatch):
+    seen, own = [], ngrams.first_pass
+    monkeypatch.setattr(ngrams, "first_pass", lambda *a: seen.append(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) or own(*a))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in ngrams.one_of_each(docs).collect()) == [1, 3]
+    assert seen == ["8m"] and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
