@@ -33,3 +33,16 @@ def test_hamming_keeps_no_side_of_its_product_on_disk(spark, tmp_path):
         assert {(r.a, r.b) for r in df.collect()} == {(50, 1), (50, 100), (100, 1), (100, 50)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_quality_has_keywords_and_places(spark, tmp_path):
+    filler = [f"Word{c} is here." for c in "abcdefghij"]
+    rows = [(1, " ".join(filler), "en", "a", 149), (2, "Omega omega. Alpha!", "en", "a", 0), (3, None, "en", "a", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.asDict() for r in all_queries()["q_summary_quality"](spark, str(tmp_path)).collect()}
+    # all sentences score the same, so that place alone picks the first five: five of the ten words that differ and the two that don't
+    assert found[1]["keyword_coverage"] == round(7 / 12, 6) and (found[1]["content_top_kept"], found[1]["content_top_total"]) == (5, 5)
+    assert found[1]["last_third"] == 0 and found[1]["mean_position"] == round(sum(15 * i for i in range(5)) / 5 / 149, 6)
+    # a document without a number of characters has its summary measured all the same
+    assert found[2] == {"doc_id": 2, "compression": 0.0, "lead_share": 0.5, "keyword_coverage": 1.0, "content_top_kept": 2, "content_top_total": 2, "mean_position": 0.342105, "last_third": 1}
+    assert set(found) == {1, 2}
