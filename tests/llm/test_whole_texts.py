@@ -226,3 +226,14 @@ def test_toxicity_remembers_a_bounded_number_of_words():
     assert scorer.logits(text) == (150_000, [(len(text) - 4, len(text), 3.0)])
     assert len(scorer.known) <= 1 << 16
     assert len({id(x) for w, x in scorer.known.items() if w != "bad"}) == 1
+
+
+def test_how_texts_are_dealt_changes_no_score(spark, monkeypatch):
+    """A word that is third after two others in each block can be the commonest of all."""
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["a", "b", "c", "d", "e"], 30))) for i in range(60)], SCHEMA).cache()
+    one = {r.doc_id: r.score for r in lm.score_documents(docs).collect()}
+    monkeypatch.setattr(lm, "BLOCK", 300)
+    monkeypatch.setattr(lm, "PAIRS", 1000)
+    many = {r.doc_id: r.score for r in lm.score_documents(docs).collect()}
+    assert len(one) == 60 and all(abs(one[i] - many[i]) < 1e-6 for i in one)
