@@ -68,3 +68,10 @@ def test_pairs_are_not_shuffled(spark, tmp_path):
         assert "MapInArrow" in plan and "Exchange" not in plan.partition("MapInArrow")[0].replace("AdaptiveSparkPlan", ""), name
     best = all_queries()["q_tm_best"](spark, folder)
     assert "MapInArrow" in best._jdf.queryExecution().executedPlan().toString() and best.count() == 200
+
+
+def test_blocks_do_not_come_to_the_driver(spark):
+    sets = texts(spark, drawn(30, 4))
+    for df in (pairs.ratios(sets), pairs.ratios(sets.where("id % 5 = 0"), sets), pairs.like(sets, 0.7), pairs.likest(sets)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Broadcast" not in plan
