@@ -104,3 +104,14 @@ def test_feedback_moves_queries_without_fetching_vectors(spark, tmp_path, monkey
     monkeypatch.setattr(ranking, "document_vectors", None)
     got = feedback.moved(index, before, [(1, 1, True), (1, 2, True), (1, 3, False), (1, 99, True)], ranking.ALPHA, ranking.BETA, ranking.GAMMA)
     assert {q: {t: round(w, 9) for t, w in v.items()} for q, v in got.items()} == {q: {t: round(w, 9) for t, w in v.items()} for q, v in truth.items()}
+
+
+def test_judgments_are_not_broadcast(spark, tmp_path):
+    """Their size is estimated far below what they are: documents times queries."""
+    spark.range(2000).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/docs")
+    judged = spark.read.parquet(f"{tmp_path}/docs").select("doc_id", F.explode(F.array(*(F.lit(n).cast("long") for n in range(30)))).alias("query_id")).withColumn("relevant", F.col("doc_id") % 2 == 0)
+    ranks = spark.createDataFrame([(1, 1, 5, 0.5), (1, 2, 6, 0.4), (40, 1, 5, 0.5), (1, 3, 5, 0.1)], "query_id long, rank int, doc_id long, score double")
+    found = feedback.marked(ranks, judged)
+    broadcast = found._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")
+    assert len(broadcast) == 2 and "Generate" not in broadcast[1] and "Generate" in broadcast[0]
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 5, False), (1, 6, True)]
