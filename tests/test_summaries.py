@@ -4,6 +4,7 @@ from tests.test_reference import TEXTS
 
 from lexweave.operators import summaries, text
 from lexweave.plans import all_queries
+from lexweave.sources.index import Index
 
 
 def test_sentences_are_those_of_the_splitter():
@@ -46,3 +47,16 @@ def test_quality_has_keywords_and_places(spark, tmp_path):
     # a document without a number of characters has its summary measured all the same
     assert found[2] == {"doc_id": 2, "compression": 0.0, "lead_share": 0.5, "keyword_coverage": 1.0, "content_top_kept": 2, "content_top_total": 2, "mean_position": 0.342105, "last_third": 1}
     assert set(found) == {1, 2}
+
+
+def test_sentences_do_not_travel_to_be_chosen(spark, tmp_path):
+    said = ". ".join(f"Alpha{'abcdefghij'[i % 10]} beta{'abcdefghij'[i // 10]} gamma delta eta theta iota kappa" for i in range(60)) + "."
+    rows = [(i, said, "en", "a", len(said)) for i in range(3)] + [(9, "Other words", "en", "a", 11)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/documents.parquet")
+    found = all_queries()["q_sentence_contributions"](spark, str(tmp_path))
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString() and found.where("doc_id < 9").groupBy("doc_id", "i").count().where("count = 6").count() == 180
+    # few of the sixty sentences of a document leave its task
+    index = Index.of(spark, str(tmp_path))
+    assert summaries.selected(index, spark.read.parquet(f"{tmp_path}/documents.parquet")).groupBy("doc_id").count().where("count > 6").count() == 0
+    assert [r.sentences for r in all_queries()["q_summaries"](spark, str(tmp_path)).orderBy("doc_id").collect()] == [5, 5, 5, 1]
