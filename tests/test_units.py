@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 from lexweave.operators import units
 
@@ -47,3 +48,25 @@ def test_grams_of_documents_are_found_where_texts_are(spark):
     found = units.grams(docs, (2, 3))
     assert sorted(map(tuple, found.collect())) == [(1, "a b"), (1, "a b c"), (1, "b c")]
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frequent_stretches_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(units, "BLOCK", 300)
+    some = random.Random(5)
+    texts = [(i, "".join(some.choice(["a", "b", "c", "dd"]) + some.choice([" ", " ", " ", ", ", "  "]) for _ in range(some.randint(0, 25)))) for i in range(60)]
+    docs = spark.createDataFrame([*texts, (60, None), (None, "a b c"), (7, "a b c dd")], "doc_id long, text string")
+    texts[7] = (7, "\n".join(sorted([texts[7][1], "a b c dd"])))
+    runs = {i: [r.split(" ") for r in re.findall(r"[a-z]+(?: [a-z]+)*", t)] for i, t in texts}
+    had = Counter(k for own in runs.values() for k in {" ".join(w[i : i + n]) for w in own for n in (2, 3, 4) for i in range(len(w) - n + 1)})
+    want = []
+    for doc, own in runs.items():
+        for run, w in enumerate(own):
+            at = 0
+            while at < len(w):
+                size = next((n for n in (4, 3, 2) if at + n <= len(w) and had[" ".join(w[at : at + n])] >= 3), 1)
+                if size > 1:
+                    want.append((doc, run, at, size, " ".join(w[at : at + size])))
+                at += size
+    found = units.frequent(docs, most=4, least=3)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want) and {r[3] for r in want} == {2, 3, 4}
+    assert units.frequent(docs.limit(0), most=4, least=3).count() == 0
